@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, licenses, line_dedup, mixing, packing, quality, toxicity, vectors
+from tidemark.llm import chat, langid, licenses, line_dedup, mixing, ngram_join, packing, quality, toxicity, vectors
 
 PROBE_CHAT = "\\### Assistant: </turn> ok"
 
@@ -53,6 +53,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(docs, F.col("source"), counts=True).drop("source")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_read(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
