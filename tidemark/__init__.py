@@ -1,0 +1 @@
+"""Hybrid document search and document processing as ordinary DataFrame plans."""
