@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm._store import bounded_batches
 from tidemark.llm._words import Texts, slices
 
 DIM = 4096
@@ -173,6 +174,7 @@ def held_out():
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     """Learn from text and lang of the rows that aren't held out; a bounded hash sample of each language."""
+    bounded_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
@@ -200,6 +202,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """The language of each whole text of ``docs`` (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm._store import bounded_batches
 from tidemark.llm._words import ALNUM_WORDS, Texts, slices, word_hash, words
 
 #: Phrases and their labels.
@@ -149,6 +150,7 @@ def scan_slice(texts: Texts, phrases: dict[str, str], templates: dict[str, str])
 
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None) -> DataFrame:
     """License findings of ``docs`` (doc_id, text), a row each."""
+    bounded_batches(docs.sparkSession)
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

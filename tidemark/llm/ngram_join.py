@@ -11,11 +11,13 @@ of any partner. From there on only extended prefixes matter:
    token; of each class one token is lost to pairing, so there are at most as many classes as the extended prefix has tokens to
    spare. Which classes hold depends on the size of documents, in overlapping levels, so both sides of a link agree.
 3. Star round: each signature proposes its node with the fewest tokens of its own (the likely original) to all others; every node verifies
-   the best proposal it gets. Verification computes both sets from whole texts. A large group of near copies becomes one component
-   with about as many verifications as members.
-4. Rest: signatures whose nodes are in different components compare all such pairs within blocks by size and by parity bitmaps,
-   which bound the size of the symmetric difference from below; the few pairs that pass are verified. No
-   signature, group or candidate is capped, so no link between different components is lost.
+   the proposal that most of its signatures make. Verification computes both sets from whole texts. A large group of near copies
+   becomes one component with about as many verifications as members.
+4. Rest: where a signature's nodes are in different components, such pairs are compared by size and by parity bitmaps, which bound the size of
+   the symmetric difference from below, and what passes is verified. Short lists give all their pairs, many lists at a time. Long ones
+   are compared in blocks, which first return a spanning part of what passes: if it verifies, the other pairs are within components. Lists of
+   nodes for which something did not verify are compared once more, and return all. No signature, list or candidate is
+   capped, so no link between different components is lost.
 
 Defined results: a null, empty or blank text has no shingles and links with nothing; a shorter text has its word sequence as its
 one shingle; texts of any length are read whole; repeated rows are copies of each other; a null doc_id links with nothing and
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._store import discard, materialize
+from tidemark.llm._store import bounded_batches, discard, materialize
 from tidemark.llm._words import mix, shingle_sets, slices
 from tidemark.llm.components import components
 
@@ -43,8 +45,8 @@ WIDTH, PERCENT = 5, 75
 RARE = 64
 #: One spare prefix token for so many shingles.
 SPARE = 12
-#: Tokens in a bucket, on average; nodes of either side in a block.
-BUCKET_TOKENS, BLOCK = 400_000, 1024
+#: Tokens in a bucket, on average; nodes of either side in a block; nodes in a short list, at most.
+BUCKET_TOKENS, BLOCK, SHORT = 400_000, 1024, 64
 _LEVEL = math.log(100 / (PERCENT - 1))
 
 
@@ -169,7 +171,7 @@ def _deal(buckets: int):
             for node, n, blob in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "tokens")), strict=True):
                 held.append((_tokens(blob), node, n))
                 size += len(held[-1][0])
-                if size >= 2_000_000:
+                if size >= 500_000:
                     yield flush()
                     size = 0
         if held:
@@ -289,90 +291,127 @@ def _bitmap(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def _maps(texts: DataFrame) -> DataFrame:
+def _mapped(texts: DataFrame) -> DataFrame:
+    """With each node's bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             maps: list[bytes] = [b""] * batch.num_rows
             for i, s in _sets(batch):
                 maps[i] = _bitmap(s)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(maps, pa.binary())], ["node", "map"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, map binary")
-
-
-def _close(table: pa.Table) -> pa.Table:
-    """Pairs of a block, of different components, that size and bitmap let pass."""
-    table = table.combine_chunks()
-    node, n, label, side = (table.column(c).to_numpy() for c in ("node", "n", "label", "side"))
-    order = np.argsort(n, kind="stable")
-    node, n, label, side = node[order], n[order].astype(np.int64), label[order], side[order]
-    raw = table.column("map")
-    maps = [np.frombuffer(raw[int(i)].as_py(), np.uint8) for i in order]
-    diagonal = (side == 2).all()
-    right = np.flatnonzero(side != 0)
-    out_a, out_b = [], []
-    folded: dict[tuple[int, int], np.ndarray] = {}
-
-    def fold(i: int, size: int) -> np.ndarray:
-        m = maps[i]
-        while len(m) > size:
-            m = m[: len(m) // 2] ^ m[len(m) // 2 :]
-        return m
-
-    for i in np.flatnonzero(side != 1):
-        # Partners of at least its own size, up to 4/3 of it; the other direction finds the rest.
-        lo, hi = np.searchsorted(n[right], n[i], "left"), np.searchsorted(n[right], n[i] * 100 // PERCENT, "right")
-        near = right[lo:hi]
-        if diagonal:
-            near = near[(n[near] > n[i]) | (near > i)]
-        near = near[label[near] != label[i]]
-        if len(near):
-            size = min(len(maps[i]), 1024)
-            for j in near:
-                if (int(j), size) not in folded:
-                    folded[int(j), size] = fold(int(j), size)
-            apart = np.bitwise_count(np.stack([folded[int(j), size] for j in near]) ^ fold(i, size)).sum(1, dtype=np.int64)
-            both = n[i] + n[near]
-            near = near[apart * (100 + PERCENT) <= both * (100 - PERCENT)]
-            out_a += [node[i]] * len(near)
-            out_b += node[near].tolist()
-    if not diagonal:  # pairs in which the right one is the smaller
-        left = np.flatnonzero(side != 1)
-        for i in right:
-            lo, hi = np.searchsorted(n[left], n[i], "right"), np.searchsorted(n[left], n[i] * 100 // PERCENT, "right")
-            near = left[lo:hi]
-            near = near[label[near] != label[i]]
-            if len(near):
-                size = min(len(maps[i]), 1024)
-                for j in near:
-                    if (int(j), size) not in folded:
-                        folded[int(j), size] = fold(int(j), size)
-                apart = np.bitwise_count(np.stack([folded[int(j), size] for j in near]) ^ fold(i, size)).sum(1, dtype=np.int64)
-                near = near[apart * (100 + PERCENT) <= (n[i] + n[near]) * (100 - PERCENT)]
-                out_a += [node[i]] * len(near)
-                out_b += node[near].tolist()
-    a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
-    return pa.table({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
-
-
-def _rest(signed: DataFrame, labels: DataFrame, texts: DataFrame, block: int) -> DataFrame:
-    """Candidate pairs across components, from the signatures that more than one component has."""
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text"), pa.array([len(m) for m in maps], pa.int32()), pa.array(maps, pa.binary())], ["node", "text", "bytes", "map"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, text string, bytes int, map binary")
+
+
+def _fold(m: np.ndarray, size: int) -> np.ndarray:
+    while len(m) > size:
+        m = m[: len(m) // 2] ^ m[len(m) // 2 :]
+    return m
+
+
+def _may_link(apart, total):
+    """Whether a symmetric difference of ``apart`` at least leaves sets of ``total`` together similar enough."""
+    return apart * (100 + PERCENT) <= total * (100 - PERCENT)
+
+
+def _by_bitmap(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b, total) that the bitmaps let pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, total in zip(batch.column("map_a"), batch.column("map_b"), batch.column("total").to_pylist(), strict=True):
+                a, b = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
+                size = min(len(a), len(b))
+                keep.append(_may_link(int(np.bitwise_count(_fold(a, size) ^ _fold(b, size)).sum(dtype=np.int64)), total))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    left, right = (maps.select(F.col("node").alias(k), F.col("map").alias(f"map_{k}")) for k in ("a", "b"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "total", "map_a", "map_b").mapInArrow(run, "a long, b long")
+
+
+def _listed(table: pa.Table) -> pa.Table:
+    """All pairs of different components and fitting sizes in a bucket of short lists."""
+    sig, node, n, label = (table.column(c).to_numpy() for c in ("sig", "node", "n", "label"))
+    order = np.lexsort((n, sig))
+    sig, node, n, label = sig[order], node[order], n[order].astype(np.int64), label[order]
+    out: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
+    for k in range(1, SHORT):
+        i = np.flatnonzero(sig[k:] == sig[:-k])
+        if not len(i):
+            break
+        i = i[(label[i] != label[i + k]) & (n[i + k] * PERCENT <= n[i] * 100)]
+        a, b = node[i], node[i + k]
+        out.append(np.stack([np.maximum(a, b), np.minimum(a, b), n[i] + n[i + k]], 1))
+    pairs = np.unique(np.concatenate(out), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "total": pa.array(pairs[:, 2])})
+
+
+def _close(spanning: bool):
+    """Pairs of a block of a long list, of different components, that size and bitmap let pass; or a spanning part of them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, n, label, side, wide = (table.column(c).to_numpy() for c in ("node", "n", "label", "side", "bytes"))
+        order = np.argsort(n, kind="stable")
+        node, n, label, side, wide = node[order], n[order].astype(np.int64), label[order], side[order], wide[order]
+        raw = table.column("map").combine_chunks()
+        maps = [np.frombuffer(raw[int(i)].as_buffer(), np.uint8) for i in order]
+        names, group = np.unique(label, return_inverse=True)
+        root = np.arange(len(names))
+        found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        # Sizes are sorted: partners of at least a node's own size stand behind it, and the bitmap of a smaller set is not longer.
+        for size in np.unique(wide):
+            folded = None
+            for i in np.flatnonzero(wide == size):
+                hi = np.searchsorted(n, n[i] * 100 // PERCENT, "right")
+                near = np.arange(i + 1, hi)
+                near = near[label[near] != label[i]]
+                near = near[(side[near] == 2) | (side[near] != side[i])]
+                if spanning:
+                    near = near[root[group[near]] != root[group[i]]]
+                if not len(near):
+                    continue
+                if folded is None:
+                    at = np.flatnonzero(wide >= size)
+                    folded = np.zeros((len(maps), size), np.uint8)
+                    for j in at[(at <= np.searchsorted(n, n[wide == size].max() * 100 // PERCENT, "right"))]:
+                        folded[j] = _fold(maps[j], size)
+                apart = np.bitwise_count(folded[near] ^ folded[i]).sum(1, dtype=np.int64)
+                near = near[_may_link(apart, n[i] + n[near])]
+                if spanning and len(near):
+                    near = near[np.unique(root[group[near]], return_index=True)[1]]
+                    root[np.isin(root, root[group[near]])] = root[group[i]]
+                found.append(np.stack([np.full(len(near), node[i]), node[near]], 1))
+        pairs = np.concatenate(found)
+        return pa.table({"a": pa.array(pairs.max(1) if len(pairs) else pairs[:, 0]), "b": pa.array(pairs.min(1) if len(pairs) else pairs[:, 1])})
+
+    return run
+
+
+def _mixed(signed: DataFrame, labels: DataFrame) -> DataFrame:
+    """sig, node, n, label, size of the lists whose nodes are in different components."""
     found = signed.select("sig", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    mixed = found.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high")
-    parts = mixed.select("sig", F.ceil(F.col("size") / block).cast("int").alias("parts"))
-    rows = materialize(found.join(parts, "sig"))
-    maps = _maps(texts.join(rows.select("node").distinct(), "node", "left_semi"))
-    rows = rows.join(maps, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    # A signature's nodes meet in blocks (i, j), i <= j: side 0 against side 1, or (2) among themselves.
+    lists = found.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").cast("int").alias("size")).where("low < high")
+    return found.join(lists.select("sig", "size"), "sig")
+
+
+def _in_blocks(rows: DataFrame, maps: DataFrame, block: int, spanning: bool) -> DataFrame:
+    """Pairs of long lists."""
+    rows = rows.join(maps, "node").withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # A list's nodes meet in blocks (i, j), i <= j: side 0 against side 1, or (2) among themselves.
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     i, j = F.least("part", "other"), F.greatest("part", "other")
     side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
-    met = met.select("sig", i.alias("i"), j.alias("j"), side.alias("side"), "node", F.col("n").cast("long").alias("n"), "label", "map")
-    return met.groupBy("sig", "i", "j").applyInArrow(_close, "a long, b long").distinct()
+    met = met.select("sig", i.alias("i"), j.alias("j"), side.alias("side"), "node", "n", "label", "bytes", "map")
+    return met.groupBy("sig", "i", "j").applyInArrow(_close(spanning), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, block: int = BLOCK, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     meta = materialize(sizes(docs))
     nodes = meta.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
@@ -388,18 +427,35 @@ def classes(docs: DataFrame, block: int = BLOCK, bucket_tokens: int = BUCKET_TOK
 
     alive = signed.select("node").distinct().join(nodes.select("node", "h1", "h2", F.col("first").alias("doc_id")), "node")
     # Repeated rows of an id would come twice; equal fingerprints are equal sets, so one of them is enough.
-    texts = materialize(docs.select("doc_id", "text").join(alive, "doc_id").join(meta.select("doc_id", F.col("h1").alias("g1"), F.col("h2").alias("g2")).distinct(), "doc_id").where("h1 = g1 and h2 = g2").select("node", "text"))
+    texts = docs.select("doc_id", "text").join(alive, "doc_id").join(meta.select("doc_id", F.col("h1").alias("g1"), F.col("h2").alias("g2")).distinct(), "doc_id").where("h1 = g1 and h2 = g2")
+    texts = materialize(_mapped(texts))
+    maps = texts.select("node", "bytes", "map")
 
     star = signed.groupBy("sig").agg(F.min(F.struct("own", "node", "n")).alias("top"), F.count("*").alias("size")).where("size > 1")
     offered = signed.join(star.select("sig", "top"), "sig").where((F.col("top.node") != F.col("node")) & (F.greatest("n", "top.n") * PERCENT <= F.least("n", "top.n") * 100))
-    best = offered.groupBy("node").agg(F.min("top").alias("top"))
-    tried = materialize(best.select(F.col("node").alias("a"), F.col("top.node").alias("b")))
-    first = materialize(_verify(tried, texts))
-    labels = components(first)
-    known = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = _rest(signed, labels, texts, block).join(known, ["a", "b"], "left_anti")
-    second = materialize(_verify(materialize(rest), texts))
-    found = components(first.unionByName(second))
+    votes = offered.groupBy("node", "top").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("node").agg(F.max_by("top", F.struct("votes", -F.col("top.own"), -F.col("top.node"))).alias("top"))
+    tried = materialize(best.select(F.greatest("node", "top.node").alias("a"), F.least("node", "top.node").alias("b")).distinct())
+    links = materialize(_verify(tried, texts))
+    labels = components(links)
+
+    mixed = materialize(_mixed(signed, labels))
+    buckets = max(1, mixed.count() // 200_000)
+    short = mixed.where(F.col("size") <= SHORT).select(F.pmod("sig", F.lit(buckets)).alias("bucket"), "sig", "node", "n", "label")
+    pairs = short.groupBy("bucket").applyInArrow(_listed, "a long, b long, total long").distinct().join(tried, ["a", "b"], "left_anti")
+    spanning = _in_blocks(mixed.where(F.col("size") > SHORT), maps, block, True)
+    rest = materialize(_by_bitmap(pairs, maps).unionByName(spanning).distinct())
+    more = materialize(_verify(rest, texts))
+    links = links.unionByName(more)
+    labels = components(links)
+
+    # A spanning pair that did not verify may have stood for others: lists with its nodes return all that passes.
+    failed = rest.join(more, ["a", "b"], "left_anti")
+    doubtful = failed.select(F.col("a").alias("node")).unionByName(failed.select(F.col("b").alias("node"))).distinct()
+    long_lists = mixed.where(F.col("size") > SHORT).select("sig", "node")
+    again = signed.join(long_lists.join(doubtful, "node", "left_semi").select("sig").distinct(), "sig", "left_semi")
+    last = _in_blocks(_mixed(again, labels), maps, block, False).join(rest, ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti")
+    found = components(links.unionByName(_verify(materialize(last), texts)))
     discard(texts)
     discard(signed)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._store import materialize
+from tidemark.llm._store import bounded_batches, materialize
 
 MAX_TOKENS = 2048
 END_ID = 1
@@ -60,6 +60,7 @@ def encode(text: str, name: str = TOKENIZER) -> list[int]:
 
 def pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """One row per piece of at most ``max_tokens`` ids; each id of a document is in exactly one."""
+    bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

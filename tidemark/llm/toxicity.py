@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm._store import bounded_batches
 from tidemark.llm._words import _BYTE, ALNUM_WORDS, Texts, Words, _powers, mix, slices, words
 
 #: Labelled rows that are learned from, at most, of either kind.
@@ -191,6 +192,7 @@ def _sequences(texts: Texts, known: np.ndarray, around: int = 3) -> Iterator[tup
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model | None:
     """Learn from a bounded hash sample of the labelled rows that aren't held out."""
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
@@ -276,6 +278,7 @@ def _marginals(size: int, at: np.ndarray, own: list[list[int]], w: np.ndarray, b
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """The score of each whole text of ``docs`` (doc_id, text), and the spans (in code points) that are likely toxic."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
