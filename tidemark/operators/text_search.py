@@ -60,6 +60,10 @@ def and_scores(postings: DataFrame, stats: DataFrame, query: str) -> DataFrame:
     return or_scores(postings, stats, query).where(F.col("n_terms") == len(query_terms(query)))
 
 
+def _minus(offset: int):
+    return lambda p: p - offset
+
+
 def phrase_matches(postings: DataFrame, phrase: str) -> DataFrame:
     """id, dl, tf of the phrase: the terms' positions, moved to the phrase's start, meet in one group per document.
 
@@ -73,7 +77,7 @@ def phrase_matches(postings: DataFrame, phrase: str) -> DataFrame:
     for i, t in tokens:
         offsets.setdefault(t, []).append(i - first)
     starts = reduce(
-        lambda found, kv: found.when(F.col("term") == kv[0], F.flatten(F.array(*(F.transform("positions", lambda p, o=o: p - o) for o in kv[1])))),
+        lambda found, kv: found.when(F.col("term") == kv[0], F.flatten(F.array(*(F.transform("positions", _minus(o)) for o in kv[1])))),
         offsets.items(),
         F.when(F.lit(False), F.array().cast("array<int>")),
     )

@@ -99,7 +99,8 @@ class Store:
         version = self._pointer(name)
         if version is None:
             raise SourceError(f"no table {name} in {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{name}/{version}")
+        reader = self.spark.read.schema(self.SCHEMAS[name]) if name in self.SCHEMAS else self.spark.read
+        return reader.parquet(f"{self.path}/{name}/{version}")
 
     def overwrite(self, name: str, df: DataFrame) -> str:
         """A new version with the rows of ``df``, which may read the current one."""
