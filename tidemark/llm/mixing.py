@@ -76,14 +76,21 @@ def flight(share: np.ndarray, size: np.ndarray) -> np.ndarray:
         inside = [k for k in inside if 0 < p[k] < 1]
 
 
-def land(share: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Settle what a flight leaves: of all choices for its few entries, that with the nearest total of words."""
+def land(share: np.ndarray, size: np.ndarray, spare: int = 10) -> np.ndarray:
+    """Settle what a flight leaves: its few open entries, and up to ``spare`` settled ones of no greater size, which may change
+    sides so that the total of words comes out nearest; of equally near choices, one that changes fewer."""
     p = share.copy()
     open_ = np.flatnonzero((p > 0) & (p < 1))
     if len(open_):
-        choices = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
         wanted = (p[open_] * size[open_]).sum()
-        p[open_] = choices[np.argmin(np.abs(choices @ size[open_] - wanted))]
+        other = np.flatnonzero(((p <= 0) | (p >= 1)) & (size > 0) & (size <= size[open_].max()))
+        other = other[np.argsort(size[other], kind="stable")]
+        other = other[np.unique(np.linspace(0, len(other) - 1, spare).astype(int))] if len(other) else other
+        units = np.concatenate([open_, other])
+        choices = (np.arange(1 << len(units))[:, None] >> np.arange(len(units))) & 1
+        total = choices @ size[units] - (wanted + (p[other] * size[other]).sum())
+        flips = (choices[:, len(open_) :] != p[other]).sum(1)
+        p[units] = choices[np.lexsort((flips, np.abs(total)))[0]]
     return p
 
 
