@@ -27,8 +27,9 @@ from tidemark.llm._words import _BYTE, ALNUM_WORDS, Texts, Words, _powers, mix,
 
 #: Labelled rows that are learned from, at most, of either kind.
 TOXIC_ROWS, CLEAN_ROWS = 3_000, 9_000
-#: Features kept, at most; documents that one must stand in; times that its share in toxic documents exceeds that in clean ones.
-MAX_FEATURES, MIN_DOCS, MIN_LIFT = 4_000, 4, 8.0
+#: Features kept, at most; times that one's share in toxic documents exceeds that in clean ones; and how unlikely that is by chance, as
+#: the logarithm of a bound: 9 is about four toxic documents and no clean one.
+MAX_FEATURES, MIN_LIFT, MIN_EVIDENCE = 4_000, 8.0, 9.0
 PREFIXES = (4, 5, 6)
 HELD_OUT_OF, HELD_OUT = 4, 2
 TOXIC_AT = 0.3
@@ -221,7 +222,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
         return None
     table = sample.mapInArrow(each, "feature long, toxic int").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     lift = (F.col("a") / n[1]) / ((F.col("b") + 0.5) / n[0])
-    strong = table.where((F.col("a") >= MIN_DOCS) & (lift >= MIN_LIFT)).orderBy(F.desc(F.col("a") / (F.col("b") + 0.5) * F.sqrt("a")), "feature").limit(MAX_FEATURES)
+    base = n[1] / (n[0] + n[1])
+    x = F.col("a") / (F.col("a") + F.col("b"))
+    evidence = (F.col("a") + F.col("b")) * (x * F.log(x / base) + F.when(F.col("b") > 0, (1 - x) * F.log((1 - x) / (1 - base))).otherwise(0.0))
+    strong = table.where((F.col("a") > 0) & (lift >= MIN_LIFT)).where(evidence >= MIN_EVIDENCE).orderBy(F.desc(F.col("a") / (F.col("b") + 0.5) * F.sqrt("a")), "feature").limit(MAX_FEATURES)
     chosen = np.array([r["feature"] for r in strong.select("feature").collect()], np.int64).view(np.uint64)
     if not len(chosen):
         return None
