@@ -10,7 +10,8 @@ from tidemark.llm import line_dedup, mixing, vectors
 from tidemark.llm.components import components
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1_000_000, 0])
+def test_components(spark, one_task):
     rng = np.random.default_rng(1)
     chain = [(i, i + 1) for i in range(200, 300)]
     star = [(1, i) for i in range(2, 80)]
@@ -26,9 +27,9 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7), one_task).collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), one_task).count() == 0
 
 
 def planted_vectors(seed=2, n=400, groups=30):

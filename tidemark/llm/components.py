@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from tidemark.llm._store import materialize
 
 
+#: Edges that one task solves, at most: 16 bytes each.
+ONE_TASK = 1_000_000
+
+
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each node but the smallest of its component, and that smallest node, for the components of these edges."""
     nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -41,16 +45,27 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["node", "component"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        a, b = stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["node", "component"])
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """``edges`` (two long columns, no nulls) as node, component for each node that isn't the smallest of its component.
 
-    Alternating large-star and small-star steps: every step links neighbours to a smaller node and keeps components, and the end
-    is reached in a number of rounds that grows with the logarithm of the longest path. Edges are first contracted within
-    batches. The smallest neighbour of a node is a partial aggregate, so a node with very many edges is no hot spot there; the
+    Up to ``one_task`` edges, counted first, are solved in one task of an executor in bounded memory; more go through alternating
+    large-star and small-star steps over all executors, with the same result: every step links neighbours to a smaller node and
+    keeps components, and the end is reached in a number of rounds that grows with the logarithm of the longest path. Edges are first
+    contracted within batches. The smallest neighbour of a node is a partial aggregate, so a node with very many edges is no hot spot there; the
     joins that follow are ones that adaptive execution can split.
     """
     a, b = edges.columns
-    now = materialize(edges.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("component")).where("node != component").mapInArrow(_contract, "node long, component long").distinct())
+    now = materialize(edges.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("component")).where("node != component").mapInArrow(_contract, "node long, component long"))
+    if now.count() <= one_task:
+        return materialize(now.coalesce(1).mapInArrow(_solve, "node long, component long"))
+    now = now.distinct()
     mark = None
     while True:
         found = now.agg(F.count("*"), F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first()

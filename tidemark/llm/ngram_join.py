@@ -10,7 +10,7 @@ of any partner. From there on only extended prefixes matter:
    partner's required overlap: rare tokens alone, frequent ones as all pairs of tokens within a class. Classes are a hash of the
    token; of each class one token is lost to pairing, so there are at most as many classes as the extended prefix has tokens to
    spare. Which classes hold depends on the size of documents, in overlapping levels, so both sides of a link agree.
-3. Star round: each signature proposes its node with the fewest tokens of its own (the likely original) to all others; every node verifies
+3. Star round: each signature proposes its node with the most common tokens (the likely original) to all others; every node verifies
    the proposal that most of its signatures make. Verification computes both sets from whole texts. A large group of near copies
    becomes one component with about as many verifications as members.
 4. Rest: where a signature's nodes are in different components, such pairs are compared by size and by parity bitmaps, which bound the size of
@@ -38,15 +38,19 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._store import bounded_batches, discard, materialize
 from tidemark.llm._words import mix, shingle_sets, slices
-from tidemark.llm.components import components
+from tidemark.llm.components import components, stars
 
 WIDTH, PERCENT = 5, 75
 #: A shingle in more nodes than this is frequent and is indexed in pairs.
 RARE = 64
 #: One spare prefix token for so many shingles.
-SPARE = 12
+SPARE = 8
 #: Tokens in a bucket, on average; nodes of either side in a block; nodes in a short list, at most.
-BUCKET_TOKENS, BLOCK, SHORT = 400_000, 1024, 64
+BUCKET_TOKENS, BLOCK, SHORT = 400_000, 4096, 64
+#: Entries of short lists in a bucket, on average: the larger, the fewer times is a pair found.
+BUCKET_ENTRIES = 1_000_000
+#: One of so many long lists is compared before the others.
+EARLY = 16
 _LEVEL = math.log(100 / (PERCENT - 1))
 
 
@@ -101,7 +105,7 @@ def _unplanes(data: bytes, columns: int) -> list[np.ndarray]:
 def _pack(buckets: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     order = np.argsort(buckets, kind="stable")
     which, begin = np.unique(buckets[order], return_index=True)
-    ends = np.append(begin[1:], len(order))
+    ends = np.append(begin, len(order))[1:]
     sorted_ = [c[order] for c in columns]
     return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([_planes(*(c[a:b] for c in sorted_)) for a, b in zip(begin, ends, strict=True)], pa.binary())], ["bucket", "data"])
 
@@ -251,7 +255,7 @@ def _sign(table: pa.Table) -> pa.Table:
         sig.append(s)
         who.append(nodes[i])
         size.append(n[a])
-        own.append((int(prefix_size(n[a])) - (b - a)) / int(prefix_size(n[a])))
+        own.append(-np.log2(often[a:b].astype(float)).sum() / int(prefix_size(n[a])))
         times.append(len(s))
     spread = lambda v, t: pa.array(np.repeat(np.array(v, t), times))
     return pa.table({"sig": pa.array(np.concatenate(sig).view(np.int64)), "node": spread(who, np.int64), "n": spread(size, np.int32), "own": spread(own, np.float32)})
@@ -336,7 +340,7 @@ def _listed(table: pa.Table) -> pa.Table:
     sig, node, n, label = (table.column(c).to_numpy() for c in ("sig", "node", "n", "label"))
     order = np.lexsort((n, sig))
     sig, node, n, label = sig[order], node[order], n[order].astype(np.int64), label[order]
-    out: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
+    out, held = [np.zeros((0, 3), np.int64)], 0
     for k in range(1, SHORT):
         i = np.flatnonzero(sig[k:] == sig[:-k])
         if not len(i):
@@ -344,10 +348,34 @@ def _listed(table: pa.Table) -> pa.Table:
         i = i[(label[i] != label[i + k]) & (n[i + k] * PERCENT <= n[i] * 100)]
         a, b = node[i], node[i + k]
         out.append(np.stack([np.maximum(a, b), np.minimum(a, b), n[i] + n[i + k]], 1))
+        held += len(i)
+        if held > 1_000_000:
+            out, held = [np.unique(np.concatenate(out), axis=0)], 0
     pairs = np.unique(np.concatenate(out), axis=0)
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "total": pa.array(pairs[:, 2])})
 
 
+def _spanning(margin: np.ndarray, i: np.ndarray, j: np.ndarray, group: np.ndarray, each: int = 8) -> np.ndarray:
+    """Edges (i, j) that hold a spanning forest over the groups, by Boruvka's rounds: the ``each`` edges of lowest margin that leave a
+    component. One would do if all were links; some more make it likely that one is."""
+    order = np.argsort(margin, kind="stable")
+    a, b = group[i[order]], group[j[order]]
+    chosen: list[np.ndarray] = [np.zeros(0, np.int64)]
+    while len(order):
+        ends = np.stack([a, b], 1).ravel()
+        by = np.argsort(ends, kind="stable")
+        begin = np.flatnonzero(np.concatenate(([True], ends[by][1:] != ends[by][:-1])))
+        rank = np.arange(len(by)) - np.repeat(begin, np.diff(np.append(begin, len(by))))
+        chosen.append(order[np.unique(by[rank < each] // 2)])
+        best = np.unique(by[rank == 0] // 2)
+        child, root = stars(a[best], b[best])
+        at = np.minimum(np.searchsorted(child, a), len(child) - 1), np.minimum(np.searchsorted(child, b), len(child) - 1)
+        a, b = np.where(child[at[0]] == a, root[at[0]], a), np.where(child[at[1]] == b, root[at[1]], b)
+        apart = a != b
+        a, b, order = a[apart], b[apart], order[apart]
+    return np.unique(np.concatenate(chosen))
+
+
 def _close(spanning: bool):
     """Pairs of a block of a long list, of different components, that size and bitmap let pass; or a spanning part of them."""
 
@@ -358,41 +386,48 @@ def _close(spanning: bool):
         node, n, label, side, wide = node[order], n[order].astype(np.int64), label[order], side[order], wide[order]
         raw = table.column("map").combine_chunks()
         maps = [np.frombuffer(raw[int(i)].as_buffer(), np.uint8) for i in order]
-        names, group = np.unique(label, return_inverse=True)
-        root = np.arange(len(names))
-        found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        top = np.searchsorted(n, n * 100 // PERCENT, "right")
+        left, right, margins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         # Sizes are sorted: partners of at least a node's own size stand behind it, and the bitmap of a smaller set is not longer.
         for size in np.unique(wide):
-            folded = None
-            for i in np.flatnonzero(wide == size):
-                hi = np.searchsorted(n, n[i] * 100 // PERCENT, "right")
-                near = np.arange(i + 1, hi)
+            mine = np.flatnonzero(wide == size)
+            first, stop = mine[0], top[mine].max()
+            folded = np.stack([_fold(maps[j], size) if len(maps[j]) >= size else np.zeros(size, np.uint8) for j in range(first, stop)]).view(np.uint64)
+            for i in mine:
+                near = np.arange(i + 1, top[i])
                 near = near[label[near] != label[i]]
                 near = near[(side[near] == 2) | (side[near] != side[i])]
-                if spanning:
-                    near = near[root[group[near]] != root[group[i]]]
-                if not len(near):
-                    continue
-                if folded is None:
-                    at = np.flatnonzero(wide >= size)
-                    folded = np.zeros((len(maps), size), np.uint8)
-                    for j in at[(at <= np.searchsorted(n, n[wide == size].max() * 100 // PERCENT, "right"))]:
-                        folded[j] = _fold(maps[j], size)
-                apart = np.bitwise_count(folded[near] ^ folded[i]).sum(1, dtype=np.int64)
-                near = near[_may_link(apart, n[i] + n[near])]
-                if spanning and len(near):
-                    near = near[np.unique(root[group[near]], return_index=True)[1]]
-                    root[np.isin(root, root[group[near]])] = root[group[i]]
-                found.append(np.stack([np.full(len(near), node[i]), node[near]], 1))
-        pairs = np.concatenate(found)
-        return pa.table({"a": pa.array(pairs.max(1) if len(pairs) else pairs[:, 0]), "b": pa.array(pairs.min(1) if len(pairs) else pairs[:, 1])})
+                if len(near):
+                    apart = np.bitwise_count(folded[near - first] ^ folded[i - first]).sum(1, dtype=np.int64)
+                    both = n[i] + n[near]
+                    good = _may_link(apart, both)
+                    near = near[good]
+                    left.append(np.full(len(near), i))
+                    right.append(near)
+                    margins.append(apart[good] / both[good])
+        i, j = np.concatenate(left), np.concatenate(right)
+        if spanning:
+            chosen = _spanning(np.concatenate(margins), i, j, label)
+            i, j = i[chosen], j[chosen]
+        return pa.table({"a": pa.array(np.maximum(node[i], node[j])), "b": pa.array(np.minimum(node[i], node[j]))})
 
     return run
 
 
+def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the component of each node as label."""
+    return rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+
+def _still_mixed(rows: DataFrame) -> DataFrame:
+    """The rows of those lists whose nodes are in different components."""
+    lists = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return rows.join(lists.select("sig"), "sig", "left_semi")
+
+
 def _mixed(signed: DataFrame, labels: DataFrame) -> DataFrame:
     """sig, node, n, label, size of the lists whose nodes are in different components."""
-    found = signed.select("sig", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    found = _relabelled(signed.select("sig", "node", "n"), labels)
     lists = found.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").cast("int").alias("size")).where("low < high")
     return found.join(lists.select("sig", "size"), "sig")
 
@@ -440,7 +475,15 @@ def classes(docs: DataFrame, block: int = BLOCK, bucket_tokens: int = BUCKET_TOK
     labels = components(links)
 
     mixed = materialize(_mixed(signed, labels))
-    buckets = max(1, mixed.count() // 200_000)
+    # A part of the long lists goes first: it joins most of what belongs together, and then few lists are left to compare.
+    early = _in_blocks(mixed.where((F.col("size") > SHORT) & (F.pmod(F.xxhash64("sig"), F.lit(EARLY)) == 0)), maps, block, True)
+    early = materialize(early.join(tried, ["a", "b"], "left_anti"))
+    joined = materialize(_verify(early, texts))
+    links = links.unionByName(joined)
+    tried = tried.unionByName(early)
+    mixed = materialize(_still_mixed(_relabelled(mixed, components(links))))
+
+    buckets = max(1, mixed.count() // BUCKET_ENTRIES)
     short = mixed.where(F.col("size") <= SHORT).select(F.pmod("sig", F.lit(buckets)).alias("bucket"), "sig", "node", "n", "label")
     pairs = short.groupBy("bucket").applyInArrow(_listed, "a long, b long, total long").distinct().join(tried, ["a", "b"], "left_anti")
     spanning = _in_blocks(mixed.where(F.col("size") > SHORT), maps, block, True)
@@ -450,11 +493,12 @@ def classes(docs: DataFrame, block: int = BLOCK, bucket_tokens: int = BUCKET_TOK
     labels = components(links)
 
     # A spanning pair that did not verify may have stood for others: lists with its nodes return all that passes.
-    failed = rest.join(more, ["a", "b"], "left_anti")
+    failed = rest.unionByName(early).join(more.unionByName(joined), ["a", "b"], "left_anti")
     doubtful = failed.select(F.col("a").alias("node")).unionByName(failed.select(F.col("b").alias("node"))).distinct()
-    long_lists = mixed.where(F.col("size") > SHORT).select("sig", "node")
-    again = signed.join(long_lists.join(doubtful, "node", "left_semi").select("sig").distinct(), "sig", "left_semi")
-    last = _in_blocks(_mixed(again, labels), maps, block, False).join(rest, ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti")
+    open_ = _still_mixed(_relabelled(mixed.where(F.col("size") > SHORT), labels))
+    again = open_.join(doubtful, "node", "left_semi").select("sig").distinct()
+    last = _in_blocks(open_.join(again, "sig", "left_semi"), maps, block, False)
+    last = last.join(rest.unionByName(tried), ["a", "b"], "left_anti")
     found = components(links.unionByName(_verify(materialize(last), texts)))
     discard(texts)
     discard(signed)
