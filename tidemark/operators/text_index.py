@@ -18,7 +18,8 @@ from tidemark.functions import text as X
 def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """term, id, tf, dl, positions. Positions count stop words, lengths don't.
 
-    Grouping happens within each document's own token array: the build has no shuffle.
+    Each term is counted in its document's own token array, without a shuffle: for queries, whose few terms are filtered before
+    that. For all terms of long documents see :func:`exploded_postings`.
     """
     at = F.transform(X.tokens(text_col), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
     kept = F.filter(at, lambda x: ~X.is_stop(x["t"]))
@@ -29,7 +30,7 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
 
 
 def exploded_postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """The same by exploding tokens and grouping on (id, term): better for very long documents, at the cost of a shuffle."""
+    """The same by exploding tokens and grouping on (id, term), in time that follows the number of tokens: for building an index."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), X.tokens(text_col).alias("tokens"))
     rows = rows.select("id", F.size(F.filter("tokens", lambda t: ~X.is_stop(t))).alias("dl"), F.posexplode("tokens").alias("pos", "term")).where(~X.is_stop(F.col("term")))
     return rows.groupBy("term", "id", "dl").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).select("term", "id", "tf", "dl", "positions")
@@ -49,7 +50,7 @@ class TextIndex:
 
     def write(self, docs: DataFrame, id_col: str = "id", text_col: str = "content", partitions: int | None = None) -> None:
         """Build from ``docs``; an index that is there is replaced."""
-        by_term = postings(docs, id_col, text_col)
+        by_term = exploded_postings(docs, id_col, text_col)
         by_term = by_term.repartitionByRange(partitions, "term") if partitions else by_term.repartitionByRange("term")
         by_term.sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{self.path}/postings")
         stored = docs.select(F.col(id_col).cast("string").alias("id"), *(c for c in ("doc_id", "doc_path", "category", "category_text") if c in docs.columns), F.col(text_col).alias("content"))

@@ -160,7 +160,7 @@ s AS (SELECT item_id, p.doc_id, round(sum({IDF} * {WEIGHT}), 3) AS score FROM q
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT item_id, doc_id, score, rank::INT AS rank FROM r WHERE rank <= 3""")
 def batch_bm25_benchmark(spark, sf):
-    p, s = _postings(spark, sf)
+    p, s = text_index.exploded_postings(docs(spark, sf), "doc_id", "text"), text_index.corpus_stats(docs(spark, sf), "text")
     q = read(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(X.terms("text"))).alias("term"))
     hits = p.select("term", F.col("id").cast("long").alias("doc_id"), "tf", "dl").join(q.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
