@@ -10,6 +10,11 @@ def _d(v: Column | str) -> Column:
     return (F.col(v) if isinstance(v, str) else v).cast("array<double>")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once: inside a lambda, an outer expression is computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def literal(v: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in v))
 
@@ -50,8 +55,7 @@ def score(d: Column) -> Column:
 
 
 def normalize(v: Column | str, eps: float = 1e-6) -> Column:
-    n = F.greatest(norm(v), F.lit(eps))
-    return F.transform(_d(v), lambda x: x / n)
+    return let(_d(v), lambda a: let(F.greatest(F.sqrt(total(F.transform(a, lambda x: x * x))), F.lit(eps)), lambda n: F.transform(a, lambda x: x / n)))
 
 
 def masked_mean(vectors: Column | str, mask: Column | str, eps: float = 1e-12) -> Column:

@@ -32,7 +32,9 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
 def exploded_postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """The same by exploding tokens and grouping on (id, term), in time that follows the number of tokens: for building an index."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), X.tokens(text_col).alias("tokens"))
-    rows = rows.select("id", F.size(F.filter("tokens", lambda t: ~X.is_stop(t))).alias("dl"), F.posexplode("tokens").alias("pos", "term")).where(~X.is_stop(F.col("term")))
+    # Lengths are counted below the explode: beside it they would be counted again for every token.
+    rows = rows.select("id", "tokens", F.size(F.filter("tokens", lambda t: ~X.is_stop(t))).alias("dl"))
+    rows = rows.select("id", "dl", F.posexplode("tokens").alias("pos", "term")).where(~X.is_stop(F.col("term")))
     return rows.groupBy("term", "id", "dl").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).select("term", "id", "tf", "dl", "positions")
 
 
