@@ -49,6 +49,8 @@ SPARE = 8
 BUCKET_TOKENS, BLOCK, SHORT = 400_000, 4096, 64
 #: Entries of short lists in a bucket, on average: the larger, the fewer times is a pair found.
 BUCKET_ENTRIES = 1_000_000
+#: Entries of long lists in a bucket, on average; each comes with its bitmap.
+BLOCK_ENTRIES = 40_000
 #: One of so many long lists is compared before the others.
 EARLY = 16
 _LEVEL = math.log(100 / (PERCENT - 1))
@@ -377,15 +379,13 @@ def _spanning(margin: np.ndarray, i: np.ndarray, j: np.ndarray, group: np.ndarra
 
 
 def _close(spanning: bool):
-    """Pairs of a block of a long list, of different components, that size and bitmap let pass; or a spanning part of them."""
+    """Pairs of the blocks of long lists in a bucket, of different components, that size and bitmap let pass, each once; or a spanning
+    part of them."""
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        node, n, label, side, wide = (table.column(c).to_numpy() for c in ("node", "n", "label", "side", "bytes"))
+    def block(node, n, label, side, wide, maps) -> np.ndarray:
         order = np.argsort(n, kind="stable")
-        node, n, label, side, wide = node[order], n[order].astype(np.int64), label[order], side[order], wide[order]
-        raw = table.column("map").combine_chunks()
-        maps = [np.frombuffer(raw[int(i)].as_buffer(), np.uint8) for i in order]
+        node, n, label, side, wide = node[order], n[order], label[order], side[order], wide[order]
+        maps = [maps[i] for i in order]
         top = np.searchsorted(n, n * 100 // PERCENT, "right")
         left, right, margins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         # Sizes are sorted: partners of at least a node's own size stand behind it, and the bitmap of a smaller set is not longer.
@@ -409,7 +409,21 @@ def _close(spanning: bool):
         if spanning:
             chosen = _spanning(np.concatenate(margins), i, j, label)
             i, j = i[chosen], j[chosen]
-        return pa.table({"a": pa.array(np.maximum(node[i], node[j])), "b": pa.array(np.minimum(node[i], node[j]))})
+        return np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])], 1)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        keys = [table.column(c).to_numpy() for c in ("j", "i", "sig")]
+        order = np.lexsort(keys)
+        changed = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+        raw = table.column("map").combine_chunks()
+        own = [table.column(c).to_numpy() for c in ("node", "n", "label", "side", "bytes")]
+        own[1] = own[1].astype(np.int64)
+        found = np.zeros((0, 2), np.int64)
+        for part in np.split(order, np.flatnonzero(changed) + 1):
+            pairs = block(*(c[part] for c in own), [np.frombuffer(raw[int(i)].as_buffer(), np.uint8) for i in part])
+            found = np.unique(np.concatenate([found, pairs]), axis=0) if len(pairs) else found
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     return run
 
@@ -432,8 +446,8 @@ def _mixed(signed: DataFrame, labels: DataFrame) -> DataFrame:
     return found.join(lists.select("sig", "size"), "sig")
 
 
-def _in_blocks(rows: DataFrame, maps: DataFrame, block: int, spanning: bool) -> DataFrame:
-    """Pairs of long lists."""
+def _in_blocks(rows: DataFrame, maps: DataFrame, block: int, spanning: bool, buckets: int) -> DataFrame:
+    """Pairs of long lists. Blocks share ``buckets``, so that a pair that many lists hold is returned a few times only."""
     rows = rows.join(maps, "node").withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # A list's nodes meet in blocks (i, j), i <= j: side 0 against side 1, or (2) among themselves.
@@ -441,7 +455,8 @@ def _in_blocks(rows: DataFrame, maps: DataFrame, block: int, spanning: bool) ->
     i, j = F.least("part", "other"), F.greatest("part", "other")
     side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
     met = met.select("sig", i.alias("i"), j.alias("j"), side.alias("side"), "node", "n", "label", "bytes", "map")
-    return met.groupBy("sig", "i", "j").applyInArrow(_close(spanning), "a long, b long").distinct()
+    dealt = met.withColumn("bucket", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInArrow(_close(spanning), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, block: int = BLOCK, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
@@ -475,8 +490,9 @@ def classes(docs: DataFrame, block: int = BLOCK, bucket_tokens: int = BUCKET_TOK
     labels = components(links)
 
     mixed = materialize(_mixed(signed, labels))
+    blocks_in = max(1, mixed.count() // BLOCK_ENTRIES)
     # A part of the long lists goes first: it joins most of what belongs together, and then few lists are left to compare.
-    early = _in_blocks(mixed.where((F.col("size") > SHORT) & (F.pmod(F.xxhash64("sig"), F.lit(EARLY)) == 0)), maps, block, True)
+    early = _in_blocks(mixed.where((F.col("size") > SHORT) & (F.pmod(F.xxhash64("sig"), F.lit(EARLY)) == 0)), maps, block, True, blocks_in)
     early = materialize(early.join(tried, ["a", "b"], "left_anti"))
     joined = materialize(_verify(early, texts))
     links = links.unionByName(joined)
@@ -486,7 +502,7 @@ def classes(docs: DataFrame, block: int = BLOCK, bucket_tokens: int = BUCKET_TOK
     buckets = max(1, mixed.count() // BUCKET_ENTRIES)
     short = mixed.where(F.col("size") <= SHORT).select(F.pmod("sig", F.lit(buckets)).alias("bucket"), "sig", "node", "n", "label")
     pairs = short.groupBy("bucket").applyInArrow(_listed, "a long, b long, total long").distinct().join(tried, ["a", "b"], "left_anti")
-    spanning = _in_blocks(mixed.where(F.col("size") > SHORT), maps, block, True)
+    spanning = _in_blocks(mixed.where(F.col("size") > SHORT), maps, block, True, blocks_in)
     rest = materialize(_by_bitmap(pairs, maps).unionByName(spanning).distinct())
     more = materialize(_verify(rest, texts))
     links = links.unionByName(more)
@@ -497,7 +513,7 @@ def classes(docs: DataFrame, block: int = BLOCK, bucket_tokens: int = BUCKET_TOK
     doubtful = failed.select(F.col("a").alias("node")).unionByName(failed.select(F.col("b").alias("node"))).distinct()
     open_ = _still_mixed(_relabelled(mixed.where(F.col("size") > SHORT), labels))
     again = open_.join(doubtful, "node", "left_semi").select("sig").distinct()
-    last = _in_blocks(open_.join(again, "sig", "left_semi"), maps, block, False)
+    last = _in_blocks(open_.join(again, "sig", "left_semi"), maps, block, False, blocks_in)
     last = last.join(rest.unionByName(tried), ["a", "b"], "left_anti")
     found = components(links.unionByName(_verify(materialize(last), texts)))
     discard(texts)
