@@ -143,6 +143,25 @@ def test_mixing(spark, group_rows):
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
 
 
+def test_mixing_small_sources_beside_a_large_one(spark):
+    rng = np.random.default_rng(8)
+    names = ["large"] * 400 + [f"s{i % 6}" for i in range(240)]
+    sizes = np.exp(rng.normal(5, 1.2, len(names))).astype(int) + 1
+    d = docs(spark, [(i, "w " * int(n), "en", s) for i, (n, s) in enumerate(zip(sizes, names, strict=True))])
+    taken, target = Counter(), {}
+    for r in mixing.mix(d, group_rows=64).collect():
+        taken[names[r["doc_id"]]] += r["taken"]
+        target[names[r["doc_id"]]] = r["target"]
+    assert len(target) == 7 and all(abs(taken[s] - target[s]) <= 50 for s in target)
+
+
+def test_landing_evens_out_one_long_document():
+    size = np.array([9000, *range(5, 2000, 5), 4])
+    p = np.array([0.5, *([1.0, 0.0] * 200)[:399], 0.7])
+    landed = mixing.land(p, size)
+    assert set(landed) <= {0.0, 1.0} and (landed != p).sum() <= 12 and abs((landed - p) @ size) <= 50
+
+
 def test_mixing_edges(spark):
     e = docs(spark, edge_rows())
     got = mixing.mix(e).collect()

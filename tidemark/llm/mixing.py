@@ -6,9 +6,10 @@ two balance equations of a source, words and documents, until a probability is 0
 documents of a group stay undecided.
 
 Documents are dealt to groups of about ``group_rows`` by a hash of their content, within their source, so that a source with a third of all
-rows becomes many groups. What stays undecided goes through the same in ever fewer groups until each source is one
-group; only then the landing phase settles the last documents of a source, choosing the nearest total. Reruns agree: groups,
-order and moves depend on rows alone.
+rows becomes many groups. What stays undecided goes through the same in ever fewer groups until its source is one
+group, whatever the others are; there the landing phase settles the last documents, choosing the nearest total. Each group hands
+some settled documents on with its undecided ones, so that every landing has others to trade with. Reruns agree: groups, order
+and moves depend on rows alone.
 
 Defined results: null and empty texts have size 0, a source without words has target 0; the null source is a source, last in
 order; repeated rows are sampled each; a null doc_id is kept; an empty table gives an empty table; :func:`mixed` returns the
@@ -29,6 +30,8 @@ from tidemark.llm._store import materialize
 WEIGHTS = (5, 2, 1)
 MOST = 3
 GROUP_ROWS = 4096
+#: Settled documents that a group hands on, and that a landing may trade.
+SPARE = 10
 SCHEMA = "doc_id long, size long, source_size long, target double, taken long"
 
 
@@ -76,16 +79,32 @@ def flight(share: np.ndarray, size: np.ndarray) -> np.ndarray:
         inside = [k for k in inside if 0 < p[k] < 1]
 
 
-def land(share: np.ndarray, size: np.ndarray, spare: int = 10) -> np.ndarray:
+def spares(share: np.ndarray, size: np.ndarray, spare: int = SPARE) -> np.ndarray:
+    """Where up to ``spare`` settled entries are that a landing may trade: taken and not taken in turn, near the half, the quarter
+    and so on of the largest open one, so that their sums and differences reach any total between."""
+    open_ = (share > 0) & (share < 1)
+    if not open_.any():
+        return np.zeros(0, np.int64)
+    most = size[open_].max()
+    free = ~open_ & (size > 0) & (size <= most)
+    picked: list[int] = []
+    for k in range(spare):
+        side = free & ((share >= 1) == (k % 2 == 0))
+        at = np.flatnonzero(side if side.any() else free)
+        if len(at):
+            picked.append(int(at[np.abs(size[at] - most / 2 ** (1 + k // 2)).argmin()]))
+            free[picked[-1]] = False
+    return np.array(picked, np.int64)
+
+
+def land(share: np.ndarray, size: np.ndarray, spare: int = SPARE) -> np.ndarray:
     """Settle what a flight leaves: its few open entries, and up to ``spare`` settled ones of no greater size, which may change
     sides so that the total of words comes out nearest; of equally near choices, one that changes fewer."""
     p = share.copy()
     open_ = np.flatnonzero((p > 0) & (p < 1))
     if len(open_):
         wanted = (p[open_] * size[open_]).sum()
-        other = np.flatnonzero(((p <= 0) | (p >= 1)) & (size > 0) & (size <= size[open_].max()))
-        other = other[np.argsort(size[other], kind="stable")]
-        other = other[np.unique(np.linspace(0, len(other) - 1, spare).astype(int))] if len(other) else other
+        other = spares(p, size, spare)
         units = np.concatenate([open_, other])
         choices = (np.arange(1 << len(units))[:, None] >> np.arange(len(units))) & 1
         total = choices @ size[units] - (wanted + (p[other] * size[other]).sum())
@@ -94,17 +113,23 @@ def land(share: np.ndarray, size: np.ndarray, spare: int = 10) -> np.ndarray:
     return p
 
 
-def _fly(rows: DataFrame, last: bool) -> DataFrame:
+def _fly(rows: DataFrame) -> DataFrame:
+    """``rows`` with their new shares; ``onward`` marks what a source of several groups hands on to its next round."""
+
     def run(table: pa.Table) -> pa.Table:
-        # Long documents first: those that stay undecided are short, and what landing changes is small.
+        # One order for each set of rows. A long document among short ones barely moves, so one of the open ones is often long.
         table = table.sort_by([("size", "descending"), ("doc_id", "ascending"), ("key", "ascending")])
         share, size = table.column("share").to_numpy(), table.column("size").to_numpy()
-        p = flight(share, size)
-        p = land(p, size) if last else p
-        return table.drop_columns(["group", "share"]).append_column("share", pa.array(p))
-
-    kept = [c for c in rows.columns if c not in ("group", "share")]
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", share double"
+        p, onward = flight(share, size), np.zeros(len(share), bool)
+        if table.column("groups")[0].as_py() <= 1:
+            p = land(p, size)
+        else:
+            onward = (p > 0) & (p < 1)
+            onward[spares(p, size)] = True
+        return table.drop_columns(["group", "groups", "share"]).append_column("share", pa.array(p)).append_column("onward", pa.array(onward))
+
+    kept = [c for c in rows.columns if c not in ("group", "groups", "share")]
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", share double, onward boolean"
     return rows.groupBy("source", "group").applyInArrow(run, schema)
 
 
@@ -123,18 +148,16 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     done = None
     while True:
         groups = F.ceil(F.col("n_docs") / group_rows)
-        dealt = rows.withColumn("group", F.pmod(F.xxhash64("key", "doc_id", "n_docs"), groups).cast("int")).drop("n_docs")
-        most_groups = rows.agg(F.max(groups)).first()[0]
-        last = most_groups is None or most_groups <= 1
-        flown = materialize(_fly(dealt, last))
-        settled = flown if last else flown.where((F.col("share") <= 0) | (F.col("share") >= 1))
+        dealt = rows.withColumn("groups", groups).withColumn("group", F.pmod(F.xxhash64("key", "doc_id", "n_docs"), groups).cast("int")).drop("n_docs")
+        flown = materialize(_fly(dealt))
+        settled = flown.where(~F.col("onward")).drop("onward")
         done = settled if done is None else done.unionByName(settled)
-        if last:
+        rows = flown.where("onward").drop("onward")
+        # Two a group at most: each round has a few thousandths of the open rows of the last. A group without open rows hands on none.
+        n = rows.where((F.col("share") > 0) & (F.col("share") < 1)).groupBy(F.col("source").alias("of")).agg(F.count("*").alias("n_docs"))
+        if n.isEmpty():
             break
-        open_ = flown.where((F.col("share") > 0) & (F.col("share") < 1))
-        # Two a group at most: each round has a few thousandths of the rows of the last.
-        n = open_.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("n_docs"))
-        rows = open_.join(n, open_.source.eqNullSafe(F.col("of"))).drop("of")
+        rows = rows.join(n, rows.source.eqNullSafe(F.col("of"))).drop("of")
     return done.select("doc_id", *kept, "size", "source_size", "target", (F.col("whole") + F.round("share")).cast("long").alias("taken"))
 
 
