@@ -112,6 +112,31 @@ def test_rule_counts(spark):
     assert sum(not r["kept"] for r, q in known if q == 0) >= 0.9 * sum(q == 0 for _, q in known)
 
 
+def test_forest_sees_every_rule(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, int(n)))) for n in rng.integers(3, 9, 3000)]
+
+    def text(n=200):
+        return "\n".join(" ".join(rng.choice(words, 10)) for _ in range(n // 10))
+
+    rows = [(i, text()) for i in range(400)]
+    rows += [(400 + i, " ".join(w if j % 3 else "#$%" for j, w in enumerate(text().split()))) for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i < 400), 0) for i in range(440)], "doc_id long, quality int, toxic int")
+    odd = {
+        1000: text(120) + "\n" + "\n".join(["so it goes on"] * 25),  # repeated words, under half of all
+        1001: text() + "\n" + "\n".join(["menu", "next"] * 10),  # repeated lines
+        1002: " ".join(w * 4 for w in text().split()),  # long words
+        1003: " ".join(w[:2] for w in text().split()),  # short words
+        1004: " ".join(w + "#" * (j % 5 == 0) for j, w in enumerate(text().split())),  # under 5 % of symbols
+    }
+    d = spark.createDataFrame([*rows, *odd.items()], "doc_id long, text string")
+    judge = quality.fit(d.where("doc_id < 1000"), labels)
+    got = {r["doc_id"]: r for r in quality.score(d, judge).collect()}
+    assert not any(got[i]["base_failed"] for i in odd) and got[1004]["n_symbols"] < 0.05 * len(odd[1004])
+    assert not any(got[i]["kept"] for i in [*odd, *range(400, 440)])
+    assert sum(not got[i]["kept"] for i in range(400)) <= 0.004 * 400
+
+
 def test_rule_edges(spark):
     e = docs(spark, edge_rows())
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
