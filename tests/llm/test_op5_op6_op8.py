@@ -87,6 +87,25 @@ def test_vectors(spark, block):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+@pytest.mark.parametrize("block", [2048, 60])
+def test_vectors_of_several_lengths(spark, block):
+    x, y, z = planted_vectors(), planted_vectors(3, 200, 15)[:, :12], planted_vectors(4, 40, 3)[:, :5]
+    x, y, z = ([[float(c) for c in v] for v in part] for part in (x, y, z))
+    # Multiples of one number: one component leaves nothing but the sign.
+    rows = [(i, v, i % 2) for i, v in enumerate([*x, *y, *z, *[[float(k)] for k in (1, 2, 3, -1, -4, 0, 2, 5)]])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(t, block=block).collect()}
+    assert set(got) == {i for i, _, _ in rows}
+    for d in (16, 12, 5, 1):
+        own = [r for r in rows if len(r[1]) == d]
+        wanted = plain_links(own)
+        found, real = sum(got[i]["n_links"] for i in wanted), sum(a for a, _ in wanted.values())
+        exact = d == 1 or len(own) <= block
+        assert real > 0 and (found == real if exact else 0.9 * real <= found <= real)
+        if found == real:
+            assert all((got[i]["n_links"], got[i]["component_id"]) == wanted[i] for i in wanted)
+
+
 def test_vector_edges(spark):
     kind = "vec_id long, embedding array<float>, label int"
     assert vectors.near_duplicates(spark.createDataFrame([], kind)).count() == 0

@@ -7,10 +7,13 @@ threshold around sampled vectors, and the visits must reach their cells for ``re
 verified in double precision, in blocks of a cell by a cell's visitors: a large cell becomes many blocks, and a block returns counts and a
 spanning part of its links, not pairs. Exact copies are one vector until the end.
 
+Vectors of each length have an index of their own, and meet only those of their label and length. A length of up to a block of
+vectors has one cell, where all are compared.
+
 A pair found from either side counts once: the visitor of a cell counts both sides unless the other one also visits the visitor's cell.
 
-Defined results: a vector that is null, zero, without a label or an id, with a null or non-finite component, or not of the most frequent length links
-with nothing; repeated rows are vectors of their own and link as copies; a null vec_id has a null component and isn't kept; an
+Defined results: a vector that is null, zero, without a label or an id, or with a null or non-finite component links
+with nothing; vectors of one component are equal if their signs are; repeated rows are vectors of their own and link as copies; a null vec_id has a null component and isn't kept; an
 empty table gives an empty table; other columns are not read.
 """
 
@@ -117,20 +120,8 @@ def _links(cosine: float):
     return run
 
 
-def near_duplicates(table: DataFrame, cosine: float = COSINE, recall: float = RECALL, fit_rows: int = FIT_ROWS, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of ``table`` (vec_id, embedding, label)."""
-    v = F.col("embedding")
-    sound = (
-        F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 1)
-        & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
-    )
-    rows = table.select("vec_id", "embedding", "label").withColumn("sound", F.coalesce(sound, F.lit(False)))
-    sizes = rows.where("sound").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    rows = rows.withColumn("sound", F.col("sound") & (F.size("embedding") == sizes["d"]))
-    reps = materialize(rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    total = reps.count()
+def _index(reps: DataFrame, total: int, cosine: float, recall: float, fit_rows: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """Codebooks and visits for ``reps``, which are ``total`` vectors of one length."""
     share = min(1.0, fit_rows / total)
     sample = reps.where(F.pmod(F.xxhash64("embedding"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("embedding").toArrow().column(0).combine_chunks()
     if not len(sample):
@@ -140,19 +131,41 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, recall: float = RE
     codes = max(1, min(MAX_CODES, len(x), round(total**0.25)))
     half = x.shape[1] // 2
     books = (kmeans(x[:, :half], codes), kmeans(x[:, half:], codes))
-    visits = calibrate(x, books, cosine, recall)
+    return books, calibrate(x, books, cosine, recall)
+
+
+def near_duplicates(table: DataFrame, cosine: float = COSINE, recall: float = RECALL, fit_rows: int = FIT_ROWS, block: int = BLOCK) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of ``table`` (vec_id, embedding, label)."""
+    v = F.col("embedding")
+    sound = (
+        F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull()
+        & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
+    )
+    rows = table.select("vec_id", "embedding", "label").withColumn("sound", F.coalesce(sound, F.lit(False)))
+    element = table.schema["embedding"].dataType.elementType.simpleString()
+    # Scaled to length one, vectors of one component are copies of two: they need no index, however many they are.
+    rows = rows.withColumn("embedding", F.when(F.col("sound") & (F.size(v) == 1), F.array(F.signum(F.get(v, F.lit(0))).cast(element))).otherwise(v))
+    reps = materialize(rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    lengths = reps.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect()
+    if not lengths:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    index = {r["d"]: _index(reps.where(F.size("embedding") == r["d"]), r["count"], cosine, recall, fit_rows) for r in lengths if r["d"] > 1 and r["count"] > block}
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                cells = traverse(_unit(part.column("embedding")), books, visits).astype(np.int32)
-                ends = pa.array(np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1])
-                listed = pa.ListArray.from_arrays(ends, pa.array(cells.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells[:, 0]), listed], [*part.schema.names, "home", "visits"])
-
-    element = reps.schema["embedding"].dataType.elementType.simpleString()
-    filed = materialize(reps.select(F.col("label").cast("string").alias("label"), "embedding", "rep", "n").mapInArrow(file, f"label string, embedding array<{element}>, rep long, n long, home int, visits array<int>"))
+            length = pa.compute.list_value_length(batch.column("embedding"))
+            for d in pa.compute.unique(length).to_pylist():
+                alike = batch.filter(pa.compute.equal(length, d))
+                for a in range(0, alike.num_rows, 512):
+                    part = alike.slice(a, 512)
+                    cells = (traverse(_unit(part.column("embedding")), *index[d]) if d in index else np.zeros((part.num_rows, 1))).astype(np.int32)
+                    ends = pa.array(np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1])
+                    listed = pa.ListArray.from_arrays(ends, pa.array(cells.ravel()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells[:, 0]), listed], [*part.schema.names, "home", "visits"])
+
+    # From here on a label is one of a length.
+    label = F.concat_ws("/", F.col("label").cast("string"), F.size("embedding")).alias("label")
+    filed = materialize(reps.select(label, "embedding", "rep", "n").mapInArrow(file, f"label string, embedding array<{element}>, rep long, n long, home int, visits array<int>"))
 
     own = filed.select("label", F.col("home").alias("cell"), "rep", "n", "embedding", "home", "visits")
     looks = filed.select("label", F.explode("visits").alias("cell"), "rep", "n", "embedding", "home", F.array().cast("array<int>").alias("visits"))
