@@ -39,6 +39,22 @@ def test_language_edges(spark, language):
     assert {r["lang_pred"] for r in langid.identify(docs(spark, [(1, "abc", "en", "a")]), None).collect()} == {"und"}
 
 
+def test_more_languages_than_families(spark):
+    rng = np.random.default_rng(6)
+    names = [f"x{i}" for i in range(124)] + ["en", "de", "fr"]
+    words = {n: ["".join(map(chr, rng.integers(97, 123, 4))) for _ in range(12)] for n in names}
+    # The last are the rarest.
+    rows = [(n, " ".join(rng.choice(words[n], 40))) for k, n in enumerate(names) for _ in range(8 if k < 110 else 7)]
+    d = docs(spark, [(i, t, n, None) for i, (n, t) in enumerate(rows)])
+    model = langid.fit(d)
+    assert sorted(lang for f in model.families.values() for lang in f) == sorted(names)
+    assert model.weights.shape[1] < len(names) ** 1.5
+    got = {r["doc_id"]: r for r in langid.identify(d, model).collect()}
+    held = [i for i in got if got[i]["held_out"]]
+    assert np.mean([got[i]["lang_pred"] == rows[i][0] for i in held]) > 0.95
+    assert {rows[i][0] for i in got if got[i]["lang_pred"] == rows[i][0]} == set(names)
+
+
 def test_families():
     assert langid.family_of("de") == langid.family_of("en") == "germanic" and langid.family_of("fr-CA") == "romance" and langid.family_of("xx") == "xx"
 
