@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import SF, ascii_lower, docs, edge_rows
@@ -45,10 +46,20 @@ def test_packing(spark, monkeypatch):
 
 def test_packing_edges(spark):
     rows = [*edge_rows(), (9, "x <|endoftext|> y", None, None)]
+    rows += [(10 + i, f"{a}{c * 2_000_000}{a}", None, None) for i, c in enumerate(" \t\n\u3000") for a in ("", "x")][:8]
     check_packing(spark, docs(spark, rows), [(i, t) for i, t, _, _ in rows])
     assert packing.pack(docs(spark, rows).where("false")).count() == 0
 
 
+def test_packing_of_copies(spark):
+    """A third of all rows are one document: its pieces are dealt out as counts."""
+    rows = [(1, "the same words " * 40, None, None)] * 500 + [(i, f"document {i} " * (i % 90), None, None) for i in range(1000)] + [(None, "no id", None, None)] * 30
+    d = docs(spark, rows).repartition(4)
+    check_packing(spark, d, [(i, t) for i, t, _, _ in rows])
+    plain = Counter(tuple(r) for r in packing.pack(d).collect())
+    assert Counter(tuple(r) for r in packing.pack(d.repartition(3), copies=7).collect()) == plain
+
+
 @settings(deadline=None, max_examples=200)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 300), max_size=20))
 def test_histogram_packing(counts):
@@ -69,15 +80,61 @@ def digest(turns):
     return len(turns), hashlib.sha256(text.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
 
 
+TURNS = st.lists(st.tuples(st.one_of(st.just("assistant"), st.text("a<\n\\ln", max_size=5)), st.text(max_size=40)), max_size=5)
+
+
+def encoded(text):
+    code = chat._tokenizer("byte_bpe_50k").encode(text, add_special_tokens=False)
+    return code.ids, *np.array(code.offsets, int).reshape(-1, 2).T
+
+
 @settings(deadline=None, max_examples=200)
-@given(st.lists(st.tuples(st.one_of(st.just("assistant"), st.text("a<\n\\ln", max_size=5)), st.text(max_size=40)), max_size=5))
+@given(TURNS)
 def test_chat_round_trip(turns):
     text, spans = chat.render(turns)
-    assert chat.parse(text) == turns
-    code = chat._tokenizer("byte_bpe_50k").encode(text, add_special_tokens=False)
-    mask, kept = chat.align(code.offsets, spans)
-    assert "".join(chat.unescape(text[a:b]) for a, b in kept) == "".join(t for r, t in turns if r == "assistant")
-    assert len(mask) == len(code.ids)
+    assert [(r, t) for r, t, _, _ in chat.parse(text)] == turns
+    _, start, end = encoded(text)
+    mask = chat.align(start, end, spans)
+    assert mask.tolist() == [any(s < b and e > a for a, b in spans) for s, e in zip(start, end, strict=True)]
+    assert "".join(map(chat.unescape, chat.masked_text(text, start, end, mask, spans))) == "".join(t for r, t in turns if r == "assistant")
+
+
+@settings(deadline=None, max_examples=100)
+@given(TURNS)
+def test_segments_encode_as_one(turns):
+    """Turns encoded each for itself have the ids of one pass over the conversation."""
+    assert [i for t in turns for i in encoded(chat.render([t])[0])[0]] == list(encoded(chat.render(turns)[0])[0])
+
+
+def test_mask_and_offsets_make_the_loss_text():
+    text, spans = chat.render([("user", "what is it"), ("assistant", "a plain answer of some words"), ("user", "thanks"), ("assistant", "bye then")])
+    _, start, end = encoded(text)
+    mask = chat.align(start, end, spans)
+    read = lambda s, e, m: chat.masked_text(text, s, e, m, spans)
+    assert read(start, end, mask) == ["a plain answer of some words", "bye then"]
+    for shift in (-3, 3):
+        with pytest.raises(ValueError, match="mask"):
+            read(start + shift, end + shift, mask)
+    for i in range(len(mask)):  # a bit more or less is seen
+        other = mask.copy()
+        other[i] = ~other[i]
+        with pytest.raises(ValueError, match="mask"):
+            read(start, end, other)
+
+
+def test_one_huge_conversation(spark):
+    """Most rows are one conversation, one turn is very long: ranges deal them, the result is the plain one."""
+    rows = [(5, i, ("user", "assistant")[i % 2], f"turn {i} <b> \\ é漢🙂") for i in range(3000)] + [(5, 3000, "assistant", "word " * 300_000)] + [(100 + i, 0, "assistant", f"x{i}") for i in range(200)]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    formatted = chat.format_chats(c, segment_chars=2000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else these few MB would be one task's
+    try:
+        assert formatted.where("conv_id = 5").select(F.shiftright("segment", 32).alias("task")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.digest(formatted).collect()}
+    assert got[5] == digest([(r, t) for c_, _, r, t in rows if c_ == 5]) and len(got) == 201
+    assert got[107] == digest([("assistant", "x7")])
 
 
 def test_chats(spark):

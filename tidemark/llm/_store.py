@@ -1,23 +1,24 @@
-"""Cutting lineage through the folder that all executors share."""
+"""Cutting lineage through the folder that all executors share, and what else several operators need of a session."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of its own only where the session names none (tests)."""
+    """The session's checkpoint folder. Where the session names none, one in the warehouse, which all executors share as well."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     return sc.getCheckpointDir()
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Python workers get at most ``rows`` rows at a time: texts may be long, and the default of 10,000 ignores that."""
+    """Let Python workers get at most ``rows`` rows at a time: the default of 10,000 and 64 MB ignores what is made of a text.
+    Plans read this setting when they run, so it stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
@@ -31,11 +32,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table from :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/t-" in top and top.startswith(shared_dir(spark).split(":", 1)[-1]) or shared_dir(spark) in top:
-            path = jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from :func:`materialize` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        home = shared_dir(spark).rstrip("/").rpartition("/")[2]
+        for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if f"/{home}/t-" in top:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns: list[str], base: str) -> str:
+    """A column name that ``columns`` don't have, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

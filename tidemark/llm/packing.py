@@ -5,17 +5,23 @@ most ``max_tokens`` bins whatever the corpus, so the driver packs the *histogram
 the open packs with the most room, and only the counts of packing patterns change. Patterns come back to documents by
 rank: the k-th piece of a length takes the k-th slot of that length.
 
-Ranks need no group of one length in one task: pieces are dealt to hash buckets, a running sum of the bucket counts
-gives each bucket's first rank, and ``row_number`` counts within a bucket only.
+Ranks need no group of one length in one task: equal pieces are one row with a count, which are dealt to hash buckets; a running
+sum of the bucket counts gives each bucket's first rank, and a running sum within a bucket the rest. Equal pieces, which
+take a run of ranks, become rows again at the end, ``COPIES`` in a task at most.
+
+Ids are those of ``tokenizers``. Ordinary texts get them from an equal and faster encoder over the same vocabulary; its
+regular expressions give out on very long runs of white space, so texts with a run of ``BLANKS`` go to ``tokenizers``, as do those with
+the string of a special token.
 
 Defined results: a null or empty text is one piece that holds the end token alone; a text of any length is encoded
-whole; repeated rows are packed as separate documents; a null id is kept; an empty table gives an empty table; other
-columns are not read.
+whole, whatever it holds; repeated rows are packed as separate documents; a null id is kept; an empty table gives an empty
+table; other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._store import bounded_batches, materialize
+from tidemark.llm._store import bounded_batches, discard, materialize
 
 MAX_TOKENS = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k"
-#: Pieces that one ranking bucket holds on average.
-RANK_BUCKET = 50_000
+#: Pieces that one ranking bucket holds on average; equal pieces that one row stands for when places are given out.
+RANK_BUCKET, COPIES = 50_000, 10_000
+#: White space in a row from which a text goes to the reference encoder; the fast one bears some hundred thousand.
+BLANKS = re.compile(r"\s{4096}")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -53,7 +61,7 @@ def encoders(name: str):
 
 def encode(text: str, name: str = TOKENIZER) -> list[int]:
     fast, whole, special = encoders(name)
-    if any(s in text for s in special):  # the fast encoder knows no special tokens
+    if any(s in text for s in special) or BLANKS.search(text):  # the fast encoder knows no special tokens
         return whole.encode(text, add_special_tokens=False).ids
     return fast.encode_ordinary(text)
 
@@ -120,24 +128,28 @@ def slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, tuple[
     return {k: tuple(np.array(c, np.int64) for c in zip(*v, strict=True)) for k, v in runs.items()}
 
 
-def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer: str = TOKENIZER, end_id: int = END_ID, copies: int = COPIES) -> DataFrame:
     """``docs`` (doc_id, text) as pieces with the sequence and the offset each has there."""
+    names = PIECES.replace(" long", "").split(", ")
     cut = materialize(pieces(docs, max_tokens, tokenizer, end_id))
     total = cut.count()
     buckets = max(1, -(-total // RANK_BUCKET))
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int").alias("bucket")
+    same = materialize(cut.groupBy(*names, bucket).agg(F.count("*").alias("n")))
+    discard(cut)
+    counts = same.groupBy("length", "bucket").agg(F.sum("n").alias("in_bucket"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    table = slots(pack_histogram(histogram, max_tokens))
-
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
-    ranked = (
-        dealt.withColumn("row", F.row_number().over(within) - 1)
-        .join(first, ["length", "bucket"])
-        .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("row")).alias("rank"))
-    )
+    first = counts.select("length", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("first"))
+    found = same.groupBy("length").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()  # max_tokens rows at most
+    table = slots(pack_histogram({r["length"]: r["n"] for r in found}, max_tokens))
+
+    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = same.withColumn("upto", F.coalesce(F.sum("n").over(within), F.lit(0))).join(first, ["length", "bucket"]).select(*names, (F.col("first") + F.col("upto")).alias("rank"), "n")
+    if max((r["most"] for r in found), default=1) > copies:
+        # A row for each so many equal pieces, dealt out before they become rows themselves.
+        parts = ranked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(copies).cast("long"))).alias("at"))
+        ranked = parts.select(*names, (F.col("rank") + F.col("at")).alias("rank"), F.least(F.col("n") - F.col("at"), F.lit(copies)).alias("n")).repartition("rank", "length")
+    ranked = ranked.select(*names, F.explode(F.sequence("rank", F.col("rank") + F.col("n") - 1)).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,6 +162,6 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer: str = TOKENIZ
                 at = np.searchsorted(ranks, rank[part], "right") - 1
                 sequence[part] = sequences[at] + rank[part] - ranks[at]
                 offset[part] = offsets[at]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, PACKED)
