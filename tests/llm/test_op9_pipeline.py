@@ -54,8 +54,10 @@ def corpus(seed=5):
     return [(i * 3 + 1, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize(("block", "bucket"), [(4096, 400_000), (16, 500)])
-def test_classes(spark, block, bucket):
+@pytest.mark.parametrize(("block", "bucket", "large"), [(4096, 400_000, 4), (16, 500, 4), (4096, 3000, 0.2)])
+def test_classes(spark, monkeypatch, block, bucket, large):
+    """As it runs; with long lists in many blocks; with all buckets of tokens split by node."""
+    monkeypatch.setattr(J, "LARGE", large)
     rows = corpus()
     got = J.classes(docs(spark, [(i, t, None, None) for i, t in rows]).repartition(5), block, bucket).collect()
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == plain_classes(rows)

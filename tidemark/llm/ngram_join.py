@@ -5,7 +5,8 @@ Documents with equal shingle sets are one node. A node x with n shingles can mis
 of any partner. From there on only extended prefixes matter:
 
 1. Prefix tokens are dealt to buckets by hash, as packed blocks. A bucket finds the tokens that two nodes share and their
-   frequency. A node with too few shared tokens has no partner and drops out; most documents end here.
+   frequency; a bucket that a very frequent token makes large is split by node, and the counts of its parts are added up. A node with too
+   few shared tokens has no partner and drops out; most documents end here.
 2. The others order their prefix by frequency, rare tokens first, and emit signatures until what is left can't hold a
    partner's required overlap: rare tokens alone, frequent ones as all pairs of tokens within a class. Classes are a hash of the
    token; of each class one token is lost to pairing, so there are at most as many classes as the extended prefix has tokens to
@@ -33,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._store import bounded_batches, discard, materialize
+from tidemark.llm._store import bounded_batches, discard, fresh, materialize
 from tidemark.llm._words import mix, shingle_sets, slices
 from tidemark.llm.components import components, stars
 
@@ -47,9 +49,11 @@ RARE = 64
 SPARE = 8
 #: Tokens in a bucket, on average; nodes of either side in a block; nodes in a short list, at most.
 BUCKET_TOKENS, BLOCK, SHORT = 400_000, 4096, 64
+#: Times the average from which a bucket is split.
+LARGE = 4
 #: Entries of short lists in a bucket, on average: the larger, the fewer times is a pair found.
 BUCKET_ENTRIES = 1_000_000
-#: Entries of long lists in a bucket, on average; each comes with its bitmap.
+#: Entries of long lists in a bucket, on average, counted as often as they are compared; each comes with its bitmap.
 BLOCK_ENTRIES = 40_000
 #: One of so many long lists is compared before the others.
 EARLY = 16
@@ -118,45 +122,20 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
             yield texts.first + d, s
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, n and a 128-bit fingerprint of each document's shingle set."""
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, n, a 128-bit fingerprint and the extended prefix of each document's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, b = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            prefix = [b""] * batch.num_rows
             for i, s in _sets(batch):
                 n[i] = len(s)
                 a[i], b[i] = _fingerprint(s)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (n, a, b))], ["doc_id", "n", "h1", "h2"])
+                prefix[i] = s[: int(prefix_size(len(s)))].astype("<u8").tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (n, a, b)), pa.array(prefix, pa.binary())], ["doc_id", "n", "h1", "h2", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
-
-
-def _prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint and extended prefix (40 bits of each hash) of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                keep, marks, blobs = [], [], []
-                for i, s in _sets(part):
-                    if len(s):
-                        keep.append(i)
-                        marks.append(_fingerprint(s))
-                        cut = (s[: int(prefix_size(len(s)))] >> np.uint64(24)).astype("<u8")
-                        blobs.append(np.ascontiguousarray(cut.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes())
-                ids = part.column("doc_id").take(pa.array(keep, pa.int64()))
-                cols = [pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([ids, *cols, pa.array(blobs, pa.binary())], ["doc_id", "h1", "h2", "tokens"])
-
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, h1 long, h2 long, tokens binary")
-
-
-def _tokens(blob: bytes) -> np.ndarray:
-    full = np.zeros((len(blob) // 5, 8), np.uint8)
-    full[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    return full.view("<u8").ravel()
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, tokens binary")
 
 
 def _deal(buckets: int):
@@ -175,7 +154,7 @@ def _deal(buckets: int):
 
         for batch in batches:
             for node, n, blob in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "tokens")), strict=True):
-                held.append((_tokens(blob), node, n))
+                held.append((np.frombuffer(blob, "<u8"), node, n))
                 size += len(held[-1][0])
                 if size >= 500_000:
                     yield flush()
@@ -186,24 +165,90 @@ def _deal(buckets: int):
     return run
 
 
+_BLOCKS = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
+
+
+def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """token, node, n of all blocks, sorted, each once."""
+    token, node, n = (np.concatenate(c) for c in zip(*(_unplanes(d.as_py(), 3) for d in table.column("data")), strict=True))
+    order = np.lexsort((node, token))
+    token, node, n = token[order], node[order], n[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+    return token[new], node[new], n[new]
+
+
+def _to_nodes(token: np.ndarray, node: np.ndarray, n: np.ndarray, often: np.ndarray, buckets: int) -> pa.Table:
+    keep = often > 1
+    columns = [c[keep].astype(np.uint64) for c in (node, n, token, often)]
+    return pa.Table.from_batches([_pack((node[keep] % np.uint64(buckets)).astype(np.int32), columns)], _BLOCKS)
+
+
 def _shared(buckets: int):
     """The tokens of a bucket that more than one node has, as blocks of (node, n, token, frequency) for each bucket of nodes."""
 
     def run(table: pa.Table) -> pa.Table:
-        token, node, n = (np.concatenate(c) for c in zip(*(_unplanes(d.as_py(), 3) for d in table.column("data")), strict=True))
-        order = np.lexsort((node, token))
-        token, node, n = token[order], node[order], n[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node, n = token[new], node[new], n[new]
+        token, node, n = _entries(table)
         _, inverse, count = np.unique(token, return_inverse=True, return_counts=True)
-        often = count[inverse]
-        keep = often > 1
-        return pa.Table.from_batches([_pack((node[keep] % np.uint64(buckets)).astype(np.int32), [node[keep], n[keep], token[keep], often[keep].astype(np.uint64)])], pa.schema([("bucket", pa.int32()), ("data", pa.binary())]))
+        return _to_nodes(token, node, n, count[inverse], buckets)
 
     return run
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of large buckets, dealt to ``parts`` by node."""
+    for batch in batches:
+        for bucket, parts, data in zip(*(batch.column(c) for c in ("bucket", "parts", "data")), strict=True):
+            columns = _unplanes(data.as_py(), 3)
+            made = _pack((mix(columns[1]) % np.uint64(parts.as_py())).astype(np.int32), columns)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket.as_py()] * made.num_rows, pa.int32()), *made.columns], ["bucket", "part", "data"])
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """The tokens of a part of a bucket, and in how many nodes they are."""
+    token, count = np.unique(_entries(table)[0], return_counts=True)
+    return pa.table({"bucket": table.column("bucket").slice(0, 1).cast(pa.int32()), "data": pa.array([_planes(token, count)], pa.binary())})
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """The counts of a bucket's parts as one: the tokens of several nodes."""
+    token, count = (np.concatenate(c) for c in zip(*(_unplanes(d.as_py(), 2) for d in table.column("data")), strict=True))
+    token, inverse = np.unique(token, return_inverse=True)
+    total = np.bincount(inverse, count).astype(np.uint64)
+    return pa.table({"bucket": table.column("bucket").slice(0, 1).cast(pa.int32()), "data": pa.array([_planes(token[total > 1], total[total > 1])], pa.binary())})
+
+
+def _shared_part(buckets: int):
+    """What :func:`_shared` returns, for a part of a bucket and the counts of the whole bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        whole = pa.compute.equal(table.column("kind"), 1)
+        blocks, totals = table.filter(pa.compute.invert(whole)), table.filter(whole)
+        if not blocks.num_rows:
+            return _BLOCKS.empty_table()
+        token, node, n = _entries(blocks)
+        known, count = _unplanes(totals.column("data")[0].as_py(), 2)
+        at = np.minimum(np.searchsorted(known, token), max(len(known) - 1, 0))
+        often = np.where(known[at] == token, count[at], 1) if len(known) else np.ones(len(token))
+        return _to_nodes(token, node, n, often, buckets)
+
+    return run
+
+
+def _shared_tokens(blocks: DataFrame, buckets: int, bucket_tokens: int) -> DataFrame:
+    """Blocks of the shared tokens for each bucket of nodes. ``blocks``, which are written down, may be of any size together."""
+    sizes = blocks.groupBy("bucket").agg((F.sum(F.length("data")) / 24).alias("n")).where(F.col("n") > LARGE * bucket_tokens)
+    large = materialize(sizes.select(F.col("bucket").alias("of"), F.ceil(F.col("n") / bucket_tokens).cast("int").alias("parts")))
+    if large.isEmpty():
+        return blocks.groupBy("bucket").applyInArrow(_shared(buckets), "bucket int, data binary")
+    own = blocks.join(large, F.col("bucket") == F.col("of"), "left_anti")
+    parted = materialize(blocks.join(large, F.col("bucket") == F.col("of")).select("bucket", "parts", "data").mapInArrow(_split, "bucket int, part int, data binary"))
+    counts = parted.groupBy("bucket", "part").applyInArrow(_counted, "bucket int, data binary").groupBy("bucket").applyInArrow(_added, "bucket int, data binary")
+    to_each = counts.join(large, F.col("bucket") == F.col("of")).select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "data", F.lit(1).alias("kind"))
+    met = parted.withColumn("kind", F.lit(0)).unionByName(to_each).repartition("bucket", "part").groupBy("bucket", "part")
+    return own.groupBy("bucket").applyInArrow(_shared(buckets), "bucket int, data binary").unionByName(met.applyInArrow(_shared_part(buckets), "bucket int, data binary"))
+
+
 _C1, _C2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -462,7 +507,8 @@ def _in_blocks(rows: DataFrame, maps: DataFrame, block: int, spanning: bool, buc
 def classes(docs: DataFrame, block: int = BLOCK, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
     bounded_batches(docs.sparkSession)
-    meta = materialize(sizes(docs))
+    whole = materialize(measured(docs))  # texts are cut into words once
+    meta = materialize(whole.drop("tokens"))
     nodes = meta.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
     total = nodes.agg(F.sum((F.col("n") / 3 + 1).cast("long"))).first()[0]
@@ -470,10 +516,11 @@ def classes(docs: DataFrame, block: int = BLOCK, bucket_tokens: int = BUCKET_TOK
         return meta.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     buckets = max(1, total // bucket_tokens)
     at = nodes.select("h1", "h2", "n", "node", F.col("first").alias("doc_id"))
-    prefixes = _prefixes(docs).join(at, ["doc_id", "h1", "h2"]).select("node", "n", "tokens")
-    blocks = prefixes.mapInArrow(_deal(buckets), "bucket int, data binary")
-    shared = blocks.groupBy("bucket").applyInArrow(_shared(buckets), "bucket int, data binary")
-    signed = materialize(shared.groupBy("bucket").applyInArrow(_sign, "sig long, node long, n int, own float"))
+    prefixes = whole.where("n > 0").join(at, ["doc_id", "h1", "h2", "n"]).select("node", "n", "tokens")
+    blocks = materialize(prefixes.mapInArrow(_deal(buckets), "bucket int, data binary"))
+    discard(whole)
+    signed = materialize(_shared_tokens(blocks, buckets, bucket_tokens).groupBy("bucket").applyInArrow(_sign, "sig long, node long, n int, own float"))
+    discard(blocks)
 
     alive = signed.select("node").distinct().join(nodes.select("node", "h1", "h2", F.col("first").alias("doc_id")), "node")
     # Repeated rows of an id would come twice; equal fingerprints are equal sets, so one of them is enough.
@@ -490,7 +537,9 @@ def classes(docs: DataFrame, block: int = BLOCK, bucket_tokens: int = BUCKET_TOK
     labels = components(links)
 
     mixed = materialize(_mixed(signed, labels))
-    blocks_in = max(1, mixed.count() // BLOCK_ENTRIES)
+    # A list of several blocks is compared block by block: each entry as often as there are blocks.
+    compared = mixed.where(F.col("size") > SHORT).agg(F.sum(F.ceil(F.col("size") / block))).first()[0]
+    blocks_in = max(1, (compared or 0) // BLOCK_ENTRIES)
     # A part of the long lists goes first: it joins most of what belongs together, and then few lists are left to compare.
     early = _in_blocks(mixed.where((F.col("size") > SHORT) & (F.pmod(F.xxhash64("sig"), F.lit(EARLY)) == 0)), maps, block, True, blocks_in)
     early = materialize(early.join(tried, ["a", "b"], "left_anti"))
@@ -516,8 +565,7 @@ def classes(docs: DataFrame, block: int = BLOCK, bucket_tokens: int = BUCKET_TOK
     last = _in_blocks(open_.join(again, "sig", "left_semi"), maps, block, False, blocks_in)
     last = last.join(rest.unionByName(tried), ["a", "b"], "left_anti")
     found = components(links.unionByName(_verify(materialize(last), texts)))
-    discard(texts)
-    discard(signed)
+    discard(texts, signed, mixed, tried, rest)
 
     member = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = member.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -528,9 +576,9 @@ def classes(docs: DataFrame, block: int = BLOCK, bucket_tokens: int = BUCKET_TOK
 
 def keep_one(docs: DataFrame, block: int = BLOCK, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """``docs`` with the smallest doc_id of each component alone, once; rows with a null doc_id stay."""
-    columns = docs.columns
-    docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    columns, row = docs.columns, fresh(docs.columns, "__row")
+    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
     kept = classes(docs, block, bucket_tokens).where("doc_id = component_id").select("doc_id").distinct()
-    ids = docs.select("doc_id", "__row").groupBy("doc_id").agg(F.min("__row").alias("__row"))
-    chosen = ids.join(kept, "doc_id", "left_semi").select("__row").unionByName(docs.where("doc_id is null").select("__row"))
-    return docs.join(chosen, "__row", "left_semi").select(*(F.col(f"`{c}`") for c in columns))
+    ids = docs.select("doc_id", row).groupBy("doc_id").agg(F.min(row).alias(row))
+    chosen = ids.join(kept, "doc_id", "left_semi").select(row).unionByName(docs.where("doc_id is null").select(row))
+    return docs.join(chosen, row, "left_semi").select(*(F.col(f"`{c}`") for c in columns))
