@@ -82,8 +82,13 @@ def test_vectors(spark, block):
     assert set(got) == set(wanted)
     found, real = sum(r["n_links"] for r in got.values()), sum(a for a, _ in wanted.values())
     assert real > 100 and found >= 0.9 * real and all(got[i]["n_links"] <= wanted[i][0] for i in wanted)
-    if found == real:
-        assert all(got[i]["component_id"] == wanted[i][1] for i in wanted)
+    links = [(i, w) for i, w in wanted.items() if got[i]["n_links"] == w[0]]
+    assert len(links) >= 0.9 * len(wanted)
+    # What is missed parts components, but joins none: equal ones where all links are found, a part of the real one elsewhere.
+    real_of = {i: c for i, (_, c) in wanted.items()}
+    assert all(real_of[r["component_id"]] == real_of[i] for i, r in got.items())
+    whole = {c for c in set(real_of.values()) if all(got[i]["n_links"] == wanted[i][0] for i in wanted if real_of[i] == c)}
+    assert len(whole) >= 0.8 * len(set(real_of.values())) and all(got[i]["component_id"] == c for i, c in real_of.items() if c in whole)
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
@@ -106,6 +111,30 @@ def test_vectors_of_several_lengths(spark, block):
             assert all((got[i]["n_links"], got[i]["component_id"]) == wanted[i] for i in wanted)
 
 
+def test_visits_reach_the_cells_of_neighbours():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    books = (vectors.kmeans(x[:, :8], 20), vectors.kmeans(x[:, 8:], 20))
+    visits = vectors.calibrate(x, books, 0.98, 0.97)
+    near = x + rng.normal(size=x.shape) * 0.2 / 4  # about the threshold
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    at = (near * x).sum(1) >= 0.98
+    met = (vectors.traverse(x[at], books, visits) == vectors.traverse(near[at], books, 1)).any(1)
+    assert 1 < visits < 100 and at.sum() > 500 and met.mean() >= 0.95
+
+
+def test_a_hot_cell_is_dealt_by_block(spark):
+    rng = np.random.default_rng(5)
+    hot = np.ones(8) + rng.normal(size=(700, 8)) * 1e-3
+    x = [*hot, *rng.normal(size=(300, 8))]
+    t = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    found = vectors.near_duplicates(t, block=50)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.collect()}
+    wanted = plain_links([(i, [float(c) for c in v], 1) for i, v in enumerate(x)])
+    assert sum(got[i][0] for i in range(700)) >= 0.9 * sum(wanted[i][0] for i in range(700)) and all(got[i][1] == 0 for i in range(700))
+
+
 def test_vector_edges(spark):
     kind = "vec_id long, embedding array<float>, label int"
     assert vectors.near_duplicates(spark.createDataFrame([], kind)).count() == 0
@@ -174,6 +203,31 @@ def test_mixing_small_sources_beside_a_large_one(spark):
     assert len(target) == 7 and all(abs(taken[s] - target[s]) <= 50 for s in target)
 
 
+def test_mixing_of_copies(spark):
+    """A third of all rows are one document: its copies fly in many groups, and all reruns take as many of them."""
+    rows = [(1, "a document of some words " * 5, "en", "s0")] * 600 + [(i, "w " * (i % 97), "en", f"s{i % 4}") for i in range(2, 1200)] + [(None, "no id", None, None)] * 40
+    d = docs(spark, rows)
+    sizes = Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len(SPACE.findall(t))
+    target = fill(sizes)
+    plain = mixing.mix(d, group_rows=64, copies=50)
+    got = plain.collect()
+    assert len(got) == len(rows) and Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(d.repartition(9), group_rows=64, copies=50).collect()))
+    assert abs(sum(r["taken"] for r in got if r["target"] == got[0]["target"]) - got[0]["target"]) <= 100
+    for copies in (50, 10_000):  # ranked in buckets, and in one
+        out = mixing.mixed(d.repartition(5), group_rows=64, copies=copies)
+        taken = Counter()
+        for r in out.collect():
+            taken[r["source"]] += len(SPACE.findall(r["text"]))
+        assert out.columns == d.columns and all(abs(taken[s] - target[s]) <= 100 for s in sizes)
+        times = Counter((r["doc_id"], r["source"]) for r in out.collect())
+        copies_of = Counter((i, s) for i, _, _, s in rows)
+        rate = {s: target[s] / sizes[s] for s in sizes}
+        assert all(int(rate[s]) * n <= times[i, s] <= (int(rate[s]) + 1) * n for (i, s), n in copies_of.items() if rate[s] % 1)
+        assert abs(times[1, "s0"] / 600 - rate["s0"]) < 0.1 or rate["s0"] % 1 == 0
+
+
 def test_landing_evens_out_one_long_document():
     size = np.array([9000, *range(5, 2000, 5), 4])
     p = np.array([0.5, *([1.0, 0.0] * 200)[:399], 0.7])
@@ -191,7 +245,7 @@ def test_mixing_edges(spark):
     target = fill(sizes)
     assert {round(r["target"], 3) for r in got} == {round(v, 3) for v in target.values()}
     rows = mixing.mixed(e)
-    assert rows.columns == e.columns and rows.where("text is null").count() == 0 or True
+    assert rows.columns == e.columns and rows.where("text is null").count() <= 3  # like any document of its source: of no size
     words = sum(len(SPACE.findall(r["text"] or "")) for r in rows.collect())
     assert words == sum(r["taken"] for r in got)
     none = e.where("false")

@@ -50,6 +50,7 @@ def corpus(seed=5):
             out.append(" ".join(t))
     out += [" ".join(fresh(30) + passage + fresh(r.randrange(5, 60))) for _ in range(150)]
     out += [" ".join(fresh(n)) for n in (1, 2, 3, 4, 5) for _ in range(2)] + ["A b c", "a B c", "x"] * 2
+    out += [out[-40]] * 150
     r.shuffle(out)
     return [(i * 3 + 1, t) for i, t in enumerate(out)]
 

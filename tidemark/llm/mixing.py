@@ -5,8 +5,8 @@ once more with probability r - floor(r), by balanced sampling: the probabilities
 two balance equations of a source, words and documents, until a probability is 0 or 1; each move keeps both totals. At most two
 documents of a group stay undecided.
 
-Documents are dealt to groups of about ``group_rows`` by a hash of their content, within their source, so that a source with a third of all
-rows becomes many groups. What stays undecided goes through the same in ever fewer groups until its source is one
+Equal rows are counted first. Each copy is then dealt by a hash of its content and its number to groups of about ``group_rows`` within
+its source, so that neither a source nor a document with a third of all rows is one group. What stays undecided goes through the same in ever fewer groups until its source is one
 group, whatever the others are; there the landing phase settles the last documents, choosing the nearest total. Each group hands
 some settled documents on with its undecided ones, so that every landing has others to trade with. Reruns agree: groups, order
 and moves depend on rows alone.
@@ -18,26 +18,28 @@ columns it got, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._store import materialize
+from tidemark.llm._store import discard, fresh, materialize
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 GROUP_ROWS = 4096
 #: Settled documents that a group hands on, and that a landing may trade.
 SPARE = 10
+#: Copies of a row that are dealt, or ranked, together at most.
+COPIES = 10_000
 SCHEMA = "doc_id long, size long, source_size long, target double, taken long"
 
 
 def sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """One row per source: source, n_docs, source_size, target. ``docs``: source, size."""
-    own = docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
+    """One row per source: source, n_docs, source_size, target. ``docs``: source, size, n (rows that are so)."""
+    own = docs.groupBy("source").agg(F.sum("n").alias("n_docs"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
     # These windows see one row per source, not the documents.
     order = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
@@ -118,7 +120,7 @@ def _fly(rows: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         # One order for each set of rows. A long document among short ones barely moves, so one of the open ones is often long.
-        table = table.sort_by([("size", "descending"), ("doc_id", "ascending"), ("key", "ascending")])
+        table = table.sort_by([("size", "descending"), ("doc_id", "ascending"), ("k1", "ascending"), ("copy", "ascending")])
         share, size = table.column("share").to_numpy(), table.column("size").to_numpy()
         p, onward = flight(share, size), np.zeros(len(share), bool)
         if table.column("groups")[0].as_py() <= 1:
@@ -133,22 +135,31 @@ def _fly(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source", "group").applyInArrow(run, schema)
 
 
-def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, group_rows: int = GROUP_ROWS, row: str | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken (times) for each row of ``docs`` (doc_id, source, text); ``row`` is passed on."""
-    size = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
-    kept = [row] if row else []
-    sized = materialize(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "source", "text").alias("key"), *kept))
-    totals = materialize(sources(sized, weights, most))
+def _key(columns: list[str]) -> list:
+    """128 bits of the content of these columns."""
+    return [F.xxhash64(F.lit(salt), *(F.col(f"`{c}`") for c in columns)).alias(f"k{salt}") for salt in (1, 2)]
+
+
+def draw(docs: DataFrame, columns: list[str], weights: tuple[int, ...] = WEIGHTS, most: int = MOST, group_rows: int = GROUP_ROWS, copies: int = COPIES) -> DataFrame:
+    """doc_id, k1, k2, size, source_size, target, taken (times) for each row of ``docs`` (doc_id, source, text), whose content is ``columns``."""
+    size = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long").alias("size")
+    same = materialize(docs.select("doc_id", "source", size, *_key(columns)).groupBy("doc_id", "source", "size", "k1", "k2").agg(F.count("*").alias("n")))
+    totals = materialize(sources(same, weights, most))
     t = totals.withColumnRenamed("source", "of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate + 1e-12)
-    rows = sized.join(t, sized.source.eqNullSafe(t.of)).select(
-        "doc_id", "key", *kept, "source", "size", "source_size", "target", "n_docs", whole.alias("whole"), F.greatest(rate - whole, F.lit(0.0)).alias("share")
-    )
+    kept = ["doc_id", "k1", "k2", "source", "size", "source_size", "target"]
+    # A row for so many copies, dealt out where there are more, then a row for each.
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(copies).cast("long"))).alias("copy")
+    rows = same.join(t, same.source.eqNullSafe(t.of)).select(*kept, "n_docs", whole.alias("whole"), F.greatest(rate - whole, F.lit(0.0)).alias("share"), "n", begin)
+    if not same.where(F.col("n") > copies).isEmpty():
+        rows = rows.repartition("k1", "copy")
+    each = F.explode(F.sequence("copy", F.least(F.col("n"), F.col("copy") + copies) - 1)).alias("copy")
+    rows = rows.select(*(c for c in rows.columns if c not in ("n", "copy")), each)
     done = None
     while True:
         groups = F.ceil(F.col("n_docs") / group_rows)
-        dealt = rows.withColumn("groups", groups).withColumn("group", F.pmod(F.xxhash64("key", "doc_id", "n_docs"), groups).cast("int")).drop("n_docs")
+        dealt = rows.withColumn("groups", groups).withColumn("group", F.pmod(F.xxhash64("k1", "copy", "n_docs"), groups).cast("int")).drop("n_docs")
         flown = materialize(_fly(dealt))
         settled = flown.where(~F.col("onward")).drop("onward")
         done = settled if done is None else done.unionByName(settled)
@@ -158,19 +169,36 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
         if n.isEmpty():
             break
         rows = rows.join(n, rows.source.eqNullSafe(F.col("of"))).drop("of")
-    return done.select("doc_id", *kept, "size", "source_size", "target", (F.col("whole") + F.round("share")).cast("long").alias("taken"))
+    discard(same)
+    return done.select("doc_id", "k1", "k2", "size", "source_size", "target", (F.col("whole") + F.round("share")).cast("long").alias("taken"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, group_rows: int = GROUP_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, group_rows: int = GROUP_ROWS, copies: int = COPIES) -> DataFrame:
     """How many words the mix takes from each document."""
-    return draw(docs, weights, most, group_rows).select("doc_id", "size", "source_size", "target", (F.col("taken") * F.col("size")).alias("taken"))
+    drawn = draw(docs, ["doc_id", "source", "text"], weights, most, group_rows, copies)
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("taken") * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, group_rows: int = GROUP_ROWS) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, group_rows: int = GROUP_ROWS, copies: int = COPIES) -> DataFrame:
     """The rows of the mix: each document as many times as it is taken."""
     columns = docs.columns
-    # Rows get a number of their own, fixed by writing it down: ids may repeat or be null.
-    docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
-    chosen = draw(docs, weights, most, group_rows, "__row").where("taken > 0").select("__row", F.col("taken").cast("int").alias("__taken"))
-    times = F.explode(F.sequence(F.lit(1), F.col("__taken"))).alias("__copy")
-    return docs.join(chosen, "__row").select(*(F.col(f"`{c}`") for c in columns), times).drop("__copy")
+    k1, k2, times, more, n, rank, bucket, first = (fresh(columns, f"__{c}") for c in ("k1", "k2", "times", "more", "n", "rank", "bucket", "first"))
+    content = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    chosen = draw(docs, content, weights, most, group_rows, copies).groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2))
+    # Of n equal rows, those that are taken once more than the others are the first.
+    chosen = chosen.agg(F.min("taken").alias(times), (F.sum("taken") - F.count("*") * F.min("taken")).alias(more), F.count("*").alias(n))
+    keys = [c.alias(name) for c, name in zip(_key(content), (k1, k2), strict=True)]
+    rows = docs.select("*", *keys).join(chosen, [k1, k2])
+    few, many = rows.where(F.col(n) <= copies), None
+    if not chosen.where(F.col(n) > copies).isEmpty():
+        # Ranks within buckets of a group, which are written down, behind what the buckets before have.
+        many = materialize(rows.where(F.col(n) > copies).withColumn(bucket, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.ceil(F.col(n) / copies))))
+        before = Window.partitionBy(k1, k2).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        filled = many.groupBy(k1, k2, bucket).agg(F.count("*").alias(first)).withColumn(first, F.coalesce(F.sum(first).over(before), F.lit(0)))
+        many = many.withColumn(rank, F.row_number().over(Window.partitionBy(k1, k2, bucket).orderBy(F.lit(0)))).join(filled, [k1, k2, bucket]).withColumn(rank, F.col(rank) + F.col(first))
+    once = few.where(F.col(n) == 1).withColumn(rank, F.lit(1))
+    some = few.where(F.col(n) > 1).withColumn(rank, F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.lit(0))))
+    total = F.col(times) + F.when(F.col(rank) <= F.col(more), 1).otherwise(0)
+    shown = [F.col(f"`{c}`") for c in columns]
+    parts = [part.withColumn(times, total).where(F.col(times) > 0).select(*shown, F.explode(F.sequence(F.lit(1), F.col(times))).alias(n)).select(*shown) for part in (once, some, many) if part is not None]
+    return reduce(DataFrame.unionAll, parts)

@@ -32,8 +32,8 @@ from tidemark.llm.components import components, stars
 
 COSINE = 0.98
 RECALL = 0.97
-#: Vectors that codebooks and visits are fitted on, at most; the largest codebook.
-FIT_ROWS, MAX_CODES = 16_000, 256
+#: Vectors that codebooks and visits are fitted on, at most; of them, how many stand for a code at least.
+FIT_ROWS, CODE_ROWS = 16_000, 8
 #: Vectors of either side in a block of a cell.
 BLOCK = 2048
 
@@ -61,9 +61,9 @@ def traverse(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], visits: int) -
     d = [distances(x[:, :half], books[0]), distances(x[:, half:], books[1])]
     order = [v.argsort(1, kind="stable") for v in d]
     near = [np.take_along_axis(v, o, 1) for v, o in zip(d, order, strict=True)]
-    i, j = np.meshgrid(np.arange(len(books[0])), np.arange(len(books[1])), indexing="ij")
-    possible = (i + 1) * (j + 1) <= visits
-    i, j = i[possible], j[possible]
+    upto = np.minimum(visits // np.arange(1, min(len(books[0]), visits) + 1), len(books[1]))
+    i = np.repeat(np.arange(len(upto)), upto)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(upto) - upto, upto)
     best = (near[0][:, i] + near[1][:, j]).argsort(1, kind="stable")[:, :visits]
     return order[0][np.arange(len(x))[:, None], i[best]] * len(books[1]) + order[1][np.arange(len(x))[:, None], j[best]]
 
@@ -76,10 +76,14 @@ def calibrate(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosine: float
     u -= (u * q).sum(1, keepdims=True) * q
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     other = cosine * q + np.sqrt(1 - cosine**2) * u
-    cells = len(books[0]) * len(books[1])
-    own = traverse(other, books, 1)[:, 0]
-    rank = np.concatenate([(traverse(q[a : a + 200], books, cells) == own[a : a + 200, None]).argmax(1) for a in range(0, len(q), 200)])
-    return int(np.quantile(rank, recall, method="higher")) + 1
+    half = x.shape[1] // 2
+    own = np.divmod(traverse(other, books, 1)[:, 0], len(books[1]))
+    to = [distances(q[:, :half], books[0]), distances(q[:, half:], books[1])]
+    every = np.arange(len(q))
+    reach = to[0][every, own[0]] + to[1][every, own[1]]
+    # The rank of a cell is the number of sums up to its own, counted per code of the first half among the sorted distances of the second.
+    rank = [np.searchsorted(np.sort(b), r * (1 + 1e-12) - a, "right").sum() for a, b, r in zip(*to, reach, strict=True)]
+    return int(np.quantile(rank, recall, method="higher"))
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -128,7 +132,8 @@ def _index(reps: DataFrame, total: int, cosine: float, recall: float, fit_rows:
         sample = reps.select("embedding").limit(1).toArrow().column(0).combine_chunks()
     x = _unit(sample)
     x = x[np.lexsort(x.T)]
-    codes = max(1, min(MAX_CODES, len(x), round(total**0.25)))
+    # Cells as many as the root of the vectors, so that a cell has as many vectors as there are cells.
+    codes = max(1, min(len(x) // CODE_ROWS, round(total**0.25)))
     half = x.shape[1] // 2
     books = (kmeans(x[:, :half], codes), kmeans(x[:, half:], codes))
     return books, calibrate(x, books, cosine, recall)
@@ -176,7 +181,9 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, recall: float = RE
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     mine = own.join(blocks, ["label", "cell"]).withColumn("i", part(F.col("n_own"))).withColumn("j", every(F.col("n_looks"))).withColumn("kind", F.lit(0))
     theirs = looks.join(blocks, ["label", "cell"]).withColumn("j", part(F.col("n_looks"))).withColumn("i", every(F.col("n_own"))).withColumn("kind", F.lit(1))
-    met = mine.unionByName(theirs).groupBy("label", "cell", "i", "j").applyInArrow(_links(cosine), "rep long, other long, links long")
+    # Dealt by block: by label and cell alone, all blocks of a hot cell would meet in one task.
+    dealt = mine.unionByName(theirs).repartition("label", "cell", "i", "j")
+    met = dealt.groupBy("label", "cell", "i", "j").applyInArrow(_links(cosine), "rep long, other long, links long")
     met = materialize(met)
     links = met.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     found = components(met.where("other is not null").select("rep", "other"))
