@@ -7,6 +7,9 @@ from tidemark.llm import _words as W
 SF = "/root/testdata/sf0.01"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n int, node string, size string, target string, label string, host string"
+#: Names that operators would choose for columns of their own.
+OWN = {f"__{n}": f"own {n}" for n in ("row", "old", "host", "lines", "k1", "k2", "n", "times", "more", "rank", "bucket", "first")}
+DOCS += "".join(f", {n} string" for n in OWN)
 
 
 def ascii_lower(t):
@@ -15,7 +18,7 @@ def ascii_lower(t):
 
 def docs(spark, rows):
     """(doc_id, text, lang, source) with further columns whose names operators might use themselves."""
-    full = [(i, t, lang, s, None if t is None else len(t), 1, "a", "b", "c", "d", "e") for i, t, lang, s in rows]
+    full = [(i, t, lang, s, None if t is None else len(t), 1, "a", "b", "c", "d", "e", *OWN.values()) for i, t, lang, s in rows]
     return spark.createDataFrame(full, DOCS)
 
 

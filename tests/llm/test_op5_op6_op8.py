@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import SF, SPACE, docs, edge_rows
+from tests.llm.helpers import OWN, SF, SPACE, docs, edge_rows
 from tidemark.llm import line_dedup, mixing, vectors
 from tidemark.llm.components import components
 
@@ -246,6 +246,7 @@ def test_mixing_edges(spark):
     assert {round(r["target"], 3) for r in got} == {round(v, 3) for v in target.values()}
     rows = mixing.mixed(e)
     assert rows.columns == e.columns and rows.where("text is null").count() <= 3  # like any document of its source: of no size
+    assert all(r[n] == v for r in rows.collect() for n, v in OWN.items())
     words = sum(len(SPACE.findall(r["text"] or "")) for r in rows.collect())
     assert words == sum(r["taken"] for r in got)
     none = e.where("false")
@@ -280,6 +281,7 @@ def test_line_dedup_edges(spark, limit):
     e = docs(spark, [*edge_rows(), *[(20 + i, f"menu\nown {i}\n\nmenu", None, "s") for i in range(4)], (30, "menu", None, None), (31, "menu\r", None, "s"), (32, None, None, "s")])
     out = line_dedup.dedup(e, F.col("source"), broadcast_lines=limit)
     assert out.columns == e.columns and out.count() == e.count()
+    assert all(r[n] == v for r in out.collect() for n, v in OWN.items())
     by = {r["doc_id"]: r for r in out.collect()}
     assert by[20]["text"] == "own 0\n" and by[20]["n_chars"] == 6 and by[30]["text"] == "menu" and by[31]["text"] == "menu\r" and by[32]["text"] is None
     assert by[2]["text"] == "" and by[3]["text"] == " \t\n " and by[1]["text"] is None and by[6]["text"] == edge_rows()[5][1]

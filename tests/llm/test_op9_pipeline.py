@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tests.llm.helpers import docs, edge_rows, hashed, shingles
+from tests.llm.helpers import OWN, docs, edge_rows, hashed, shingles
 from tidemark.llm import ngram_join as J
 
 
@@ -71,6 +71,7 @@ def test_edges(spark):
     none = docs(spark, rows).where("false")
     assert J.classes(none).count() == 0 and J.keep_one(none).count() == 0
     kept = J.keep_one(docs(spark, rows))
+    assert all(r[n] == v for r in kept.collect() for n, v in OWN.items())
     assert kept.columns == none.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "5", "6", "7", "8", "0", "None", "None", "None"])
 
 

@@ -3,7 +3,7 @@
 A text's letters become shares of hashed byte n-grams. Linear support vector machines, one against one, first choose the language
 family; within it, machines for each pair of its languages vote. Every value of lang is learned. With more than ``MOST_FAMILIES`` of
 them, groups of alike languages take the place of families, so that the machines grow with the power 1.5 of the languages
-and not with their square. Training takes a bounded hash sample of labelled rows per language (``FIT_ROWS`` in all, but about
+and not with their square. Training takes a bounded sample of labelled ids per language (``FIT_ROWS`` in all, but about
 ``LANGUAGE_ROWS`` of each language at least); prediction is one pass over whole texts without a shuffle, and sees the text alone.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a text of any length is read whole; repeated rows
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm._sample import sample
 from tidemark.llm._store import bounded_batches
 from tidemark.llm._words import Texts, slices
 
@@ -194,16 +195,13 @@ def held_out():
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
-    """Learn from text and lang of the rows that aren't held out; a bounded hash sample of each language."""
+    """Learn from text and lang of the rows that aren't held out; a bounded sample of each language."""
     bounded_batches(docs.sparkSession)
-    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = known.groupBy("lang").count().collect()
-    if not counts:
+    known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    n = known.select("lang").distinct().count()
+    if not n:
         return None
-    each = max(fit_rows / len(counts), LANGUAGE_ROWS)
-    # One row a language, as the model has.
-    shares = docs.sparkSession.createDataFrame([(r["lang"], each / r["count"]) for r in counts], "lang string, share double")
-    sample = known.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("doc_id", "text", "lang")
+    drawn, _ = sample(docs.where(F.col("lang").isNotNull()), known, int(max(fit_rows // n, LANGUAGE_ROWS)), "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +211,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
                 cols = [batch.column(c).slice(texts.first, n) for c in ("doc_id", "lang")]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(letters), pa.array([v.astype("<f4").tobytes() for v in x], pa.binary())], ["doc_id", "lang", "letters", "x"])
 
-    rows = sample.mapInArrow(run, "doc_id long, lang string, letters boolean, x binary").where("letters").toPandas()
+    rows = drawn.mapInArrow(run, "doc_id long, lang string, letters boolean, x binary").where("letters").toPandas()
     if not len(rows):
         return None
     x = np.frombuffer(b"".join(rows["x"]), "<f4").reshape(-1, DIM)

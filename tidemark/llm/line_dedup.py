@@ -19,12 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._store import materialize
+from tidemark.llm._store import fresh, materialize
 
 RATIO = 0.02
 MIN_DOCS = 3
 BROADCAST_LINES = 200_000
-_HOST, _ROW, _OLD, _LINES = "__host", "__row", "__old", "__lines"
 
 
 def _lines(text: Column) -> Column:
@@ -49,37 +48,32 @@ def boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, min_docs: i
     return counts.join(totals, counts.host.eqNullSafe(totals.host)).where(F.col("n_docs") > ratio * F.col("n_host")).select(counts.host, "line", "n_docs", "n_host")
 
 
-def _cleaned(docs: DataFrame, columns: list[str], drop: Column) -> DataFrame:
-    """``docs`` with the lines gone whose MD5 is among ``drop`` (null: none)."""
-    kept = F.filter(_lines(F.col("text")), lambda x: ~F.coalesce(F.array_contains(drop, F.md5(x)), F.lit(False)) | ~_filled(x))
-    out = docs.withColumn(_OLD, F.col("text")).withColumn("text", F.when(drop.isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("text") == F.col(_OLD), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out
-
-
 def dedup(docs: DataFrame, host: Column, ratio: float = RATIO, min_docs: int = MIN_DOCS, broadcast_lines: int = BROADCAST_LINES, counts: bool = False) -> DataFrame:
     """``docs`` without the boilerplate of their sites; with ``counts``, also n_lines and n_dropped."""
     columns = docs.columns
+    own, row, old, gone = (fresh(columns, f"__{c}") for c in ("host", "row", "old", "lines"))
     found = materialize(boilerplate(docs, host, ratio, min_docs))
     if found.count() <= broadcast_lines:
-        by_host = F.broadcast(found.groupBy(F.col("host").alias(_HOST)).agg(F.collect_list("line").alias(_LINES)))
-        joined = docs.join(by_host, host.eqNullSafe(F.col(_HOST)), "left")
+        by_host = F.broadcast(found.groupBy(F.col("host").alias(own)).agg(F.collect_list("line").alias(gone)))
+        joined = docs.join(by_host, host.eqNullSafe(F.col(own)), "left")
     else:
         # Rows get a number of their own, fixed by writing it down: ids may repeat or be null.
-        docs = materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()))
+        docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
         lines = docs.where(F.col("text").isNotNull()).select(
-            _ROW, host.alias("host"), F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _filled), F.md5))).alias("line")
+            row, host.alias("host"), F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _filled), F.md5))).alias("line")
         )
-        hits = lines.join(found.withColumnRenamed("host", _HOST), (lines.line == found.line) & lines.host.eqNullSafe(F.col(_HOST)), "left_semi")
-        joined = docs.join(hits.groupBy(_ROW).agg(F.collect_list("line").alias(_LINES)), _ROW, "left")
-    out = _cleaned(joined, columns, F.col(_LINES))
+        hits = lines.join(found.withColumnRenamed("host", own), (lines.line == found.line) & lines.host.eqNullSafe(F.col(own)), "left_semi")
+        joined = docs.join(hits.groupBy(row).agg(F.collect_list("line").alias(gone)), row, "left")
+    drop, text = F.col(gone), F.col(old)
+    kept = F.filter(_lines(text), lambda x: ~F.coalesce(F.array_contains(drop, F.md5(x)), F.lit(False)) | ~_filled(x))
+    out = joined.withColumn(old, F.col("text")).withColumn("text", F.when(drop.isNotNull(), F.array_join(kept, "\n")).otherwise(text))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.col("text") == text, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     extra = []
     if counts:
-        n = F.coalesce(F.size(F.filter(_lines(F.col(_OLD)), _filled)), F.lit(0))
-        n = F.when(F.col(_OLD).isNull(), 0).otherwise(n)
-        gone = F.size(F.filter(_lines(F.col(_OLD)), lambda x: _filled(x) & F.coalesce(F.array_contains(F.col(_LINES), F.md5(x)), F.lit(False))))
-        extra = [n.cast("long").alias("n_lines"), F.when(F.col(_OLD).isNull(), 0).otherwise(gone).cast("long").alias("n_dropped")]
+        n = F.when(text.isNull(), 0).otherwise(F.coalesce(F.size(F.filter(_lines(text), _filled)), F.lit(0)))
+        lost = F.size(F.filter(_lines(text), lambda x: _filled(x) & F.coalesce(F.array_contains(drop, F.md5(x)), F.lit(False))))
+        extra = [n.cast("long").alias("n_lines"), F.when(text.isNull(), 0).otherwise(lost).cast("long").alias("n_dropped")]
     return out.select(*(F.col(f"`{c}`") for c in columns), *extra)
 
 
