@@ -567,9 +567,11 @@ def classes(docs: DataFrame, block: int = BLOCK, bucket_tokens: int = BUCKET_TOK
     found = components(links.unionByName(_verify(materialize(last), texts)))
     discard(texts, signed, mixed, tried, rest)
 
-    member = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = member.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = member.join(least, "component").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n").alias("k"), "component_id")
+    # The least doc_id of each component that has several nodes, written down: the join with it can then be split where one is large.
+    least = found.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("low"))
+    least = materialize(least.join(nodes.select(F.col("node").alias("component"), "first"), "component").select("component", F.least("low", "first").alias("component_id")))
+    member = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(least, "component", "left")
+    named = member.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n").alias("k"), F.coalesce("component_id", "first").alias("component_id"))
     joined = meta.join(named, (meta.h1 == F.col("k1")) & (meta.h2 == F.col("k2")) & (meta.n == F.col("k")) & meta.doc_id.isNotNull(), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
