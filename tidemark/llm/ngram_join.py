@@ -52,7 +52,7 @@ BUCKET_TOKENS, BLOCK, SHORT = 400_000, 4096, 64
 #: Times the average from which a bucket is split.
 LARGE = 4
 #: Entries of short lists in a bucket, on average: the larger, the fewer times is a pair found.
-BUCKET_ENTRIES = 1_000_000
+BUCKET_ENTRIES = 400_000
 #: Entries of long lists in a bucket, on average, counted as often as they are compared; each comes with its bitmap.
 BLOCK_ENTRIES = 40_000
 #: One of so many long lists is compared before the others.
