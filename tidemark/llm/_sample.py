@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm._store import materialize
+
 #: Ids are drawn for a share that is this much larger than wanted, then cut to the wanted number: counts are estimates.
 SLACK = 1.2
+#: Values of which each gets a plan of its own.
+FEW = 4
 
 
 def sample(docs: DataFrame, keys: DataFrame, limits: dict | int, by: str, salt: int = 0) -> tuple[DataFrame, dict]:
@@ -26,9 +32,12 @@ def sample(docs: DataFrame, keys: DataFrame, limits: dict | int, by: str, salt:
     shares = docs.sparkSession.createDataFrame([(v, SLACK * most[v] / n, most[v]) for v, n in counts.items()], f"`{by}` {kind}, share double, most long")
     drawn = F.xxhash64("doc_id", F.lit(salt))
     part = ids.join(F.broadcast(shares), by).where(F.pmod(drawn, F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    part = part.groupBy("doc_id").agg(F.min(by).alias(by), F.min("most").alias("most"))
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(drawn, "doc_id"))
+    part = materialize(part.groupBy("doc_id").agg(F.min(by).alias(by), F.min("most").alias("most")))
+    if len(most) <= FEW:  # the best of each task, then of all
+        chosen = reduce(DataFrame.unionAll, [part.where(F.col(by) == F.lit(v)).orderBy(drawn, "doc_id").limit(m).select("doc_id", by) for v, m in most.items()])
+    else:
+        rank = F.row_number().over(Window.partitionBy(by).orderBy(drawn, "doc_id"))
+        chosen = part.withColumn("rank", rank).where("rank <= most").select("doc_id", by)
     # ``limits`` rows of each value.
-    chosen = part.withColumn("rank", rank).where("rank <= most").select("doc_id", by)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return found.groupBy("doc_id").agg(F.min(by).alias(by), F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", by), counts
