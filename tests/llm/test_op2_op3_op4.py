@@ -181,6 +181,57 @@ def test_license_base(spark):
     assert licenses.scan(d.where("false")).count() == 0
 
 
+def plain_template(template):
+    """A template as a regular expression over words that blanks part."""
+    out = ""
+    for mark, word in re.findall(r"<<([^>]*)>>|([0-9a-z]+)", template.lower()):
+        if word:
+            out += f" {word}(?= )"
+        elif mark == "beginoptional":
+            out += "(?:"
+        elif mark == "endoptional":
+            out += ")?"
+        else:
+            out += "(?: [^ ]+){%s,%s}" % tuple(mark.split(";")[1:])
+    return re.compile(out)
+
+
+def filled(template, rng):
+    """A text that the template accepts."""
+    keep, out = [True], []
+    for mark, word in re.findall(r"<<([^>]*)>>|([0-9a-z]+)", template.lower()):
+        if mark == "beginoptional":
+            keep.append(keep[-1] and bool(rng.integers(2)))
+        elif mark == "endoptional":
+            keep.pop()
+        elif keep[-1]:
+            low, high = map(int, mark.split(";")[1:]) if mark else (0, 0)
+            out += [word] if word else [f"x{k}" for k in range(rng.integers(low, high + 1))]
+    return out
+
+
+def test_labels_equal_regular_expressions(spark):
+    rng = np.random.default_rng(12)
+    texts = []
+    for template in licenses.TEMPLATES.values():
+        for _ in range(6):
+            w = filled(template, rng)
+            texts.append("some words " + ", ".join(w).title() + ".\nand more")
+            w[rng.integers(len(w))] = "other"  # mandatory wording that differs, or a word in a replaceable region
+            texts.append(" ".join(w))
+            del w[rng.integers(len(w))]
+            texts.append(" ".join(w))
+    d = docs(spark, [(i, t, None, None) for i, t in enumerate(texts)]).select("doc_id", "text").union(spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id") + 10_000, "text"))
+    plain = {f"template:{n}": plain_template(t) for n, t in licenses.TEMPLATES.items()}
+    text_of, seen = {r["doc_id"]: r["text"] for r in d.collect()}, Counter()
+    for r in licenses.scan(d).collect():
+        joined = f" {' '.join(re.findall(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+', ascii_lower(text_of[r['doc_id']] or '')))} "
+        wanted = {n for n, p in plain.items() if p.search(joined)} | set(filter(None, r["base_labels"].split(",")))
+        assert set(filter(None, r["labels"].split(","))) == wanted
+        seen.update(wanted)
+    assert all(seen[n] >= 3 for n in plain)
+
+
 @pytest.mark.parametrize(
     ("text", "accepted"),
     [("released under the mit license", True), ("This software is released under the terms of the MIT License!", True), ("released under mit license", False), ("released under the old mit license", False)],

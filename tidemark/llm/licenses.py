@@ -28,16 +28,51 @@ from tidemark.llm._words import ALNUM_WORDS, Texts, slices, word_hash, words
 #: Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Common notices of public licenses with markup.
+#: Wordings that licenses share.
+_NO_LIABILITY = "in no event shall the <<var;1;8>> be liable for any "
+_BSD_TERMS = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "<<beginOptional>>1 <<endOptional>>redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<beginOptional>>2 <<endOptional>>redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+    "in the documentation and or other materials provided with the distribution "
+)
+_BSD_END = "this software is provided by <<var;1;16>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+_MIT_GRANT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>>the software <<endOptional>>"
+    "to deal in the software without restriction"
+)
+
+#: Notices and whole texts of public licenses, with markup.
 TEMPLATES = {
     "mit": "<<beginOptional>>this software is <<endOptional>>released under the<<beginOptional>> terms of the<<endOptional>> mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>>the software <<endOptional>>to deal in the software without restriction",
+    "mit-grant": _MIT_GRANT,
+    "mit-text": _MIT_GRANT
+    + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
+    "and to permit persons to whom the software is furnished to do so subject to the following conditions "
+    "the above copyright notice and this permission notice <<beginOptional>>including the next paragraph <<endOptional>>shall be included in all copies or substantial portions of the software "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+    "fitness for a particular purpose and noninfringement " + _NO_LIABILITY + "claim damages or other liability whether in an action of contract tort or otherwise "
+    "arising from out of or in connection with the software or the use or other dealings in the software",
     "apache-2.0": "licensed under the apache license version 2 0<<beginOptional>> the license<<endOptional>>",
     "apache-2.0-grant": "you may not use this file except in compliance with the license",
+    "apache-2.0-notice": "licensed under the apache license version 2 0 <<beginOptional>>the license <<endOptional>>you may not use this file except in compliance with the license "
+    "you may obtain a copy of the license at http<<beginOptional>>s<<endOptional>> www apache org licenses license 2 0 "
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+    "without warranties or conditions of any kind either express or implied",
     "gpl": "<<beginOptional>>this work is <<endOptional>>licensed under the<<beginOptional>> terms of the<<endOptional>> gnu<<beginOptional>> lesser<<endOptional>> general public license<<beginOptional>> version <<var;1;1>><<endOptional>>",
     "gpl-grant": "you can redistribute it and or modify it under the terms of the gnu<<beginOptional>> lesser<<endOptional>> general public license as published by the free software foundation",
+    "gpl-notice": "you can redistribute it and or modify it under the terms of the gnu <<beginOptional>>lesser <<endOptional>>general public license as published by the free software foundation "
+    "either version <<var;1;2>> of the license or <<beginOptional>>at your option <<endOptional>>any later version",
     "cc": "licensed under<<beginOptional>> a<<endOptional>> <<beginOptional>>the <<endOptional>>cc by<<beginOptional>> nc<<endOptional>><<beginOptional>> sa<<endOptional>><<beginOptional>> nd<<endOptional>> <<var;1;1>> 0",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that",
+    "bsd-2-clause": _BSD_TERMS + _BSD_END,
+    "bsd-3-clause": _BSD_TERMS + "<<beginOptional>>3 <<endOptional>>neither the name of <<var;1;12>> nor the names of <<beginOptional>>its <<endOptional>>contributors may be used "
+    "to endorse or promote products derived from this software without specific prior written permission " + _BSD_END,
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice "
+    "and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
     "rights": "copyright <<beginOptional>>c <<endOptional>><<var;1;8>> all rights reserved",
 }
 
