@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.errors import IndexError_, QueryError
+from tidemark.functions import text as X
 from tidemark.operators import ann, hybrid, text_index, text_search, vector_search
 from tidemark.operators.embedding import HashingEmbedder
 from tidemark.plans.query_parser import Bool, Phrase, Range, Term, parse
@@ -87,6 +89,32 @@ def test_index_on_disk(spark, tmp_path):
     assert "PushedFilters" in plan and "fire" in plan.split("PushedFilters")[1]
 
 
+def test_documents_and_queries_have_the_same_tokens(spark):
+    """Indic and Thai scripts, combining marks, and letters that libraries disagree about."""
+    texts = ["हिन्दी भाषा", "ภาษาไทย น้ำ", "cafe\u0301 e\u0363x", "தமிழ் மொழி", "Straße ΣΊΣΥΦΟΣ İstanbul", "x\u0f82y ²³ ⅷ", "漢字かな交じり文", "emoji 🙂 a_b"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    p, s = text_index.postings(d), text_index.corpus_stats(d)
+    for r in d.select("id", X.tokens("text").alias("t"), "text").collect():
+        assert list(text_search._cut(r["text"])) == list(r["t"])
+        assert str(r["id"]) in scores(text_search.or_scores(p, s, r["text"]))
+        assert str(r["id"]) in {x["id"] for x in text_search.phrase_matches(p, r["text"]).collect()}
+    shown = text_search.snippets(d, "हिन्दी น้ำ", text_col="text").collect()
+    assert shown[0]["snippet"] == "<b>हिन</b>्<b>दी</b>" and shown[2]["snippet"] == ""
+
+
+def test_one_scan_without_a_join(spark, tmp_path):
+    index = text_index.TextIndex(spark, str(tmp_path / "i"))
+    index.write(spark.createDataFrame([(str(i), t) for i, t in CORPUS], "id string, content string"))
+    plain = text_index.postings(spark.createDataFrame(CORPUS, "id int, text string")), text_index.corpus_stats(spark.createDataFrame(CORPUS, "id int, text string"))
+    for f in (text_search.or_scores, text_search.boosted_scores, text_search.phrase_scores):
+        for q in ("fire wood", "fire and water", "water"):
+            assert scores(f(index.postings, index.numbers, q)) == pytest.approx(scores(f(*plain, q)))
+    plan = text_search.or_scores(index.postings, index.numbers, "fire wood")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Join" not in plan and "In(term" in plan
+    assert text_search.correct(index.terms, "watre fire", 4) == "watre fire" and text_search.correct(index.terms, "waters", 4) == "water"
+    assert [h["id"] for h in text_search.search(index, "waters", 5, fuzzy=4).collect()] == [h["id"] for h in text_search.search(index, "water", 5).collect()]
+
+
 def test_fusion(spark):
     v = spark.createDataFrame([("a", 0.9), ("b", 0.5), ("c", 0.4)], "id string, score double")
     t = spark.createDataFrame([("b", 2.0), ("a", 0.9), ("d", 0.1)], "id string, score double")
@@ -115,9 +143,25 @@ def test_ivf_params(n, nlist):
     assert ann.ivf_params(n, 64) == ann.IvfPqParams(nlist, 16, 8) and ann.ivf_params(n, 1024).m == 32
 
 
-def test_ivf_recall(spark):
+def test_ivf_recall(spark, tmp_path):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id as id", "embedding as vector")
-    index = ann.IvfPq.train(e, ann.IvfPqParams(16, 16))
-    encoded = index.encode(e).cache()
-    some, recall = ann.validate_index(index, encoded, sample=8, k=10, nprobe=12)
+    first = ann.IvfPq.build(e, str(tmp_path / "ivf"), ann.IvfPqParams(16, 16))
+    index = ann.IvfPq.load(spark, str(tmp_path / "ivf"))
+    assert index.params == ann.IvfPqParams(16, 16) and index.vectors.count() == e.count()
+    some, recall = ann.validate_index(index, sample=8, k=10, nprobe=12)
     assert some and recall >= 0.85
+    by = dict(ann.recalls(index, (1, 16), sample=5))
+    assert by[1] <= by[16] and by[16] >= 0.95
+    plan = index.vectors.where(F.col("ivf_cell").isin([1, 2]))._jdf.queryExecution().toString()
+    assert "In(ivf_cell" in plan
+    second = ann.IvfPq.build(e, str(tmp_path / "ivf"), ann.IvfPqParams(4, 16))
+    assert ann.IvfPq.load(spark, str(tmp_path / "ivf")).params.nlist == 4 and ann.IvfPq.load(spark, str(tmp_path / "ivf"), first).params.nlist == 16 and first != second
+
+
+def test_two_levels_give_all_centroids(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id as id", "embedding as vector")
+    index = ann.IvfPq.train(e, ann.IvfPqParams(40, 16), task_rows=100)
+    assert 36 <= len(index.centroids) <= 44 and len(np.unique(index.centroids.round(6), axis=0)) == len(index.centroids)
+    x = np.array([r["vector"] for r in e.collect()])
+    spread = lambda c: (((x - c[ann._nearest(x, c)]) ** 2).sum(1)).mean()
+    assert spread(index.centroids) < spread(ann._kmeans(x, 40, rounds=1)) * 1.2

@@ -98,7 +98,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "search-text":
         _show(text_search.search(text, a.text, k))
         if a.facets:
-            _show(text_search.facet_counts(text.stored, text_search.or_scores(text.postings, text.stats, a.text)))
+            _show(text_search.facet_counts(text.stored, text_search.or_scores(text.postings, text.numbers, a.text)))
     elif a.command == "search-vector":
         _show(vector_search.text_search(store.read("documents"), a.text, embedder.embed_one, k))
     elif a.command == "backfill":

@@ -1,17 +1,28 @@
-"""An inverted-file index with product quantisation, as Parquet tables and DataFrame plans."""
+"""An inverted-file index with product quantisation, as Parquet tables and DataFrame plans.
+
+Coarse centroids come from a sample that grows with their number. Small numbers are fitted in one go; larger ones in two levels: a few
+centers from a bounded sample, then the centroids around each center by one task each, from a bounded number of rows. An index is a
+version of a folder: its centroids and codebooks, and the vectors with their codes, sorted by cell, so that a search reads the row groups
+of the cells it probes.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.errors import IndexError_
 from tidemark.operators.vector_search import flat_search
+from tidemark.sources import versions
+
+#: Sampled rows for each centroid; rows that one task fits on, at most; distances that are held at once.
+CELL_ROWS, TASK_ROWS, HELD = 32, 50_000, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -40,7 +51,11 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 1) -> np.ndarra
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return np.argmin((centers**2).sum(1) - 2 * x @ centers.T, 1)
+    own, square = np.zeros(len(x), np.int64), (centers**2).sum(1)
+    rows = max(1, HELD // len(centers))
+    for a in range(0, len(x), rows):
+        own[a : a + rows] = np.argmin(square - 2 * x[a : a + rows] @ centers.T, 1)
+    return own
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -55,38 +70,76 @@ class IvfPq:
     codebooks: np.ndarray
     params: IvfPqParams
 
+    #: Where an index that was built or loaded has its vectors.
+    vectors: DataFrame | None = field(default=None, repr=False)
+
     @classmethod
-    def train(cls, table: DataFrame, params: IvfPqParams, vector_col: str = "vector", train_rows: int = 50_000, seed: int = 1) -> IvfPq:
-        """On a bounded sample of ``train_rows`` rows."""
-        rows = table.where(F.col(vector_col).isNotNull())
+    def train(cls, table: DataFrame, params: IvfPqParams, vector_col: str = "vector", task_rows: int = TASK_ROWS, seed: int = 1) -> IvfPq:
+        """On a sample of ``CELL_ROWS`` rows a centroid; codebooks on ``task_rows`` rows at most."""
+        rows = table.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).cast("array<double>").alias("v"))
         total = rows.count()
-        sample = rows.sample(fraction=min(1.0, train_rows / max(total, 1)), seed=seed) if total > train_rows else rows
-        x = _matrix(sample.select(vector_col).toArrow().column(0).combine_chunks())
-        x = x[np.lexsort(x.T)]
-        centroids = _kmeans(x, params.nlist, seed=seed)
-        rest = x - centroids[_nearest(x, centroids)]
-        sub = rest.reshape(len(x), params.m, -1)
-        books = [_kmeans(sub[:, j], min(2**params.nbits, len(x)), seed=seed + j) for j in range(params.m)]
+        drawn = F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(1 << 30))
+        some = lambda n: rows.where(drawn < int(min(1.0, n / max(total, 1)) * (1 << 30)))
+        local = _matrix(some(task_rows).toArrow().column(0).combine_chunks())
+        local = local[np.lexsort(local.T)]
+        if params.nlist * CELL_ROWS <= task_rows or total <= task_rows:
+            centroids = _kmeans(local, params.nlist, seed=seed)
+        else:
+            centroids = _two_levels(some(params.nlist * CELL_ROWS), local, params.nlist, task_rows, seed)
+        sub = (local - centroids[_nearest(local, centroids)]).reshape(len(local), params.m, -1)
+        books = [_kmeans(sub[:, j], min(2**params.nbits, len(local)), seed=seed + j) for j in range(params.m)]
         return cls(centroids, np.stack(books), params)
 
+    @classmethod
+    def build(cls, table: DataFrame, home: str, params: IvfPqParams, vector_col: str = "vector", id_col: str = "id", seed: int = 1) -> str:
+        """Train, encode and write; the new version of ``home`` is current, and its name is returned."""
+        spark, name = table.sparkSession, versions.new_name()
+        index = cls.train(table, params, vector_col, seed=seed)
+        parts = [("centroid", i, 0, c) for i, c in enumerate(index.centroids)] + [("code", i, j, c) for j, book in enumerate(index.codebooks) for i, c in enumerate(book)]
+        kind, number, sub, vector = zip(*parts, strict=True)
+        model = pa.table({"kind": kind, "i": pa.array(number, pa.int32()), "j": pa.array(sub, pa.int32()), "v": pa.array([v.astype(np.float32) for v in vector], pa.list_(pa.float32())), "nbits": pa.array([params.nbits] * len(kind), pa.int32())})
+        spark.createDataFrame(model).write.parquet(f"{home}/{name}/model")
+        index = cls.load(spark, home, name, vectors=False)  # what searches will use, in their precision
+        encoded = index.encode(table, id_col, vector_col)
+        encoded.repartitionByRange("ivf_cell").sortWithinPartitions("ivf_cell").write.option("parquet.block.size", 16 << 20).parquet(f"{home}/{name}/vectors")
+        versions.commit(spark, home, name)
+        return name
+
+    @classmethod
+    def load(cls, spark: SparkSession, home: str, name: str | None = None, vectors: bool = True) -> IvfPq:
+        """The current version of ``home``, or the one of this name."""
+        name = name or versions.current(spark, home)
+        if name is None:
+            raise IndexError_(f"no index at {home}")
+        rows = spark.read.parquet(f"{home}/{name}/model").toArrow().sort_by([("kind", "ascending"), ("j", "ascending"), ("i", "ascending")])
+        kind = np.array(rows["kind"].to_pylist())
+        pick = lambda k: _matrix(rows.filter(pa.array(kind == k))["v"].combine_chunks())
+        centroids, m = pick("centroid"), int(np.max(rows["j"].to_numpy())) + 1
+        books = pick("code")
+        table = spark.read.parquet(f"{home}/{name}/vectors") if vectors else None
+        return cls(centroids, books.reshape(m, -1, centroids.shape[1] // m), IvfPqParams(len(centroids), m, rows["nbits"][0].as_py()), table)
+
     def encode(self, table: DataFrame, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-        """id, ivf_cell, codes, vector: write it partitioned by ``ivf_cell`` so that a search prunes cells."""
-        kind = table.schema[id_col].dataType.simpleString()
+        """id, ivf_cell, codes, vector: write it sorted by ``ivf_cell`` so that a search prunes cells."""
+        kind, m = table.schema[id_col].dataType.simpleString(), self.params.m
+        model = table.sparkSession.sparkContext.broadcast((self.centroids, self.codebooks))  # its size is a parameter
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centroids, books = model.value
             for batch in batches:
-                x = _matrix(batch.column(1)) if batch.num_rows else np.zeros((0, self.centroids.shape[1]))
-                cell = _nearest(x, self.centroids)
-                sub = (x - self.centroids[cell]).reshape(len(x), self.params.m, -1)
-                codes = np.stack([_nearest(sub[:, j], self.codebooks[j]) for j in range(self.params.m)], 1) if len(x) else np.zeros((0, self.params.m))
-                ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * self.params.m)
+                x = _matrix(batch.column(1)) if batch.num_rows else np.zeros((0, centroids.shape[1]))
+                cell = _nearest(x, centroids)
+                sub = (x - centroids[cell]).reshape(len(x), m, -1)
+                codes = np.stack([_nearest(sub[:, j], books[j]) for j in range(m)], 1) if len(x) else np.zeros((0, m))
+                ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * m)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(codes.astype(np.int16).ravel())), batch.column(1)], ["id", "ivf_cell", "codes", "vector"])
 
         vector = table.schema[vector_col].dataType.simpleString()
         return table.where(F.col(vector_col).isNotNull()).select(id_col, vector_col).mapInArrow(run, f"id {kind}, ivf_cell int, codes array<smallint>, vector {vector}")
 
-    def search(self, encoded: DataFrame, query: list[float], k: int, nprobe: int = 4, refine_factor: int = 10, metric: str = "cosine") -> DataFrame:
+    def search(self, query: list[float], k: int, nprobe: int = 4, refine_factor: int = 10, metric: str = "cosine", encoded: DataFrame | None = None) -> DataFrame:
         """Probe the nearest cells, rank their codes by table look-ups, then rank k x refine_factor candidates exactly."""
+        encoded = self.vectors if encoded is None else encoded
         q = np.array(query, float)
         near = np.argsort(((self.centroids - q) ** 2).sum(1), kind="stable")[:nprobe]
         rows = encoded.where(F.col("ivf_cell").isin([int(c) for c in near]))
@@ -109,12 +162,44 @@ class IvfPq:
         return flat_search(candidates, query, k, metric)
 
 
-def validate_index(index: IvfPq, encoded: DataFrame, sample: int = 5, k: int = 10, nprobe: int = 8) -> tuple[bool, float]:
+def _two_levels(sample: DataFrame, local: np.ndarray, nlist: int, task_rows: int, seed: int) -> np.ndarray:
+    """``nlist`` centroids: of each center as many as its share of ``sample`` asks for, fitted by a task of its own on ``task_rows`` rows at most."""
+    centers = _kmeans(local[np.random.default_rng(seed).permutation(len(local))[:16_000]], max(1, math.isqrt(nlist)), seed=seed)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_nearest(_matrix(batch.column(0)), centers).astype(np.int32)), batch.column(0)], ["c", "v"])
+
+    dealt = sample.mapInArrow(deal, "c int, v array<double>")
+    counts = {r["c"]: r["n"] for r in dealt.groupBy("c").agg(F.count("*").alias("n")).collect()}  # a row a center
+    exact = {c: n * nlist / sum(counts.values()) for c, n in counts.items()}
+    wanted = {c: max(1, int(x)) for c, x in exact.items()}
+    for c in sorted(exact, key=lambda c: (int(exact[c]) - exact[c], c))[: max(0, nlist - sum(wanted.values()))]:
+        wanted[c] += 1
+    keep = F.create_map(*(F.lit(x) for c, n in counts.items() for x in (c, int(min(1.0, task_rows / n) * (1 << 30)))))
+    kept = dealt.where(F.pmod(F.xxhash64("v", F.lit(seed + 1)), F.lit(1 << 30)) < keep[F.col("c")])
+
+    def fit(table: pa.Table) -> pa.Table:
+        x = _matrix(table.column("v").combine_chunks())
+        x = x[np.lexsort(x.T)]
+        found = _kmeans(x, wanted[table.column("c")[0].as_py()], seed=seed)
+        return pa.table({"v": pa.array(list(found), pa.list_(pa.float64()))})
+
+    return _matrix(kept.groupBy("c").applyInArrow(fit, "v array<double>").toArrow().column(0).combine_chunks())
+
+
+def recalls(index: IvfPq, nprobes: tuple[int, ...] = (1, 4, 8, 16), sample: int = 20, k: int = 10, refine_factor: int = 10) -> list[tuple[int, float]]:
+    """Mean recall@k against the exact search for ``sample`` stored vectors, by number of probed cells."""
+    rows = index.vectors.orderBy("id").limit(sample).select("vector").collect()
+    exact = [{x["id"] for x in flat_search(index.vectors, list(r["vector"]), k, "cosine").collect()} for r in rows]
+    out = []
+    for n in nprobes:
+        got = [{x["id"] for x in index.search(list(r["vector"]), k, n, refine_factor).collect()} for r in rows]
+        out.append((n, float(np.mean([len(a & b) / max(len(a), 1) for a, b in zip(exact, got, strict=True)])) if rows else 0.0))
+    return out
+
+
+def validate_index(index: IvfPq, sample: int = 5, k: int = 10, nprobe: int = 8) -> tuple[bool, float]:
     """Whether any of ``sample`` stored vectors finds something, and the mean recall@k against the exact search."""
-    rows = encoded.orderBy("id").limit(sample).collect()
-    recall = []
-    for r in rows:
-        want = {x["id"] for x in flat_search(encoded, list(r["vector"]), k, "cosine").collect()}
-        got = {x["id"] for x in index.search(encoded, list(r["vector"]), k, nprobe).collect()}
-        recall.append(len(want & got) / max(len(want), 1))
-    return any(r > 0 for r in recall), float(np.mean(recall)) if recall else 0.0
+    recall = recalls(index, (nprobe,), sample, k)[0][1]
+    return recall > 0, recall

@@ -108,7 +108,7 @@ def default_embedder(dim: int = 1024) -> Embedder:
 
 
 def embed_column(embedder: Embedder, text: Column | str, batch: int = 128):
-    """struct(vector, error): an error concerns its row alone. An empty text has an empty vector."""
+    """struct(vector, error): an error concerns its row alone. A null text is embedded as an empty one."""
 
     @F.pandas_udf("struct<vector:array<float>,error:string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -143,5 +143,5 @@ def with_vectors(chunks: DataFrame, embedder: Embedder, text_col: str = "content
 def md5_embedding(text: Column | str, dim: int = 16) -> Column:
     """A hashing embedder of built-in functions alone: words counted by a slice of their MD5, then scaled to length one."""
     cells = F.transform(whitespace_words(F.lower(F.col(text) if isinstance(text, str) else text)), lambda w: F.conv(F.substr(F.md5(w), F.lit(1), F.lit(6)), 16, 10).cast("long") % dim)
-    counts = F.aggregate(cells, F.array_repeat(F.lit(0.0), dim), lambda acc, c: F.transform(acc, lambda x, i: x + F.when(i == c, 1.0).otherwise(0.0)))
+    counts = V.let(cells, lambda c: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(c, lambda x: x == i)).cast("double")))
     return V.normalize(counts)

@@ -1,11 +1,15 @@
 """An inverted index as Parquet tables.
 
 ``postings`` is range-partitioned and sorted by term, so that a query's terms prune files and row groups. It carries each document's
-length: scoring needs no join with document statistics. ``stored`` has the fields that results show, sorted by id.
+length and each term's number of documents, and the two numbers of the corpus are read once: scoring is one scan and one
+aggregate, without a join. ``terms`` is the dictionary. ``stored`` has the fields that results show, sorted by id. All tables of an index belong to
+one version, which a marker makes current when it is complete.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -13,6 +17,14 @@ from pyspark.sql.utils import AnalysisException
 from tidemark import schemas
 from tidemark.errors import IndexError_
 from tidemark.functions import text as X
+from tidemark.sources import versions
+
+
+class Stats(NamedTuple):
+    """Documents of a corpus, and their average length."""
+
+    n: int
+    avgdl: float
 
 
 def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -51,23 +63,48 @@ class TextIndex:
         self.spark, self.path = spark, path.rstrip("/")
 
     def write(self, docs: DataFrame, id_col: str = "id", text_col: str = "content", partitions: int | None = None) -> None:
-        """Build from ``docs``; an index that is there is replaced."""
-        by_term = exploded_postings(docs, id_col, text_col)
+        """Build from ``docs``; an index that is there stays current until this one is complete."""
+        version = versions.new_name()
+        home = f"{self.path}/{version}"
+        # Texts are cut once: what range partitioning samples, and what is counted, is the written table.
+        exploded_postings(docs, id_col, text_col).write.parquet(f"{home}/_raw")
+        raw = self.spark.read.parquet(f"{home}/_raw")
+        raw.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{home}/terms")
+        by_term = raw.join(self.spark.read.parquet(f"{home}/terms"), "term").select("term", "id", "tf", "dl", "df", "positions")
         by_term = by_term.repartitionByRange(partitions, "term") if partitions else by_term.repartitionByRange("term")
-        by_term.sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{self.path}/postings")
+        by_term.sortWithinPartitions("term", "id").write.option("parquet.block.size", 16 << 20).parquet(f"{home}/postings")
         stored = docs.select(F.col(id_col).cast("string").alias("id"), *(c for c in ("doc_id", "doc_path", "category", "category_text") if c in docs.columns), F.col(text_col).alias("content"))
-        stored.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{self.path}/stored")
-        corpus_stats(docs, text_col).write.mode("overwrite").parquet(f"{self.path}/stats")
+        stored.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{home}/stored")
+        corpus_stats(docs, text_col).write.parquet(f"{home}/stats")
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{home}/_raw")
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        versions.commit(self.spark, self.path, version)
+        self._numbers = None
 
     def _open(self, name: str, needed: set[str]) -> DataFrame:
+        version = versions.current(self.spark, self.path)
+        if version is None:
+            raise IndexError_(f"no index at {self.path}")
         try:
-            df = self.spark.read.parquet(f"{self.path}/{name}")
+            df = self.spark.read.parquet(f"{self.path}/{version}/{name}")
         except AnalysisException as e:
             raise IndexError_(f"no index at {self.path}") from e
         if missing := needed - set(df.columns):
             raise IndexError_(f"{name} lacks {', '.join(sorted(missing))}")
         return df
 
+    @property
+    def numbers(self) -> Stats:
+        """The statistics of the corpus, read once."""
+        if getattr(self, "_numbers", None) is None:
+            r = self.stats.first()
+            self._numbers = Stats(r["n"], r["avgdl"] or 0.0)
+        return self._numbers
+
+    @property
+    def terms(self) -> DataFrame:
+        return self._open("terms", {"term", "df"})
+
     @property
     def postings(self) -> DataFrame:
         return self._open("postings", {f.name for f in schemas.POSTINGS})

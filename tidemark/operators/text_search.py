@@ -5,24 +5,34 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import QueryError
 from tidemark.functions import text as X
 from tidemark.functions.text import STOP_WORDS
+from tidemark.operators.text_index import Stats
 from tidemark.plans.query_parser import Bool, Node, Phrase, Range, Term, parse
 
 K1, B = 1.2, 0.75
-_TOKEN = re.compile(r"[^\W_]+")
+_ASCII = re.compile(r"[a-z0-9]+")
+
+
+@lru_cache(maxsize=1024)
+def _cut(text: str) -> tuple[str, ...]:
+    """The tokens of a text, as documents are cut. Libraries differ in what a letter is beyond ASCII, so there the expression that cuts documents
+    cuts this too."""
+    if text.isascii():
+        return tuple(_ASCII.findall(text.lower()))
+    return tuple(SparkSession.active().sql("SELECT 1").select(X.tokens(F.lit(text))).first()[0])
 
 
 def query_tokens(query: str) -> list[tuple[int, str]]:
     """Positions and terms of a query; stop words leave gaps."""
-    return [(i, t) for i, t in enumerate(_TOKEN.findall(query.lower())) if t not in STOP_WORDS]
+    return [(i, t) for i, t in enumerate(_cut(query)) if t not in STOP_WORDS]
 
 
 def query_terms(query: str) -> list[str]:
@@ -37,26 +47,31 @@ def term_weight(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def _with_stats(postings: DataFrame, stats: DataFrame) -> DataFrame:
+def _with_stats(postings: DataFrame, stats: DataFrame | Stats) -> DataFrame:
+    if isinstance(stats, Stats):
+        return postings.withColumns({"n": F.lit(stats.n), "avgdl": F.lit(stats.avgdl)})
     # One row, so its broadcast is bounded.
     return postings.crossJoin(F.broadcast(stats.select("n", "avgdl")))
 
 
-def term_scores(postings: DataFrame, stats: DataFrame, terms: list[str]) -> DataFrame:
-    """id, term, score for the postings of ``terms``; their filter reaches the scan. A term's frequency is the length of its list,
-    counted apart and joined back by a table of as many rows as the query has terms."""
-    hits = postings.where(F.col("term").isin(terms)).select("term", "id", "tf", "dl")
-    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))
-    scored = _with_stats(hits.join(df, "term"), stats)
+def _with_df(hits: DataFrame) -> DataFrame:
+    """With each term's number of documents. An index has it; else a term's list is counted, which makes as many rows as the query has terms."""
+    return hits if "df" in hits.columns else hits.join(F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df"))), "term")
+
+
+def term_scores(postings: DataFrame, stats: DataFrame | Stats, terms: list[str]) -> DataFrame:
+    """id, term, score for the postings of ``terms``; their filter reaches the scan."""
+    hits = postings.where(F.col("term").isin(terms)).drop("positions")
+    scored = _with_stats(_with_df(hits), stats)
     return scored.select("id", "term", (idf(F.col("df"), F.col("n")) * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
 
 
-def or_scores(postings: DataFrame, stats: DataFrame, query: str) -> DataFrame:
+def or_scores(postings: DataFrame, stats: DataFrame | Stats, query: str) -> DataFrame:
     """id, score, n_terms: BM25 summed over the query's terms."""
     return term_scores(postings, stats, query_terms(query)).groupBy("id").agg(F.sum("score").alias("score"), F.count("*").alias("n_terms"))
 
 
-def and_scores(postings: DataFrame, stats: DataFrame, query: str) -> DataFrame:
+def and_scores(postings: DataFrame, stats: DataFrame | Stats, query: str) -> DataFrame:
     return or_scores(postings, stats, query).where(F.col("n_terms") == len(query_terms(query)))
 
 
@@ -64,40 +79,38 @@ def _minus(offset: int):
     return lambda p: p - offset
 
 
-def phrase_matches(postings: DataFrame, phrase: str) -> DataFrame:
-    """id, dl, tf of the phrase: the terms' positions, moved to the phrase's start, meet in one group per document.
-
-    One shuffle on the document, whatever the phrase's length; no self-join of posting lists.
-    """
+def _phrase(hits: DataFrame, phrase: str) -> DataFrame:
+    """id, dl, tf of the phrase, idf (the sum of its terms'): the terms' positions, moved to the phrase's start, meet in one group per
+    document. One shuffle on the document, whatever the phrase's length; no self-join of posting lists. A start where all meet
+    stands as often as the phrase has terms among the sorted starts. ``hits``: the phrase's postings, with idf."""
     tokens = query_tokens(phrase)
-    if not tokens:
-        return postings.where("false").select("id", "dl", F.lit(0).alias("tf"))
-    first = tokens[0][0]
+    first = tokens[0][0] if tokens else 0
     offsets: dict[str, list[int]] = {}
     for i, t in tokens:
         offsets.setdefault(t, []).append(i - first)
-    starts = reduce(
-        lambda found, kv: found.when(F.col("term") == kv[0], F.flatten(F.array(*(F.transform("positions", _minus(o)) for o in kv[1])))),
-        offsets.items(),
-        F.when(F.lit(False), F.array().cast("array<int>")),
-    )
-    hits = postings.where(F.col("term").isin(list(offsets))).select("id", "dl", starts.alias("starts"))
-    together = hits.groupBy("id", "dl").agg(F.flatten(F.collect_list("starts")).alias("all"), F.count("*").alias("n")).where(F.col("n") == len(offsets))
-    places = F.filter(F.array_distinct("all"), lambda p: F.size(F.filter("all", lambda q: q == p)) == len(tokens))
-    return together.select("id", "dl", F.size(places).alias("tf")).where("tf > 0")
-
-
-def phrase_scores(postings: DataFrame, stats: DataFrame, phrase: str) -> DataFrame:
+    starts, times = F.when(F.lit(False), F.array().cast("array<int>")), F.when(F.lit(False), F.lit(0))
+    for term, own in offsets.items():
+        starts = starts.when(F.col("term") == term, F.flatten(F.array(*(F.transform("positions", _minus(o)) for o in own))))
+        times = times.when(F.col("term") == term, F.lit(len(own)))
+    rows = hits.where(F.col("term").isin(list(offsets))).select("id", "dl", starts.alias("starts"), (times * F.col("idf")).alias("idf"))
+    together = rows.groupBy("id", "dl").agg(F.sort_array(F.flatten(F.collect_list("starts"))).alias("all"), F.count("*").alias("n"), F.sum("idf").alias("idf"))
+    places = F.filter("all", lambda p, i: F.get("all", i + (len(tokens) - 1)) == p)
+    return together.where(F.col("n") == len(offsets)).select("id", "dl", F.size(places).alias("tf"), "idf").where("tf > 0")
+
+
+def phrase_matches(postings: DataFrame, phrase: str) -> DataFrame:
+    """id, dl, tf of the phrase."""
+    return _phrase(postings.withColumn("idf", F.lit(0.0)), phrase).drop("idf")
+
+
+def phrase_scores(postings: DataFrame, stats: DataFrame | Stats, phrase: str) -> DataFrame:
     """BM25 of the phrase as one term whose idf is the sum of its terms'."""
-    terms = [t for _, t in query_tokens(phrase)]
-    df = postings.where(F.col("term").isin(list(set(terms)))).groupBy("term").agg(F.count("*").alias("df"))
-    times = reduce(lambda c, t: c.when(F.col("term") == t, F.lit(terms.count(t))), dict.fromkeys(terms), F.when(F.lit(False), 0))
-    total = _with_stats(df, stats).agg(F.sum(times * idf(F.col("df"), F.col("n"))).alias("idf"))
-    found = _with_stats(phrase_matches(postings, phrase).crossJoin(F.broadcast(total)), stats)
-    return found.select("id", (F.col("idf") * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
+    hits = postings.where(F.col("term").isin([t for _, t in query_tokens(phrase)]))
+    rare = _with_stats(_with_df(hits), stats).withColumn("idf", idf(F.col("df"), F.col("n"))).drop("n", "avgdl")
+    return _with_stats(_phrase(rare, phrase), stats).select("id", (F.col("idf") * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
 
 
-def boosted_scores(postings: DataFrame, stats: DataFrame, query: str) -> DataFrame:
+def boosted_scores(postings: DataFrame, stats: DataFrame | Stats, query: str) -> DataFrame:
     """OR once, AND twice, the phrase four times. A single term is its own phrase neither, so it scores three times."""
     n = len(query_terms(query))
     scored = or_scores(postings, stats, query).select("id", (F.col("score") * F.when(F.col("n_terms") == n, 3.0).otherwise(1.0)).alias("score"))
@@ -117,7 +130,7 @@ def ranked(scores: DataFrame) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
-def evaluate(node: Node, postings: DataFrame, stats: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def evaluate(node: Node, postings: DataFrame, stats: DataFrame | Stats, stored: DataFrame | None = None) -> DataFrame:
     """id, score of the documents that match a query tree. Parts that only filter or match fields score their boost."""
     if isinstance(node, (Term, Phrase)) and node.field not in (None, "text"):
         match = F.col(node.field) == node.text
@@ -150,25 +163,33 @@ def _fields(stored: DataFrame | None) -> DataFrame:
     return stored
 
 
-def search_query(query: str, postings: DataFrame, stats: DataFrame, stored: DataFrame | None = None, conjunctive: bool = False) -> DataFrame:
+def search_query(query: str, postings: DataFrame, stats: DataFrame | Stats, stored: DataFrame | None = None, conjunctive: bool = False) -> DataFrame:
     """id, score for a query in the full grammar."""
     return evaluate(parse(query, conjunctive), postings, stats, stored)
 
 
-def search(index, query: str, k: int = 10, highlight: bool = True) -> DataFrame:
-    """score, id, category, path, snippet: the boosted search with stored fields. Snippets are made for k rows."""
-    hits = top(boosted_scores(index.postings, index.stats, query), k)
-    df = {r["term"]: r["df"] for r in index.postings.where(F.col("term").isin(query_terms(query))).groupBy("term").agg(F.count("*").alias("df")).collect()} if highlight else {}
-    # k rows at most.
-    found = index.stored.join(F.broadcast(hits), "id")
+def fetch(stored: DataFrame, hits: DataFrame) -> DataFrame:
+    """The stored rows of a top-k result. Its few ids filter the scan of ``stored``, which is sorted by them."""
+    rows = hits.collect()  # k rows
+    few = hits.sparkSession.createDataFrame(rows, hits.schema)
+    return stored.where(F.col("id").isin([r["id"] for r in rows])).join(F.broadcast(few), "id")
+
+
+def search(index, query: str, k: int = 10, highlight: bool = True, fuzzy: int = 0) -> DataFrame:
+    """score, id, category, path, snippet: the boosted search with stored fields. Snippets are made for k rows. With ``fuzzy``, words
+    that the index lacks stand for its nearest term within that edit distance."""
+    query = correct(index.terms, query, fuzzy) if fuzzy else query
+    found = fetch(index.stored, top(boosted_scores(index.postings, index.numbers, query), k))
+    df = {r["term"]: r["df"] for r in index.terms.where(F.col("term").isin(query_terms(query))).collect()} if highlight else {}
     shown = snippets(found, query, df) if highlight else found.withColumn("snippet", F.col("content"))
     opt = lambda c: F.col(c) if c in found.columns else F.lit(None).cast("string")
     return shown.select("score", "id", opt("category").alias("category"), opt("doc_path").alias("path"), "snippet").orderBy(F.desc("score"), "id")
 
 
-def search_hits(index, query: str, k: int = 10) -> DataFrame:
+def search_hits(index, query: str, k: int = 10, fuzzy: int = 0) -> DataFrame:
     """id, score, source: the plain OR search."""
-    return top(or_scores(index.postings, index.stats, query).select("id", "score"), k).withColumn("source", F.lit("text"))
+    query = correct(index.terms, query, fuzzy) if fuzzy else query
+    return top(or_scores(index.postings, index.numbers, query).select("id", "score"), k).withColumn("source", F.lit("text"))
 
 
 def facet_counts(stored: DataFrame, hits: DataFrame, root: str = "/", level: int = 1) -> DataFrame:
@@ -179,13 +200,19 @@ def facet_counts(stored: DataFrame, hits: DataFrame, root: str = "/", level: int
     return below.select(F.get(X.facet_ancestors("facet"), F.lit(depth - 1)).alias("facet")).where(F.col("facet").isNotNull()).groupBy("facet").agg(F.count("*").alias("count"))
 
 
-def best_fragment(text: str, weights: dict[str, float], limit: int = 150) -> str:
-    """The run of tokens of up to ``limit`` characters with the highest sum of term weights, as HTML with the terms marked."""
-    found = [(m.start(), m.end(), weights.get(m[0].lower(), 0.0)) for m in _TOKEN.finditer(text)]
+def best_fragment(text: str, weights: dict[str, float], limit: int = 150, tokens: list[str] | None = None, lowered: list[str] | None = None) -> str:
+    """The run of tokens of up to ``limit`` characters with the highest sum of term weights, as HTML with the terms marked. ``tokens``: those of
+    the text in order, as they stand there and in lower case; without them they are letters and digits in the sense of ``re``."""
+    tokens = re.findall(r"[^\W_]+", text) if tokens is None else tokens
+    found, at = [], 0
+    for token, low in zip(tokens, map(str.lower, tokens) if lowered is None else lowered, strict=True):
+        start = text.index(token, at)  # nothing but its parters stands before it
+        at = start + len(token)
+        found.append((start, at, weights.get(low, 0.0)))
     best, low, held = (0.0, 0, min(len(text), limit)), 0, 0.0
     for high, (_, end, weight) in enumerate(found):
         held += weight
-        while end - found[low][0] > limit:
+        while end - found[low][0] > limit and low < high:
             held -= found[low][2]
             low += 1
         if held > best[0] + 1e-12:
@@ -205,14 +232,29 @@ def snippets(found: DataFrame, query: str, df: dict[str, int] | None = None, tex
     weights = {t: 1.0 / (1 + (df or {}).get(t, 0)) for t in query_terms(query)}
 
     @F.pandas_udf("string")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: best_fragment(t or "", weights))
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, tokens, lowered in batches:
+            yield pd.Series([best_fragment(t, weights, tokens=list(a), lowered=list(b)) if t else "" for t, a, b in zip(texts, tokens, lowered, strict=True)], dtype=object)
 
-    return found.withColumn("snippet", cut(text_col))
+    tokens = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(X.TOKEN), F.lit(0))
+    return found.withColumn("snippet", cut(text_col, tokens, F.transform(tokens, F.lower)))
 
 
 def fuzzy_terms(postings: DataFrame, term: str, max_distance: int = 2) -> DataFrame:
-    """Terms of the dictionary within an edit distance."""
+    """Terms of the dictionary (or of postings) within an edit distance."""
     near = postings.select("term").where(F.abs(F.length("term") - len(term)) <= max_distance).distinct()
     return near.select("term", F.levenshtein("term", F.lit(term)).alias("distance")).where(F.col("distance") <= max_distance)
+
+
+def correct(terms: DataFrame, query: str, max_distance: int) -> str:
+    """The query with each word that the dictionary (term, df) lacks as its nearest term, of equally near ones the most frequent. A word
+    of n characters may differ in a third of them at most."""
+    words = query_terms(query)
+    known = {r["term"] for r in terms.where(F.col("term").isin(words)).collect()}
+    for w in words:
+        reach = min(max_distance, len(w) // 3)
+        if w not in known and reach:
+            near = fuzzy_terms(terms, w, reach).join(terms, "term").orderBy("distance", F.desc("df"), "term").first()
+            if near is not None:
+                query = re.sub(rf"(?i)(?<![^\W_]){re.escape(w)}(?![^\W_])", near["term"], query)
+    return query

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as V
+from tidemark.operators.text_search import fetch
 
 
 def flat_search(table: DataFrame, query: list[float], k: int, metric: str = "l2", id_col: str = "id", vector_col: str = "vector", digits: int | None = None) -> DataFrame:
@@ -48,8 +49,7 @@ def lexical_rerank(candidates: DataFrame, query: str, k: int, text_col: str = "c
 def text_search(table: DataFrame, query: str, embed, k: int = 10, candidates: int | None = None, metric: str = "l2") -> DataFrame:
     """score, id, category, path, content: nearest by the query's vector, then reranked by its words."""
     near = flat_search(table, embed(query), candidates or 10 * k, metric)
-    # A bounded number of candidates.
-    full = table.select("id", "category", F.col("doc_path").alias("path"), "content").join(F.broadcast(near), "id")
+    full = fetch(table.select("id", "category", F.col("doc_path").alias("path"), "content"), near)
     return lexical_rerank(full, query, k).select("score", "id", "category", "path", "content")
 
 

@@ -13,6 +13,7 @@ from tidemark.functions import text as X
 from tidemark.functions import validators as Q
 from tidemark.functions import vectors as V
 from tidemark.operators import ann, backfill, chunking, cleaning, embedding, hybrid, text_index, text_search, vector_search
+from tidemark.plans import serving
 from tidemark.sources import export, files
 from tidemark.sources.store import document_rows, latest, merge_vectors, upsert
 from tidemark.streaming import ingest
@@ -72,9 +73,9 @@ def _phrase_sql(phrase: str, name: str = "ph") -> str:
     return f"{name} AS (SELECT k0.doc_id, count(*) AS tf FROM kept k0 {joins} WHERE k0.term = '{tokens[0][1]}' GROUP BY k0.doc_id)"
 
 
-def _postings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    d = docs(spark, sf)
-    return text_index.postings(d, "doc_id", "text"), text_index.corpus_stats(d, "text")
+def _postings(spark: SparkSession, sf: str) -> tuple[DataFrame, text_index.Stats]:
+    index = serving.text(spark, sf)
+    return index.postings, index.numbers
 
 
 @query(f"SELECT doc_id, len(t)::INT AS n_tokens, len(list_filter(t, lambda x: NOT list_contains({STOPS}, x)))::INT AS n_terms, len(list_distinct(t))::INT AS n_distinct FROM (SELECT doc_id, {TOKENS} AS t FROM documents)")
@@ -140,14 +141,10 @@ def keyword_filter(spark, sf):
     return docs(spark, sf).where((F.col("source") == "src7") & (F.col("lang") == "en")).select("doc_id", "source", "lang")
 
 
-def _categories(d: DataFrame) -> DataFrame:
-    return d.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("/"), "lang", F.lit("/"), "source").alias("category"))
-
-
 @query(f"WITH {POSTINGS} hits AS (SELECT DISTINCT doc_id FROM post WHERE term = 'license') SELECT '/' || lang AS facet, count(*) AS count FROM documents JOIN hits USING (doc_id) GROUP BY lang")
 def facet_counts(spark, sf):
-    p, s = _postings(spark, sf)
-    return text_search.facet_counts(_categories(docs(spark, sf)), text_search.or_scores(p, s, "license"))
+    index = serving.text(spark, sf)
+    return text_search.facet_counts(index.stored, index.postings.where("term = 'license'"))
 
 
 @query("SELECT lang, source, count(*) AS count FROM documents GROUP BY ROLLUP (lang, source)")
@@ -160,12 +157,10 @@ s AS (SELECT item_id, p.doc_id, round(sum({IDF} * {WEIGHT}), 3) AS score FROM q
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT item_id, doc_id, score, rank::INT AS rank FROM r WHERE rank <= 3""")
 def batch_bm25_benchmark(spark, sf):
-    p, s = text_index.exploded_postings(docs(spark, sf), "doc_id", "text"), text_index.corpus_stats(docs(spark, sf), "text")
+    p, s = _postings(spark, sf)
     q = read(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(X.terms("text"))).alias("term"))
-    hits = p.select("term", F.col("id").cast("long").alias("doc_id"), "tf", "dl").join(q.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = hits.join(df, "term").crossJoin(F.broadcast(s))
-    weighed = weighed.select("term", "doc_id", (text_search.idf(F.col("df"), F.col("n")) * text_search.term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
+    hits = p.select("term", F.col("id").cast("long").alias("doc_id"), "tf", "dl", "df").join(q.select("term").distinct(), "term", "left_semi")
+    weighed = hits.select("term", "doc_id", (text_search.idf(F.col("df"), F.lit(s.n)) * text_search.term_weight(F.col("tf"), F.col("dl"), F.lit(s.avgdl))).alias("score"))
     scored = weighed.join(q, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum("score"), 3).alias("score"))
     best = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 3")
@@ -335,11 +330,14 @@ def knn_batch(spark, sf):
 
 @query()
 def ivf_knn(spark, sf):
-    e = _emb(spark, sf)
-    n = e.count()
-    params = ann.IvfPqParams(max(1, min(16, n - 1)), ann.ivf_params(n, 64).m)
-    index = ann.IvfPq.train(e, params)
-    return index.search(index.encode(e), _query_vector(spark, sf), 10, nprobe=8)
+    return serving.ivf(spark, sf, 16).search(_query_vector(spark, sf), 10, nprobe=8)
+
+
+@query("SELECT * FROM (VALUES (1, false), (8, true), (16, true)) t(nprobe, good)")
+def ivf_recall(spark, sf):
+    """Whether a search of so many of 16 cells has a recall of 0.9 against the exact one."""
+    found = ann.recalls(serving.ivf(spark, sf, 16), (1, 8, 16), sample=10)
+    return spark.createDataFrame([(n, r >= 0.9) for n, r in found], "nprobe int, good boolean")
 
 
 @query("SELECT n, CASE WHEN n <= 1 THEN 1 ELSE least(least(greatest(2048, 2 * floor(sqrt(n))::BIGINT), 65536), n - 1) END::BIGINT AS nlist, 16 AS m FROM (SELECT unnest([0, 1, 2, 32, 300, 2048, 2049, 2050, 1000000, 4000000, 25000000, 2000000000])::BIGINT AS n)")
@@ -366,24 +364,18 @@ _QV = ", ".join(f"{x!r}::DOUBLE" for x in _md5_query(QUERY))
 NEAR = _NEAR.replace("@QV@", _QV)
 
 
-def _doc_vectors(spark, sf):
-    return docs(spark, sf).select(F.col("doc_id").cast("string").alias("id"), "text", embedding.md5_embedding("text").alias("vector"))
-
-
 @query(f"""WITH {NEAR}, cand AS (SELECT * FROM near ORDER BY score DESC, id LIMIT 100)
 SELECT id, round(0.7 * score + 0.3 * ({" + ".join(f"contains(lower(text), '{w}')::INT" for w in QUERY.split())}) / 3, 4) AS score FROM cand ORDER BY 2 DESC, id LIMIT 10""")
 def rerank_lexical(spark, sf):
-    v = _doc_vectors(spark, sf)
-    near = vector_search.flat_search(v, _md5_query(QUERY), 100, "l2", digits=5)
-    full = v.select("id", "text").join(F.broadcast(near), "id")
-    return vector_search.lexical_rerank(full, QUERY, 10, "text", digits=4).select("id", "score")
+    near = vector_search.flat_search(serving.doc_vectors(spark, sf), _md5_query(QUERY), 100, "l2", digits=5)
+    return vector_search.lexical_rerank(text_search.fetch(serving.text(spark, sf).stored, near), QUERY, 10, digits=4).select("id", "score")
 
 
 _BOTH = f"""WITH {POSTINGS} {_or_sql(QUERY)}, {NEAR}, tx AS (SELECT doc_id::VARCHAR AS id, round(score, 4) AS score FROM scored ORDER BY round(score, 4) DESC, id LIMIT 10), vx AS (SELECT id, score FROM near ORDER BY score DESC, id LIMIT 10)"""
 
 
 def _lists(spark, sf):
-    near = vector_search.flat_search(_doc_vectors(spark, sf), _md5_query(QUERY), 10, "l2", digits=5)
+    near = vector_search.flat_search(serving.doc_vectors(spark, sf), _md5_query(QUERY), 10, "l2", digits=5)
     return near, bm25_or_top10(spark, sf)
 
 
@@ -471,10 +463,7 @@ def stream_sessions(spark, sf):
 
 @query()
 def snippet_top5(spark, sf):
-    p, s = _postings(spark, sf)
-    hits = text_search.top(text_search.boosted_scores(p, s, QUERY), 5)
-    full = docs(spark, sf).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content")).join(F.broadcast(hits), "id")
-    return text_search.snippets(full, QUERY).select("id", F.round("score", 4).alias("score"), "snippet")
+    return text_search.search(serving.text(spark, sf), QUERY, 5).select("id", F.round("score", 4).alias("score"), "snippet")
 
 
 # Relational operations beyond the search engine.

@@ -1,13 +1,13 @@
 """A store of versioned Parquet tables.
 
-Parquet has no updates: a rewrite goes to a new version folder, and a one-line pointer file, replaced last, makes it current. Appends
-add files to the current version. A reader keeps the version it opened; a writer that dies before the pointer leaves no trace.
+Parquet has no updates: a rewrite goes to a new version folder, and a marker, created last, makes it current. Appends
+add files to the current version. A reader keeps the version it opened; a writer that dies before the marker leaves no trace.
+Old versions go when a few newer ones are there.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tidemark import schemas
 from tidemark.errors import EmbeddingError, SourceError
 from tidemark.functions.text import content_hash
+from tidemark.sources import versions
 
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -60,29 +61,8 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
     def _pointer(self, name: str) -> str | None:
-        fs, p = self._fs(f"{self.path}/{name}/_current")
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            return bytes(stream.readAllBytes()).decode().strip()
-        finally:
-            stream.close()
-
-    def _point(self, name: str, version: str) -> None:
-        fs, new = self._fs(f"{self.path}/{name}/_current.{uuid.uuid4().hex}")
-        stream = fs.create(new, True)
-        stream.write(bytearray(version.encode()))
-        stream.close()
-        _, old = self._fs(f"{self.path}/{name}/_current")
-        if fs.exists(old):
-            fs.delete(old, False)
-        fs.rename(new, old)
+        return versions.current(self.spark, f"{self.path}/{name}")
 
     def exists(self, name: str) -> bool:
         return self._pointer(name) is not None
@@ -104,9 +84,9 @@ class Store:
 
     def overwrite(self, name: str, df: DataFrame) -> str:
         """A new version with the rows of ``df``, which may read the current one."""
-        version = f"v-{dt.datetime.now(dt.UTC):%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:6]}"
+        version = versions.new_name()
         df.write.partitionBy(*self.PARTITIONED.get(name, [])).parquet(f"{self.path}/{name}/{version}")
-        self._point(name, version)
+        versions.commit(self.spark, f"{self.path}/{name}", version)
         return version
 
     def append(self, name: str, df: DataFrame) -> None:
