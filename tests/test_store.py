@@ -95,7 +95,7 @@ def test_files(spark, tmp_path):
     assert {r["category"] for r in files.file_documents(spark, root, "path2").collect()} == {"/a.txt", "/sub/b.txt"}
     out = {r["metadata"]["file_name"]: r for r in files.extract_directory(spark, root, (*files.DEFAULT_FORMATS, "eml")).collect()}
     assert out["c.html"]["content"] == "T\n\none & two" and out["d.md"]["content"] == "Head\n\nbody bold" and out["m.eml"]["content"] == "hi\n\nbody"
-    assert "unavailable" in out["e.pdf"]["metadata"]["error"] or out["e.pdf"]["metadata"]["error"]
+    assert out["e.pdf"]["metadata"]["error"] and out["e.pdf"]["content"] == "" and out["e.pdf"]["metadata"]["elements"] is None
     assert {r["ext"]: r["n"] for r in files.ext_distribution(files.find_supported(spark, root)).collect()} == {"html": 1, "md": 1, "pdf": 1, "txt": 3}
     counts = files.extraction_counts(files.extract_directory(spark, root)).first()
     assert (counts["processed"], counts["errors"]) == (5, 1)
@@ -118,10 +118,14 @@ def test_streaming(spark, tmp_path):
     rows("a", "b").write.parquet(str(src))
     run = lambda: ingest.ingest(ingest.read_stream(spark, str(src), rows("a").schema), s, str(tmp_path / "cp"), HashingEmbedder(8)).awaitTermination()
     run()
-    assert s.status("documents") == {"rows": 2, "ready": 2}
+    ready = lambda: {r["status"]: r["n"] for r in derived_status(s.read("documents"), s.read("embeddings"), "local:fake:d8").groupBy("status").agg(F.count("*").alias("n")).collect()}
+    assert ready() == {"ready": 2} and s.status("documents") == {"rows": 2, "ready": 0}
+    version = s._pointer("documents")
     rows("b", "c").write.mode("append").parquet(str(src))
     run()
-    assert s.status("documents") == {"rows": 3, "ready": 3}
+    assert ready() == {"ready": 3} and s._pointer("documents") == version  # appended, not rewritten
+    assert backfill(s, HashingEmbedder(8), settled=False).selected == 0
+    assert sync_serving(s, "local:fake:d8") == (3, 0) and s.status("documents") == {"rows": 3, "ready": 3}
 
 
 def test_config_and_cli(spark, tmp_path, monkeypatch, capsys):

@@ -43,40 +43,50 @@ def settle(documents: DataFrame, results: DataFrame, now: Column) -> DataFrame:
     return out.select(*documents.columns)
 
 
-def backfill(store: Store, embedder: Embedder, table: str = "documents", limit: int | None = None) -> Outcome:
+def backfill(store: Store, embedder: Embedder, table: str = "documents", limit: int | None = None, settled: bool = True) -> Outcome:
     """Embed what is pending: cached contents are reused, each new content is embedded once, and everything is written as set operations.
 
+    Vectors and cache entries are appended. With ``settled``, the status columns of the documents are brought up to date, which
+    rewrites that table; without, nothing is rewritten, what is pending follows from the vectors that are there (:func:`derived_status`), and
+    :func:`sync_serving` brings them into the table when it suits.
+
     Idempotent: a run that dies before the last step leaves rows pending, and the cache keeps what was embedded.
     """
     for name in ("embeddings", "emb_cache"):
         store.ensure(name)
     documents = store.read(table)
-    todo = pending(documents).select("id", "content", "content_hash")
-    todo = todo.orderBy("id").limit(limit) if limit is not None else todo
-    todo = todo.persist()
-    try:
-        selected = todo.count()
-        if not selected:
-            return Outcome(0, 0, 0)
-        cached = store.cache_get(embedder.embedder_id, todo, embedder.dim)
-        missing = todo.join(cached.select("content_hash"), "content_hash", "left_anti").dropDuplicates(["content_hash"])
-        made = missing.select("content_hash", embed_column(embedder, F.col("content")).alias("e")).select("content_hash", "e.vector", "e.error").persist()
-        try:
-            counts = made.agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count("error").alias("bad")).first()
-            now = F.current_timestamp().cast("timestamp_ntz")
-            by_hash = cached.select("content_hash", "vector", F.lit(None).cast("string").alias("error")).unionByName(made)
-            results = todo.join(by_hash, "content_hash")
-            fresh = made.where("error is null")
-            store.overwrite(f"{table}_run", results.select("id", "content_hash", "vector", "error"))
-            results = store.read(f"{table}_run")
-            store.cache_put(embedder.embedder_id, fresh)
-            store.append("embeddings", results.where("error is null").select("id", F.lit(embedder.embedder_id).alias("embedder_id"), "content_hash", now.alias("embedded_at"), "vector"))
-            store.overwrite(table, settle(documents, results, now))
-            return Outcome(selected, counts["ok"], counts["bad"])
-        finally:
-            made.unpersist()
-    finally:
-        todo.unpersist()
+    if settled:
+        todo = pending(documents)
+    else:
+        done = store.read("embeddings").where(F.col("embedder_id") == embedder.embedder_id)
+        todo = documents.join(done.select("id"), "id", "left_anti")
+    todo = todo.select("id", "content", "content_hash")
+    return embed_rows(store, embedder, todo.orderBy("id").limit(limit) if limit is not None else todo, table, settled)
+
+
+def embed_rows(store: Store, embedder: Embedder, todo: DataFrame, table: str = "documents", settled: bool = False) -> Outcome:
+    """Embed the rows of ``todo`` (id, content, content_hash) through the cache and append their vectors."""
+    for name in ("embeddings", "emb_cache"):
+        store.ensure(name)
+    store.overwrite(f"{table}_todo", todo)
+    todo = store.read(f"{table}_todo")
+    selected = todo.count()
+    if not selected:
+        return Outcome(0, 0, 0)
+    cached = store.cache_get(embedder.embedder_id, todo, embedder.dim)
+    missing = todo.join(cached.select("content_hash"), "content_hash", "left_anti").dropDuplicates(["content_hash"])
+    store.overwrite(f"{table}_made", missing.select("content_hash", embed_column(embedder, F.col("content")).alias("e")).select("content_hash", "e.vector", "e.error"))
+    made = store.read(f"{table}_made")
+    counts = made.agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count("error").alias("bad")).first()
+    now = F.current_timestamp().cast("timestamp_ntz")
+    by_hash = cached.select("content_hash", "vector", F.lit(None).cast("string").alias("error")).unionByName(made)
+    store.overwrite(f"{table}_run", todo.join(by_hash, "content_hash").select("id", "content_hash", "vector", "error"))
+    results = store.read(f"{table}_run")
+    store.cache_put(embedder.embedder_id, made.where("error is null"))
+    store.append("embeddings", results.where("error is null").select("id", F.lit(embedder.embedder_id).alias("embedder_id"), "content_hash", now.alias("embedded_at"), "vector"))
+    if settled:
+        store.overwrite(table, settle(store.read(table), results, now))
+    return Outcome(selected, counts["ok"], counts["bad"])
 
 
 def sync_serving(store: Store, embedder_id: str, table: str = "documents") -> tuple[int, int]:

@@ -209,7 +209,7 @@ def recursive_chunks(spark, sf):
 def ext_distribution(spark, sf):
     path = F.regexp_replace("url", "[?#].*$", "")
     ext = X.extension(path)
-    return read(spark, sf, "pages").select(F.when(ext == "", "-").otherwise(ext).alias("ext")).groupBy("ext").agg(F.count("*").alias("n"))
+    return files.ext_distribution(read(spark, sf, "pages").select(F.when(ext == "", "-").otherwise(ext).alias("ext")))
 
 
 @query("SELECT doc_id, md5(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS clean_md5 FROM documents")
@@ -498,6 +498,9 @@ def ext_order_cube(spark, sf):
     return read(spark, sf, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
+from tidemark.plans import part_queries  # noqa: E402, F401  registers the queries of single functions and tables
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

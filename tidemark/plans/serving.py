@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,17 @@ from tidemark.operators.text_index import TextIndex
 from tidemark.sources import versions
 
 
+def base(spark: SparkSession) -> str:
+    """A folder that all executors share."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_serving").rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder there."""
+    return f"{base(spark)}/run-{uuid.uuid4().hex}"
+
+
 def _home(spark: SparkSession, sf: str, table: str, kind: str) -> str:
     """A folder that all executors share; its name follows the files of the table, so that other files have another index."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -20,8 +32,7 @@ def _home(spark: SparkSession, sf: str, table: str, kind: str) -> str:
     fs = p.getFileSystem(conf)
     files = fs.listStatus(p)
     seen = sorted(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in files)
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_serving"
-    return f"{base.rstrip('/')}/index-{kind}-{hashlib.sha256(chr(10).join(seen).encode()).hexdigest()[:24]}"
+    return f"{base(spark)}/index-{kind}-{hashlib.sha256(chr(10).join(seen).encode()).hexdigest()[:24]}"
 
 
 def text(spark: SparkSession, sf: str) -> TextIndex:

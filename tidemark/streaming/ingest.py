@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.text import content_hash
-from tidemark.operators.backfill import backfill
+from tidemark.operators.backfill import embed_rows
 from tidemark.operators.chunking import chunk
 from tidemark.operators.embedding import Embedder
 from tidemark.sources.store import Store, document_rows
@@ -19,20 +19,19 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path)
 
 
-def new_chunks(store: Store, chunks: DataFrame, table: str = "documents") -> DataFrame:
-    """Chunks whose id isn't in the table: a batch that is replayed adds nothing."""
-    fresh = chunks.dropDuplicates(["id"])
-    return fresh.join(store.read(table).select("id"), "id", "left_anti") if store.exists(table) else fresh
-
-
 def ingest(stream: DataFrame, store: Store, checkpoint: str, embedder: Embedder | None = None, table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> StreamingQuery:
-    """Chunk what arrives, append it as documents, and embed it if there is an embedder. Ends when all that is there is done;
-    a later call with the same checkpoint goes on from there."""
+    """Chunk what arrives, append it as documents, and append the vectors of just that if there is an embedder: no batch rewrites a table. Ends
+    when all that is there is done; a later call with the same checkpoint goes on from there. A batch that is replayed adds nothing,
+    and embeds what the last attempt left without a vector."""
 
     def each(batch: DataFrame, _: int) -> None:
-        store.append(table, document_rows(new_chunks(store, chunk(batch, id_col, text_col), table)))
+        store.overwrite(f"{table}_batch", document_rows(chunk(batch, id_col, text_col).dropDuplicates(["id"])))
+        arrived = store.read(f"{table}_batch")
+        store.append(table, arrived.join(store.read(table).select("id"), "id", "left_anti").select(*arrived.columns) if store.exists(table) else arrived)
         if embedder is not None:
-            backfill(store, embedder, table)
+            store.ensure("embeddings")
+            done = store.read("embeddings").where(F.col("embedder_id") == embedder.embedder_id).select("id")
+            embed_rows(store, embedder, arrived.join(done, "id", "left_anti").select("id", "content", "content_hash"), table)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
