@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.cli import main
 from tidemark.config import Config
-from tidemark.errors import ConfigError, SourceError
-from tidemark.operators.backfill import backfill, sync_serving
-from tidemark.operators.embedding import Embedder, HashingEmbedder
+from tidemark.errors import ConfigError, EmbeddingError, ExtractorUnavailable, SourceError
+from tidemark.functions.tokens import bpe_token_count, counter
+from tidemark.operators.backfill import backfill, derived_status, sync_serving
+from tidemark.operators.embedding import Embedder, HashingEmbedder, ModelEmbedder, SentenceEmbedder
 from tidemark.sources import export, files
 from tidemark.sources.store import Store, merge_vectors, unmatched
 from tidemark.streaming import ingest
@@ -104,6 +105,88 @@ def test_files(spark, tmp_path):
     assert (tmp_path / "out/sub/b.txt").read_text() == "hey"
 
 
+def test_office_formats_and_options(spark, tmp_path):
+    import io
+    import zipfile
+
+    def zipped(**names):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n, text in names.items():
+                z.writestr(n.replace("__", "/").replace("_", "."), text)
+        return out.getvalue()
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    body = "<w:p><w:pPr><w:pStyle w:val='Heading1'/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p><w:p><w:r><w:br w:type='page'/><w:t>Some </w:t><w:t>text</w:t></w:r></w:p>"
+    docx = zipped(word__document_xml=f"<w:document {w}><w:body>{body}</w:body></w:document>")
+    assert files.extract_bytes(docx, "docx") == ("Title\n\nSome text", [("Title", "Title"), ("PageBreak", ""), ("NarrativeText", "Some text")])
+    epub = zipped(a_xhtml="<h1>One</h1><p>first</p>", b_xhtml="<p>second</p>", mimetype="application/epub+zip")
+    assert files.extract_bytes(epub, "epub")[0] == "One\n\nfirst\n\nsecond"
+    rtf = rb"{\rtf1{\fonttbl{\f0 Arial;}}\pard Caf\'e9 au lait\par Second {\b bold}\par}"
+    assert files.extract_bytes(rtf, "rtf")[0] == "Caf\u00e9 au lait\n\nSecond bold"
+    for ext, options in (("pdf", {"backend": "none"}), ("pdf", {"strategy": "hi_res"}), ("msg", {})):
+        with pytest.raises(ExtractorUnavailable):
+            files.extract_bytes(b"x", ext, files.extractors_for(**options))
+    seen = []
+    files.PDF_BACKENDS["own"] = lambda data: seen.append(data) or ["page one", "page two"]
+    try:
+        assert files.extract_bytes(b"%PDF", "pdf", files.extractors_for(backend="own")) == ("page onepage two", [("NarrativeText", "page one"), ("PageBreak", ""), ("NarrativeText", "page two")])
+    finally:
+        del files.PDF_BACKENDS["own"]
+    assert seen == [b"%PDF"]
+
+
+def test_model_embedders(tmp_path, monkeypatch):
+    """With stand-ins for the libraries: what our side of them does."""
+    import sys
+    import types
+
+    import numpy as np
+    import onnxruntime
+    import tokenizers
+
+    class Session:
+        def __init__(self, path):
+            assert path.endswith("model.onnx")
+
+        def run(self, _, feed):
+            assert feed["input_ids"].shape == (2, 4) and feed["attention_mask"].tolist() == [[1, 1, 0, 0], [1, 1, 1, 1]]
+            return [np.stack([feed["input_ids"], 2 * feed["input_ids"]], 2).astype(float)]
+
+    class Words:
+        @staticmethod
+        def from_file(path):
+            return types.SimpleNamespace(encode=lambda t: types.SimpleNamespace(ids=[len(x) for x in t.split()]))
+
+    (tmp_path / "model.onnx").write_bytes(b"")
+    monkeypatch.setattr(onnxruntime, "InferenceSession", Session)
+    monkeypatch.setattr(tokenizers, "Tokenizer", Words)
+    got = ModelEmbedder(str(tmp_path), 2, 4).embed_batch(["a bb", "a b c d e"])
+    assert np.allclose(got, [[1 / 5**0.5, 2 / 5**0.5]] * 2)
+    with pytest.raises(EmbeddingError):
+        ModelEmbedder(str(tmp_path / "none")).embed_batch(["x"])
+    with pytest.raises(EmbeddingError):
+        SentenceEmbedder("any").embed_batch(["x"])
+    monkeypatch.setitem(sys.modules, "sentence_transformers", types.SimpleNamespace(SentenceTransformer=lambda name: types.SimpleNamespace(encode=lambda ts: [[float(len(t))] * 2 for t in ts])))
+    assert [list(v) for v in SentenceEmbedder("any", 2).embed_batch(["abc", "", "x"])] == [[3.0, 3.0], [], [1.0, 1.0]]
+
+
+def test_token_counts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["", None, "some words here", "<|endoftext|>", "漢字 🙂"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    wanted = [len(plain.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"):
+        got = d.select("i", bpe_token_count("t", public_tokenizers.path(name)).alias("n")).orderBy("i").collect()
+        assert [r["n"] for r in got] == wanted
+    with pytest.raises(SourceError):
+        counter("x.txt")
+
+
 def test_exports(spark, tmp_path):
     c = spark.createDataFrame([("f_0", "x", {"file_name": "f"})], "chunk_id string, content string, metadata struct<file_name:string>")
     assert export.text_export(c).first().asDict() == {"id": "f_0", "content": "x", "file_name": "f", "file_path": "", "chunk_index": 0, "total_chunks": 1, "token_count": 0}
@@ -148,5 +231,13 @@ def test_config_and_cli(spark, tmp_path, monkeypatch, capsys):
     assert "<b>water</b>" in capsys.readouterr().out
     main([*base, "search-vector", "water"], spark)
     assert capsys.readouterr().out.split("\t")[2] == "water:0"
+    main([*base, "build-index"], spark)
+    capsys.readouterr()
+    main([*base, "--verbose", "query", "fire wood"], spark)
+    spark.sparkContext.setLogLevel("ERROR")
+    shown = capsys.readouterr()
+    assert shown.out.split("\t")[1] == "fire:0" and "query:" in shown.err
+    main([*base, "search-text", "watr", "--fuzzy"], spark)
+    assert "<b>water</b>" in capsys.readouterr().out
     main([*base, "status"], spark)
     assert "'rows': 2" in capsys.readouterr().out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import _c, has_mojibake, strip
 
 MIN_LENGTH = 50
+#: How a list item begins.
 BULLETS = ("(?mU)^\\s*[•·▪▫]\\s*", "(?mU)^\\s*[-*+]\\s*", "(?mU)^\\s*\\d+[.)]\\s*")
 
 

@@ -41,46 +41,47 @@ def normalize_for_search(x: Column | str, aggressive: Column | None = None, conf
     return X.paragraphs_from_breaks(X.replace_dashes(x))
 
 
+#: Characters that a paragraph has at least, between double blanks and elsewhere; a sentence shorter than this ends one.
+SHORT_PARAGRAPH, PARAGRAPH, ENDING_SENTENCE = 20, 50, 100
+
+
+def _packed(sizes: list[int], limit: int, step: int) -> list[tuple[int, int]]:
+    """Runs of neighbours, as many as go into ``limit`` characters, where each costs its size, and ``step`` more behind the first."""
+    runs, first, held = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and held + n > limit:
+            runs.append((first, i))
+            first, held = i, 0
+        held += n + step
+    return [*runs, (first, len(sizes))] if sizes else runs
+
+
 def split_long_line(line: str, limit: int) -> list[str]:
     """A line in parts of up to ``limit`` characters, cut between sentences or, if there is one only, between words."""
     if len(line) <= limit:
         return [line]
-    sentences = _SENTENCE.split(line)
-    parts, gap = (sentences, " ") if len(sentences) > 1 else (line.split(), " ")
-    by_words = len(sentences) == 1
-    out: list[str] = []
-    held = ""
-    for part in parts:
-        # Between words the blank counts, between sentences it does not.
-        grown = held + gap + part if by_words else held + part
-        if len(grown) <= limit:
-            held = (held + gap + part if held else part) if by_words else held + part + gap
-        else:
-            if held:
-                out.append(held if by_words else held.strip())
-            held = part if by_words else part + gap
-    return [*out, held if by_words else held.strip()] if held else out
+    parts = _SENTENCE.split(line)
+    if len(parts) == 1:
+        parts = line.split()
+    return [part for a, b in _packed([len(p) for p in parts], limit, 1) if (part := " ".join(parts[a:b]).strip())]
 
 
 def rebuild_paragraphs(lines: list[str], words: int = 150) -> str:
     """Paragraphs from lines: at double blanks, else behind short sentences, else every ``words`` words."""
-    whole = " ".join(s for s in (x.strip() for x in lines) if s)
-    found: list[str] = []
+    whole = " ".join(filter(None, map(str.strip, lines)))
     if "  " in whole:
-        found = [p for p in (x.strip() for x in whole.split("  ")) if len(p) > 20]
+        found = [p for p in map(str.strip, whole.split("  ")) if len(p) > SHORT_PARAGRAPH]
     else:
-        held: list[str] = []
-        for sentence in (s.strip() for s in _NEW_SENTENCE.split(whole)):
-            if not sentence:
-                continue
-            held.append(sentence)
-            if len(sentence) < 100 and sentence[-1] in ".!?" and len(held) > 1:
-                found.append(" ".join(held))
-                held = []
-        found = [p for p in [*found, " ".join(held)] if len(p) > 50]
+        sentences = [s for s in map(str.strip, _NEW_SENTENCE.split(whole)) if s]
+        closes = [len(s) < ENDING_SENTENCE and s.endswith((".", "!", "?")) for s in sentences]
+        cuts = [0]
+        for i, ends in enumerate(closes, 1):
+            if ends and i - cuts[-1] > 1:
+                cuts.append(i)
+        found = [p for a, b in zip(cuts, [*cuts[1:], len(sentences)], strict=True) if len(p := " ".join(sentences[a:b])) > PARAGRAPH]
     if len(found) < 2:
-        w = whole.split()
-        found = [p for p in (" ".join(w[i : i + words]) for i in range(0, len(w), words)) if len(p) > 50]
+        every = whole.split()
+        found = [p for i in range(0, len(every), words) if len(p := " ".join(every[i : i + words])) > PARAGRAPH]
     return "\n\n".join(found)
 
 

@@ -82,6 +82,28 @@ class ModelEmbedder(Embedder):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
 
+class SentenceEmbedder(Embedder):
+    """A sentence-transformers model by name or folder. The library and its weights are optional. An empty text has an empty vector."""
+
+    kind = "sentence"
+
+    def __init__(self, name: str, dim: int = 384):
+        self.name, self.dim = name, dim
+
+    def embed_batch(self, texts: list[str]) -> list[np.ndarray]:
+        if not hasattr(self, "_model"):
+            try:
+                from sentence_transformers import SentenceTransformer
+            except ImportError as e:
+                raise EmbeddingError("no library for sentence models") from e
+            self._model = SentenceTransformer(self.name)
+        full = [t for t in texts if t.strip()]
+        found = iter(self._model.encode(full)) if full else iter(())
+        return [np.asarray(next(found), np.float32) if t.strip() else np.zeros(0, np.float32) for t in texts]
+
+    __getstate__ = ModelEmbedder.__getstate__
+
+
 def pad(ids: list[list[int]], max_len: int, pad_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Ids and masks, all of one length."""
     out, mask = np.full((len(ids), max_len), pad_id, np.int64), np.zeros((len(ids), max_len), np.int64)
@@ -127,7 +149,8 @@ def embed_column(embedder: Embedder, text: Column | str, batch: int = 128):
                     rows += [(v, None) for v in embedder.embed_batch(part)]
                 except Exception:  # noqa: BLE001
                     rows += [one(t) for t in part]
-            bad = [(None, f"a vector has length {len(v)}, not {embedder.dim}") if v is not None and len(v) != embedder.dim else (v, e) for v, e in rows]
+            # An empty text may have an empty vector.
+            bad = [(None, f"a vector has length {len(v)}, not {embedder.dim}") if v is not None and len(v) not in (embedder.dim, 0 if not t.strip() else embedder.dim) else (v, e) for (v, e), t in zip(rows, texts, strict=True)]
             yield pd.DataFrame({"vector": [v for v, _ in bad], "error": [e for _, e in bad]})
 
     return run(text)

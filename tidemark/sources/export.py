@@ -50,13 +50,17 @@ def output_path(path: Column, raw_root: str, out_root: str) -> Column:
 
 
 def write_text_tree(docs: DataFrame, path_col: str, text_col: str = "content") -> None:
-    """One file per row at its path. Files go through the folder's own file system, opened on the executors by Arrow."""
+    """One file per row at its path. A path without a scheme belongs to the cluster's default file system; executors open it by Arrow."""
+    sc = docs.sparkSession.sparkContext
+    default = sc._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(sc._jsc.hadoopConfiguration()).toString().rstrip("/")
 
     def write(rows: Iterable[Row]) -> None:
         import pyarrow.fs as fs
 
         for r in rows:
-            system, path = fs.FileSystem.from_uri(r[0]) if "://" in r[0] else (fs.LocalFileSystem(), r[0])
+            uri = r[0] if ":/" in r[0] else default + r[0]
+            local = uri.startswith("file:")
+            system, path = (fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(uri)
             system.create_dir(path.rsplit("/", 1)[0], recursive=True)
             with system.open_output_stream(path) as out:
                 out.write((r[1] or "").encode())

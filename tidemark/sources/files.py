@@ -9,6 +9,7 @@ import os
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import partial
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -192,37 +193,74 @@ def eml_elements(data: bytes) -> list[Element]:
     return found + (html_elements(content) if body.get_content_type() == "text/html" else text_elements(content))
 
 
-def pdf_elements(data: bytes) -> list[Element]:
-    """By the first PDF library that is installed."""
-    try:
-        import pymupdf
+def _pymupdf(data: bytes) -> list[str]:
+    import pymupdf
 
-        pages = [p.get_text() for p in pymupdf.open(stream=data, filetype="pdf")]
-    except ImportError:
-        try:
-            import pdfplumber
+    return [p.get_text() for p in pymupdf.open(stream=data, filetype="pdf")]
+
+
+def _pdfplumber(data: bytes) -> list[str]:
+    import pdfplumber
+
+    return [(p.extract_text() or "") + "\n" for p in pdfplumber.open(io.BytesIO(data)).pages]
+
+
+def _pypdf(data: bytes) -> list[str]:
+    import pypdf
+
+    return [(p.extract_text() or "") + "\n" for p in pypdf.PdfReader(io.BytesIO(data)).pages]
 
-            pages = [(p.extract_text() or "") + "\n" for p in pdfplumber.open(io.BytesIO(data)).pages]
-        except ImportError:
-            try:
-                import pypdf
 
-                pages = [(p.extract_text() or "") + "\n" for p in pypdf.PdfReader(io.BytesIO(data)).pages]
-            except ImportError as e:
-                raise ExtractorUnavailable("extractor unavailable: no PDF library") from e
+#: Pages of text by library, in the order in which they are tried.
+PDF_BACKENDS: dict[str, Callable[[bytes], list[str]]] = {"pymupdf": _pymupdf, "pdfplumber": _pdfplumber, "pypdf2": _pypdf}
+
+
+def _partitioned(data: bytes, ext: str, strategy: str, languages: tuple[str, ...]) -> list[Element]:
+    """By the partitioning library, which knows strategies and languages of its own."""
+    try:
+        from unstructured.partition.auto import partition
+    except ImportError as e:
+        raise ExtractorUnavailable("extractor unavailable: no partitioning library") from e
+    found = partition(file=io.BytesIO(data), metadata_filename=f"x.{ext}", strategy=strategy, languages=list(languages), include_page_breaks=True)
+    return [(type(x).__name__, str(x)) for x in found]
+
+
+def pdf_elements(data: bytes, backend: str | None = None, strategy: str = "auto", languages: tuple[str, ...] = ("eng",)) -> list[Element]:
+    """By the named library, or the first that is installed. Strategies beside ``auto`` and ``fast`` need the partitioning library."""
+    if backend == "unstructured" or strategy not in ("auto", "fast"):
+        return _partitioned(data, "pdf", strategy, languages)
+    if backend is not None and backend not in PDF_BACKENDS:
+        raise ExtractorUnavailable(f"extractor unavailable: no back-end {backend!r}")
+    pages = None
+    for name in [backend] if backend else PDF_BACKENDS:
+        try:
+            pages = PDF_BACKENDS[name](data)
+            break
+        except ImportError:
+            continue
+    if pages is None:
+        raise ExtractorUnavailable("extractor unavailable: no PDF library")
     out: list[Element] = []
     for i, page in enumerate(pages):
         out += [("PageBreak", "")] * bool(i) + [("NarrativeText", page)]
     return out
 
 
-def image_elements(data: bytes) -> list[Element]:
+def image_elements(data: bytes, languages: tuple[str, ...] = ("eng",)) -> list[Element]:
     try:
         import pytesseract
         from PIL import Image
     except ImportError as e:
         raise ExtractorUnavailable("extractor unavailable: no OCR library") from e
-    return [("NarrativeText", pytesseract.image_to_string(Image.open(io.BytesIO(data))))]
+    return [("NarrativeText", pytesseract.image_to_string(Image.open(io.BytesIO(data)), lang="+".join(languages)))]
+
+
+def extractors_for(backend: str | None = None, strategy: str = "auto", languages: tuple[str, ...] = ("eng",)) -> dict[str, Callable[[bytes], list[Element]]]:
+    """Extractors with these options; formats without a reader of our own go to the partitioning library."""
+    return {
+        "pdf": partial(pdf_elements, backend=backend, strategy=strategy, languages=languages), **dict.fromkeys(IMAGE, partial(image_elements, languages=languages)),
+        **{ext: partial(_partitioned, ext=ext, strategy=strategy, languages=languages) for ext in ("doc", "msg")},
+    }
 
 
 def _unavailable(data: bytes) -> list[Element]:
@@ -230,8 +268,8 @@ def _unavailable(data: bytes) -> list[Element]:
 
 
 EXTRACTORS: dict[str, Callable[[bytes], list[Element]]] = {
-    "txt": text_elements, "md": markdown_elements, "html": html_elements, "htm": html_elements, "docx": docx_elements, "doc": _unavailable, "rtf": rtf_elements,
-    "epub": epub_elements, "msg": _unavailable, "eml": eml_elements, "pdf": pdf_elements, **dict.fromkeys(IMAGE, image_elements),
+    "txt": text_elements, "md": markdown_elements, "html": html_elements, "htm": html_elements, "docx": docx_elements, "rtf": rtf_elements,
+    "epub": epub_elements, "eml": eml_elements, **extractors_for(),
 }
 
 
