@@ -98,15 +98,17 @@ def terms(x: Column | str) -> Column:
 
 
 #: A word that a line break split; a word that a blank split, from three letters and a lower-case one on, or else any pair.
-SPLIT_BY_LINE = r"(?U)(\w+)-\s*\n\s*(\w+)"
-SPLIT_BY_BLANK = r"(?U)(\w{3,})-\s+(\p{IsLowercase}\w{2,})|(\w+-\s+\w+)"
+#: A match begins where a word does; saying so spares trying all its letters.
+SPLIT_BY_LINE = r"(?U)(?<!\w)(\w+)-\s*\n\s*(\w+)"
+SPLIT_BY_BLANK = r"(?U)(?<!\w)(?:(\w{3,})-\s+(\p{IsLowercase}\w{2,})|(\w+-\s+\w+))"
 
 
 def fix_hyphenation(x: Column | str) -> Column:
     """Join words that a line break split, then words that a stray blank split."""
-    x = F.regexp_replace(_c(x), SPLIT_BY_LINE, "$1$2")
+    x = _c(x)
+    joined = F.regexp_replace(x, SPLIT_BY_LINE, "$1$2")
     # The second alternative consumes pairs that do not qualify, so that matching goes on behind them.
-    return F.regexp_replace(x, SPLIT_BY_BLANK, "$1$2$3")
+    return F.when(F.contains(x, F.lit("-")), F.regexp_replace(joined, SPLIT_BY_BLANK, "$1$2$3")).otherwise(x)
 
 
 def replace_quotes(x: Column | str) -> Column:

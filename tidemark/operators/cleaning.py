@@ -87,13 +87,15 @@ def rebuild_paragraphs(lines: list[str], words: int = 150) -> str:
 
 def kept_lines(x: Column | str, conf: Cleaning = Cleaning()) -> Column:
     """The lines that are long enough and not mostly punctuation."""
+    both = F.transform(F.split(X._c(x), "\n", -1), lambda l: F.struct(l.alias("line"), X.strip(l).alias("bare")))  # noqa: E741
 
-    def good(line: Column) -> Column:
-        ok = (F.length(X.strip(line)) >= conf.min_line_length) & ~X.mostly_punctuation(line)
-        return ok & (X.strip(line) != "") if conf.remove_empty_lines or conf.remove_whitespace_only else ok
+    def good(x: Column) -> Column:
+        n = F.length(x["bare"])
+        ok = (n >= conf.min_line_length) & ~F.when(n > 0, F.length(F.regexp_replace(x["line"], r"[^\p{IsAlphabetic}\p{N}]", "")) / n < 0.3).otherwise(F.lit(False))
+        return ok & (n > 0) if conf.remove_empty_lines or conf.remove_whitespace_only else ok
 
-    lines = F.filter(F.split(X._c(x), "\n", -1), good)
-    return F.transform(lines, X.collapse_blanks) if conf.normalize_whitespace else lines
+    # A bare line needs no further trimming: only its blanks are joined.
+    return F.transform(F.filter(both, good), lambda x: F.regexp_replace(x["bare"], " +", " ") if conf.normalize_whitespace else x["line"])
 
 
 def clean_text(x: Column | str, file_format: Column | str, conf: Cleaning = Cleaning()) -> Column:

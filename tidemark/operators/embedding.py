@@ -45,12 +45,16 @@ class HashingEmbedder(Embedder):
     def embed_batch(self, texts: list[str]) -> list[np.ndarray]:
         import xxhash
 
+        known: dict[str, int] = {}
         out = []
         for t in texts:
-            v = np.zeros(self.dim, np.float32)
-            for i, word in enumerate(t.split()):
-                h = xxhash.xxh64_intdigest(word.encode() + b"\xff", seed=0)
-                v[h % self.dim] += np.float32(h >> 32) / np.float32(2**32 - 1) + np.float32(i % 3) * np.float32(0.01)
+            words = t.split()
+            for w in words:
+                if w not in known:
+                    known[w] = xxhash.xxh64_intdigest(w.encode() + b"\xff", seed=0)
+            h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+            weight = (h >> np.uint64(32)).astype(np.float64) / (2**32 - 1) + np.arange(len(words)) % 3 * 0.01
+            v = np.bincount((h % np.uint64(self.dim)).astype(np.int64), weight, self.dim).astype(np.float32)
             out.append(v / np.float32(max(float(np.sqrt((v * v).sum())), 1e-6)))
         return out
 
