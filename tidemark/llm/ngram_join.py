@@ -54,7 +54,7 @@ LARGE = 4
 #: Entries of short lists in a bucket, on average: the larger, the fewer times is a pair found.
 BUCKET_ENTRIES = 400_000
 #: Entries of long lists in a bucket, on average, counted as often as they are compared; each comes with its bitmap.
-BLOCK_ENTRIES = 40_000
+BLOCK_ENTRIES = 20_000
 #: One of so many long lists is compared before the others.
 EARLY = 16
 _LEVEL = math.log(100 / (PERCENT - 1))
@@ -501,7 +501,8 @@ def _in_blocks(rows: DataFrame, maps: DataFrame, block: int, spanning: bool, buc
     side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
     met = met.select("sig", i.alias("i"), j.alias("j"), side.alias("side"), "node", "n", "label", "bytes", "map")
     dealt = met.withColumn("bucket", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(_close(spanning), "a long, b long").distinct()
+    # A task a bucket: by their bytes alone, adaptive execution would give many to one task.
+    return dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_close(spanning), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, block: int = BLOCK, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
@@ -539,7 +540,7 @@ def classes(docs: DataFrame, block: int = BLOCK, bucket_tokens: int = BUCKET_TOK
     mixed = materialize(_mixed(signed, labels))
     # A list of several blocks is compared block by block: each entry as often as there are blocks.
     compared = mixed.where(F.col("size") > SHORT).agg(F.sum(F.ceil(F.col("size") / block))).first()[0]
-    blocks_in = max(1, (compared or 0) // BLOCK_ENTRIES)
+    blocks_in = max(1, int(compared or 0) // BLOCK_ENTRIES)
     # A part of the long lists goes first: it joins most of what belongs together, and then few lists are left to compare.
     early = _in_blocks(mixed.where((F.col("size") > SHORT) & (F.pmod(F.xxhash64("sig"), F.lit(EARLY)) == 0)), maps, block, True, blocks_in)
     early = materialize(early.join(tried, ["a", "b"], "left_anti"))
