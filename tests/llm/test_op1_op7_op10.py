@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import Counter
 from itertools import product
@@ -6,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import SF, SPACE, docs, edge_rows
+from tests.llm.helpers import SF, SPACE, ascii_lower, docs, edge_rows
+from tidemark.llm import _words as W
 from tidemark.llm import langid, quality, toxicity
 from tidemark.llm._sample import sample
 
@@ -56,6 +58,43 @@ def test_more_languages_than_families(spark):
     assert {rows[i][0] for i in got if got[i]["lang_pred"] == rows[i][0]} == set(names)
 
 
+def plain_language(model, text):
+    """Shares of n-grams, margins and votes, one by one."""
+    data = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    letter = [97 <= b < 123 or b >= 0x80 for b in data]
+    if not any(c.isalpha() for c in text or ""):
+        return "und"
+    kept = bytes(b if on else 0x20 for i, (b, on) in enumerate(zip(data, letter, strict=True)) if on or i == 0 or letter[i - 1])
+    grams = np.zeros(langid.DIM)
+    for width in (1, 2, 3, 4):
+        for i in range(len(kept) - width + 1):
+            code = 0
+            for b in kept[i : i + width]:
+                code = (code * 257 + b) % 2**32
+            cell = code if width == 1 else (code * 2654435761 % 2**32) >> 20
+            grams[(cell + width * 997) % langid.DIM] += 1
+    margin = grams / grams.sum() @ model.weights + model.bias
+
+    def winner(names, pairs, at):
+        votes = dict.fromkeys(names, 0.0)
+        for k, (a, b) in enumerate(pairs):
+            m = float(np.clip(margin[at + k], -1, 1)) if isinstance(at, int) else float(np.clip(margin[at[k]], -1, 1))
+            votes[a] += m
+            votes[b] -= m
+        return max(names, key=lambda n: (votes[n], -names.index(n)))
+
+    family = winner(sorted(model.families), model.family_pairs, 0)
+    own = [k for k, (a, _) in enumerate(model.pairs) if a in model.families[family]]
+    return winner(model.families[family], [model.pairs[k] for k in own], [len(model.family_pairs) + k for k in own])
+
+
+def test_language_equals_plain_votes(spark, language):
+    d = read(spark, "documents", "/root/testdata/sf0.001").select("doc_id", "text").union(docs(spark, edge_rows()[:5] + edge_rows()[6:]).select("doc_id", "text"))
+    text = {r["doc_id"]: r["text"] for r in d.collect()}
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(d, language).collect()}
+    assert got == {i: plain_language(language, t) for i, t in text.items()} and len(set(got.values())) > 3
+
+
 def test_families():
     assert langid.family_of("de") == langid.family_of("en") == "germanic" and langid.family_of("fr-CA") == "romance" and langid.family_of("xx") == "xx"
 
@@ -147,6 +186,46 @@ def test_toxicity_held_out(spark):
     assert by[1] == by[2] == by[3]
 
 
+def plain_toxicity(model, text):
+    """Every word in turn: features by themselves, forward and backward over all words."""
+    found = re.findall(rb"[0-9a-z\x80-\xff]+", ascii_lower(text or "").encode())
+    known = {int(h): i for i, h in enumerate(model.known)}
+    emit, marked = [], []
+    with np.errstate(over="ignore"):
+        for w in found:
+            data = np.frombuffer(w, np.uint8)
+            value = W._BYTE[data] * W._powers(len(data))[: len(data)]
+            hashes = [W.mix(np.add.reduce(value, keepdims=True))[0]] + [W.mix(np.add.reduce(value[:k], keepdims=True) + np.uint64(k * 7919))[0] for k in toxicity.PREFIXES]
+            own = [known[int(h)] for h in hashes if int(h) in known]
+            emit.append(model.bias + sum(model.weights[i] for i in own))
+            marked.append(bool(own))
+    turn = np.exp(model.moves)
+    a, ahead = np.array([1.0, 0.0]), []
+    for e in emit:
+        a = a @ turn * [1, np.exp(e)]
+        a = a / a.sum()
+        ahead.append(a)
+    b, back = np.ones(2), []
+    for e in reversed(emit):
+        back.append(b)
+        b = turn @ ([1, np.exp(e)] * b)
+        b = b / b.sum()
+    p = np.array([x[1] * y[1] / (x @ y) for x, y, m in zip(ahead, reversed(back), marked, strict=True) if m])
+    parts = toxicity.summarize(p, len(found))
+    return 1 / (1 + np.exp(-(model.score[0] + model.score[1:] @ np.array(parts))))
+
+
+def test_scores_equal_plain_chains(spark):
+    d, labels = read(spark, "documents"), read(spark, "labels")
+    model = toxicity.fit(d, labels)
+    rows = [*edge_rows()[:5], (8, "You idiot, idiot! " + "plain words " * 40 + "moron", None, None), (9, "trash", None, None)]
+    some = read(spark, "documents", "/root/testdata/sf0.001").select("doc_id", "text").union(docs(spark, rows).selectExpr("doc_id + 100000", "text"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(some, model).collect()}
+    for r in some.collect():
+        assert got[r["doc_id"]] == pytest.approx(plain_toxicity(model, r["text"]))
+    assert len({round(v, 6) for v in got.values()}) > 3
+
+
 def test_toxicity_without_labels(spark):
     e = docs(spark, edge_rows())
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -181,6 +260,60 @@ def test_rule_counts(spark):
     assert sum(not r["kept"] for r, q in known if q == 0) >= 0.9 * sum(q == 0 for _, q in known)
 
 
+def plain_ratios(text):
+    data = (text or "").encode()
+    n_words, word_chars, symbols, dup, repeat = counts(text)
+    w = SPACE.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if SPACE.search(x)]
+    letters = sum(chr(b).isascii() and chr(b).isalpha() or b >= 0x80 for b in data)
+    punctuation = sum(0x20 < b < 0x80 and not chr(b).isalnum() for b in data)
+    rough = sum(not all(b >= 0x80 or chr(b).isalpha() or b in b",." for b in x.encode()) for x in w)
+    over = lambda a, b: a / max(b, 1)
+    return [
+        over(symbols, len(text or "")), over(sum(65 <= b <= 90 for b in data), letters), over(punctuation, len(text or "")), over(sum(a == b for a, b in zip(w, w[1:], strict=False)), n_words),
+        over(rough, n_words), over(word_chars, n_words), over(dup, len(lines)), over(repeat, n_words),
+    ]
+
+
+def plain_anomaly(forest, row):
+    total = 0.0
+    for t in range(len(forest.depth)):
+        at = 0
+        while forest.left[t, at] != at:
+            at = forest.left[t, at] + int(row[forest.feature[t, at]] > forest.value[t, at])
+        total += forest.depth[t, at]
+    return 2 ** (-total / len(forest.depth) / forest.norm)
+
+
+def test_verdicts_equal_plain_walks(spark):
+    """Ratios, steps, walks through all trees and the threshold, one document at a time."""
+    d = read(spark, "documents", "/root/testdata/sf0.001").select("doc_id", "text")
+    judge = quality.fit(read(spark, "documents"), read(spark, "labels"))
+    rows = {r["doc_id"]: r for r in quality.score(d, judge).collect()}
+    for r in d.collect():
+        n = counts(r["text"])
+        odd = plain_anomaly(judge.forest, quality.steps(np.array([plain_ratios(r["text"])]), judge.usual)[0])
+        assert rows[r["doc_id"]]["anomaly"] == pytest.approx(odd)
+        assert rows[r["doc_id"]]["kept"] == (not (n[0] < 50 or 100 * n[4] > 50 * n[0]) and odd <= judge.threshold)
+
+
+def test_leaves_hold_path_lengths():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 4, (60, 3)).astype(float)
+    forest = quality.fit_forest(x, trees=5, tree_rows=60)
+    limit = int(np.ceil(np.log2(60)))
+    for t in range(5):
+        at, depth = np.zeros(60, int), np.zeros(60, int)
+        for i in range(60):
+            while forest.left[t, at[i]] != at[i]:
+                at[i] = forest.left[t, at[i]] + int(x[i, forest.feature[t, at[i]]] > forest.value[t, at[i]])
+                depth[i] += 1
+        for leaf in set(at):
+            inside = at == leaf
+            assert forest.depth[t, leaf] == pytest.approx(depth[inside][0] + quality._path(int(inside.sum())))
+            assert depth[inside][0] == limit or len(np.unique(x[inside], axis=0)) == 1  # cut until alike, or as deep as trees go
+
+
 def test_forest_sees_every_rule(spark):
     rng = np.random.default_rng(3)
     words = ["".join(map(chr, rng.integers(97, 123, int(n)))) for n in rng.integers(3, 9, 3000)]

@@ -1,11 +1,16 @@
 import random
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.helpers import OWN, docs, edge_rows, hashed, shingles
+from tidemark.llm import line_dedup, quality
 from tidemark.llm import ngram_join as J
 
 
@@ -124,11 +129,16 @@ def test_pipeline_stages(spark):
         seen.append(stage(spark, seen[-1], sf).cache())
     assert all(x.columns == d.columns for x in seen[1:5])
     rows = [[tuple(r) for r in x.collect()] for x in seen]
-    assert set(rows[1]) <= set(rows[0]) and len(rows[1]) < len(rows[0])
+    judge = quality.fit(d, spark.read.parquet(f"{sf}/labels.parquet"))
+    kept = {r["doc_id"] for r in quality.score(d, judge).where("kept").collect()}
+    assert sorted(rows[1]) == sorted(r for r in rows[0] if r[0] in kept) and len(rows[1]) < len(rows[0])
+    c = duckdb.connect()
+    c.register("documents", seen[1].toPandas())
+    assert sorted((r[0], r[1]) for r in rows[2]) == sorted((r[0], r[1]) for r in c.execute(line_dedup.ORACLE_SQL).fetchall())
     assert sorted(r[0] for r in rows[2]) == sorted(r[0] for r in rows[1])
     classes = {int(i): c for i, _, c in plain_classes([(r[0], r[1]) for r in rows[2]])}
     assert sorted(r[0] for r in rows[3]) == sorted(i for i, c in classes.items() if str(i) == c)
-    assert {r[0] for r in rows[4]} <= {r[0] for r in rows[3]}
+    assert set(rows[4]) <= set(rows[3]) <= set(rows[2])
     copies = defaultdict(int)
     for r in rows[4]:
         copies[r[0]] += 1
@@ -137,6 +147,12 @@ def test_pipeline_stages(spark):
     for r in rows[5]:
         pieces[r[0]] += r[1] == 0
     assert dict(pieces) == dict(copies)
+    encoder, wanted = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Counter()
+    for r in rows[4]:
+        ids = [*encoder.encode(r[1] or "", add_special_tokens=False).ids, 1]
+        for a in range(0, len(ids), 2048):
+            wanted[r[0], a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes()), len(ids)] += 1
+    assert Counter(tuple(r[:5]) for r in rows[5]) == wanted
     assert corpus_pipeline.run(spark, sf).count() == len(rows[5])
 
 
