@@ -99,7 +99,8 @@ def masked_text(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.n
         if a == b:
             out.append("")
             continue
-        own = np.arange(len(mask))[_touching(starts, ends, (a, b))]
+        near = _touching(starts, ends, (a, b))
+        own = np.arange(near.start, near.stop)
         own = own[mask[own]]
         used[own] = True
         reach = np.maximum.accumulate(np.concatenate(([a], ends[own])))
