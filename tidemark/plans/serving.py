@@ -14,6 +14,10 @@ from tidemark.operators.text_index import TextIndex
 from tidemark.sources import versions
 
 
+#: Changes when what is written changes, so that no query reads what an older version of this code kept.
+FORMAT = 2
+
+
 def base(spark: SparkSession) -> str:
     """A folder that all executors share."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -32,7 +36,7 @@ def _home(spark: SparkSession, sf: str, table: str, kind: str) -> str:
     fs = p.getFileSystem(conf)
     files = fs.listStatus(p)
     seen = sorted(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in files)
-    return f"{base(spark)}/index-{kind}-{hashlib.sha256(chr(10).join(seen).encode()).hexdigest()[:24]}"
+    return f"{base(spark)}/index{FORMAT}-{kind}-{hashlib.sha256(chr(10).join(seen).encode()).hexdigest()[:24]}"
 
 
 def text(spark: SparkSession, sf: str) -> TextIndex:
