@@ -36,8 +36,8 @@ from tidemark.llm._store import bounded_batches, discard, materialize
 MAX_TOKENS = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k"
-#: Pieces that one ranking bucket holds on average; equal pieces that one row stands for when places are given out.
-RANK_BUCKET, COPIES = 50_000, 10_000
+#: Different pieces of a length that one ranking bucket holds on average; equal pieces that one row stands for when places are given out.
+RANK_BUCKET, COPIES = 1_000, 10_000
 #: White space in a row from which a text goes to the reference encoder; the fast one bears some hundred thousand.
 BLANKS = re.compile(r"\s{4096}")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -132,16 +132,16 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer: str = TOKENIZ
     """``docs`` (doc_id, text) as pieces with the sequence and the offset each has there."""
     names = PIECES.replace(" long", "").split(", ")
     cut = materialize(pieces(docs, max_tokens, tokenizer, end_id))
-    total = cut.count()
-    buckets = max(1, -(-total // RANK_BUCKET))
-    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int").alias("bucket")
-    same = materialize(cut.groupBy(*names, bucket).agg(F.count("*").alias("n")))
+    same = materialize(cut.groupBy(*names).agg(F.count("*").alias("n")))
     discard(cut)
+    found = same.groupBy("length").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.max("n").alias("most")).collect()  # max_tokens rows at most
+    table = slots(pack_histogram({r["length"]: r["n"] for r in found}, max_tokens))
+    # Each length has as many buckets as its rows need: a frequent one has many.
+    shares = docs.sparkSession.createDataFrame([(r["length"], -(-r["rows"] // RANK_BUCKET)) for r in found], "length long, buckets long")
+    same = same.join(F.broadcast(shares), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("buckets")).cast("int")).drop("buckets")
     counts = same.groupBy("length", "bucket").agg(F.sum("n").alias("in_bucket"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("first"))
-    found = same.groupBy("length").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()  # max_tokens rows at most
-    table = slots(pack_histogram({r["length"]: r["n"] for r in found}, max_tokens))
 
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens").rowsBetween(Window.unboundedPreceding, -1)
     ranked = same.withColumn("upto", F.coalesce(F.sum("n").over(within), F.lit(0))).join(first, ["length", "bucket"]).select(*names, (F.col("first") + F.col("upto")).alias("rank"), "n")
