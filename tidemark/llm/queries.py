@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, licenses, line_dedup, mixing, ngram_join, packing, quality, toxicity, vectors
+from tidemark.llm import bpe, chat, fim, langid, licenses, line_dedup, merkle, mixing, ngram_join, packing, quality, toxicity, vectors
 
 PROBE_CHAT = "\\### Assistant: </turn> ok"
 
@@ -62,10 +62,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_read(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(_read(spark, sf_dir, "documents")))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op8_line_dedup": line_dedup.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op12_fill_in_middle": fim.ORACLE_SQL}
