@@ -203,10 +203,10 @@ def test_streaming(spark, tmp_path):
     run()
     ready = lambda: {r["status"]: r["n"] for r in derived_status(s.read("documents"), s.read("embeddings"), "local:fake:d8").groupBy("status").agg(F.count("*").alias("n")).collect()}
     assert ready() == {"ready": 2} and s.status("documents") == {"rows": 2, "ready": 0}
-    version = s._pointer("documents")
+    parts = s.state("documents").parts
     rows("b", "c").write.mode("append").parquet(str(src))
     run()
-    assert ready() == {"ready": 3} and s._pointer("documents") == version  # appended, not rewritten
+    assert ready() == {"ready": 3} and s.state("documents").parts[: len(parts)] == parts  # appended, not rewritten
     assert backfill(s, HashingEmbedder(8), settled=False).selected == 0
     assert sync_serving(s, "local:fake:d8") == (3, 0) and s.status("documents") == {"rows": 3, "ready": 3}
 

@@ -27,3 +27,7 @@ class EmbeddingError(EngineError):
 
 class QueryError(EngineError):
     """A query string doesn't follow the grammar."""
+
+
+class ConflictError(EngineError):
+    """Another writer has changed what this one has read."""

@@ -85,16 +85,15 @@ def embed_rows(store: Store, embedder: Embedder, todo: DataFrame, table: str = "
     store.cache_put(embedder.embedder_id, made.where("error is null"))
     store.append("embeddings", results.where("error is null").select("id", F.lit(embedder.embedder_id).alias("embedder_id"), "content_hash", now.alias("embedded_at"), "vector"))
     if settled:
-        store.overwrite(table, settle(store.read(table), results, now))
+        store.update(table, lambda documents: settle(documents, results, now))
     return Outcome(selected, counts["ok"], counts["bad"])
 
 
 def sync_serving(store: Store, embedder_id: str, table: str = "documents") -> tuple[int, int]:
     """Bring the newest vectors of an embedder into the serving table: rows with a vector, vectors without a row."""
     vectors = store.read("embeddings").where(F.col("embedder_id") == embedder_id)
-    documents = store.read(table)
-    left = unmatched(documents, vectors).count()
-    store.overwrite(table, merge_vectors(documents, vectors))
+    left = unmatched(store.read(table), vectors).count()
+    store.update(table, lambda documents: merge_vectors(documents, vectors))
     return store.status(table)["ready"], left
 
 

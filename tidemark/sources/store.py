@@ -1,13 +1,15 @@
 """A store of versioned Parquet tables.
 
-Parquet has no updates: a rewrite goes to a new version folder, and a marker, created last, makes it current. Appends
-add files to the current version. A reader keeps the version it opened; a writer that dies before the marker leaves no trace.
-Old versions go when a few newer ones are there.
+Parquet has no updates: rows are written to new folders, and a state of the table (:mod:`tidemark.sources.versions`) that lists them makes them
+visible, all at once. Appends add folders, whoever else writes. A rewrite takes the place of the folders that it has read, and keeps what was appended
+meanwhile; if another rewrite came first, it conflicts. A table that is upserted is kept in buckets by a hash of its keys, and an upsert rewrites
+those that it touches.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,11 +63,11 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self, name: str) -> str | None:
-        return versions.current(self.spark, f"{self.path}/{name}")
+    def state(self, name: str) -> versions.State | None:
+        return versions.load(self.spark, f"{self.path}/{name}")
 
     def exists(self, name: str) -> bool:
-        return self._pointer(name) is not None
+        return self.state(name) is not None
 
     def ensure(self, name: str, schema: T.StructType | None = None) -> None:
         """Create a table without rows if there is none."""
@@ -75,25 +77,87 @@ class Store:
     def schema(self, name: str) -> T.StructType:
         return self.SCHEMAS.get(name, schemas.DOCUMENTS)
 
-    def read(self, name: str) -> DataFrame:
-        version = self._pointer(name)
-        if version is None:
+    def read(self, name: str, state: versions.State | None = None) -> DataFrame:
+        state = state or self.state(name)
+        if state is None:
             raise SourceError(f"no table {name} in {self.path}")
-        reader = self.spark.read.schema(self.SCHEMAS[name]) if name in self.SCHEMAS else self.spark.read
-        return reader.parquet(f"{self.path}/{name}/{version}")
+        return self._rows(name, state.parts)
 
-    def overwrite(self, name: str, df: DataFrame) -> str:
-        """A new version with the rows of ``df``, which may read the current one."""
-        version = versions.new_name()
-        df.write.partitionBy(*self.PARTITIONED.get(name, [])).parquet(f"{self.path}/{name}/{version}")
-        versions.commit(self.spark, f"{self.path}/{name}", version)
-        return version
+    def _rows(self, name: str, parts: list[versions.Part]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], self.schema(name))
+        reader = self.spark.read.schema(self.SCHEMAS[name]) if name in self.SCHEMAS else self.spark.read
+        paths = [f"{self.path}/{name}/{p['path']}" for p in parts]
+        if name in self.PARTITIONED:
+            return reader.option("basePath", f"{self.path}/{name}").parquet(*paths).select(*(f.name for f in self.SCHEMAS[name]))
+        return reader.parquet(*paths)
+
+    def _write(self, name: str, df: DataFrame, props: dict) -> list[versions.Part]:
+        """Write rows to a folder of their own, that nothing lists yet."""
+        # Folders of partitions are partitions of the table themselves.
+        version = f"part={versions.new_name()}" if name in self.PARTITIONED else versions.new_name()
+        home = f"{self.path}/{name}/{version}"
+        if "buckets" not in props:
+            df.write.partitionBy(*self.PARTITIONED.get(name, [])).parquet(home)
+            return [{"path": version}]
+        df.withColumn("_bucket", self._bucket(props)).repartition("_bucket").write.partitionBy("_bucket").parquet(home)
+        fs, p = versions._fs(self.spark, home)
+        found = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+        return [{"path": f"{version}/{b}", "bucket": int(b.partition("=")[2])} for b in sorted(found) if b.startswith("_bucket=")]
+
+    @staticmethod
+    def _bucket(props: dict) -> Column:
+        return F.pmod(F.xxhash64(*props["keys"]), F.lit(props["buckets"])).cast("int")
+
+    def overwrite(self, name: str, df: DataFrame, base: versions.State | None = None) -> versions.State:
+        """The rows of ``df``, which may read the table, take the place of those of ``base``, the state that it was read in (else the current one)."""
+        base = base or self.state(name)
+        return versions.change(self.spark, f"{self.path}/{name}", self._write(name, df, base.props if base else {}), base.parts if base else (), base=base)
+
+    def update(self, name: str, rows: Callable[[DataFrame], DataFrame]) -> versions.State:
+        """Rewrite the table as ``rows`` of it, and once more if another writer has rewritten it meanwhile."""
+
+        def attempt() -> versions.State:
+            base = self.state(name)
+            return self.overwrite(name, rows(self.read(name, base)), base)
+
+        return versions.retried(attempt)
 
     def append(self, name: str, df: DataFrame) -> None:
-        if not self.exists(name):
-            self.overwrite(name, df)
-        else:
-            df.write.mode("append").partitionBy(*self.PARTITIONED.get(name, [])).parquet(f"{self.path}/{name}/{self._pointer(name)}")
+        state = self.state(name)
+        versions.change(self.spark, f"{self.path}/{name}", self._write(name, df, state.props if state else {}))
+
+    def compact(self, name: str, most: int = 64) -> None:
+        """Rewrite a table that consists of more than ``most`` folders (in buckets: a bucket that does)."""
+        state = self.state(name)
+        if state and len(state.parts) > most * state.props.get("buckets", 1):
+            self.update(name, lambda rows: rows)
+
+    def upsert(self, name: str, new: DataFrame, keys: list[str], order: str, buckets: int = 64) -> versions.State:
+        """Of the rows with equal ``keys``, in the table and in ``new``, the one with the highest ``order`` stays.
+
+        Rows are kept in ``buckets`` by a hash of their keys (the number is fixed when the table is first upserted), and the buckets that have keys of ``new`` are
+        rewritten. Writers of different buckets don't conflict; of two that touch one bucket, the later one starts over.
+        """
+        folder, staged = f"{self.path}/{name}", f"{self.path}/{name}/{versions.new_name()}"
+        new.write.parquet(staged)  # read twice, and again after a conflict
+        rows = self.spark.read.schema(new.schema).parquet(staged)
+
+        def attempt() -> versions.State:
+            base = self.state(name)
+            props = (base.props if base else {}) or {"buckets": buckets, "keys": keys}
+            touched = {r["b"] for r in rows.select(self._bucket(props).alias("b")).distinct().collect()}  # a number for each bucket
+            # Rows that were written before the table had buckets may be anywhere.
+            hit = lambda p: p.get("bucket") is None or p["bucket"] in touched
+            replaced = [p for p in (base.parts if base else []) if hit(p)]
+            merged = upsert(self._rows(name, replaced), rows, keys, order) if replaced else latest(rows, keys, order)
+            return versions.change(self.spark, folder, self._write(name, merged, props), replaced, props, base, hit)
+
+        try:
+            return versions.retried(attempt)
+        finally:
+            fs, p = versions._fs(self.spark, staged)
+            fs.delete(p, True)
 
     def write_documents(self, name: str, chunks: DataFrame, dim: int | None = None) -> None:
         """Append chunks as documents; a vector of another length than ``dim`` fails."""
@@ -121,7 +185,7 @@ class Store:
     # Meta
     def set_meta(self, key: str, value: str) -> None:
         new = self.spark.createDataFrame([(key, value, dt.datetime.now(dt.UTC).replace(tzinfo=None))], schemas.META)
-        self.overwrite("meta", upsert(self.read("meta"), new, ["key"], "updated_at") if self.exists("meta") else new)
+        self.upsert("meta", new, ["key"], "updated_at", buckets=1)
 
     def get_meta(self, key: str) -> str | None:
         if not self.exists("meta"):
