@@ -51,9 +51,9 @@ class HybridEngine:
     def index(self, chunks: DataFrame) -> None:
         from tidemark.operators.embedding import with_vectors
 
-        self.store.write_documents(self.table, with_vectors(chunks, self.embedder))
-        # Words are indexed from the written table: chunks are extracted once.
-        self.text.write(self.store.read(self.table))
+        # Words are indexed from the written rows: chunks are extracted once.
+        self.text.append(self.store.write_documents(self.table, with_vectors(chunks, self.embedder)))
+        self.text.merge()
 
     def _home(self) -> str:
         return f"{self.store.path}/{self.table}_ivf"

@@ -1,16 +1,22 @@
-"""An inverted index as Parquet tables.
+"""An inverted index as Parquet tables, in segments.
 
-``postings`` is range-partitioned and sorted by term, so that a query's terms prune files and row groups. It carries each document's
-length and each term's number of documents, and the two numbers of the corpus are read once: scoring is one scan and one
-aggregate, without a join. ``terms`` is the dictionary. ``stored`` has the fields that results show, sorted by id. All tables of an index belong to
-one version, which a marker makes current when it is complete.
+A segment is written once. Its ``postings`` are range-partitioned and sorted by term, so that a query's terms prune files and row groups, and of a term by
+what a posting can weigh at most (:func:`level`), so that the best come first; ``blocks`` has the bounds of each such level. ``terms`` is its dictionary, ``stored``
+has the fields that results show, sorted by id.
+
+New documents are a new segment, and what they replace in older ones is listed as deleted, with the terms that it takes away. A state of
+the folder (:mod:`tidemark.sources.versions`) lists segments and deletions with their numbers of documents, so the numbers of the corpus cost no job. Searches read
+all segments with the documents that a term has in all of them; rows and scores are those of an index that was built at once. Segments of about one size are merged when
+there are ``FAN`` of them: each document is rewritten about once for every power of ``FAN`` that the index grows by, and nothing is cut into tokens again.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -56,63 +62,205 @@ def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return dl.agg(F.count("dl").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+#: Segments of a size that are merged into one; steps of the weight by which a term's postings are sorted.
+FAN, LEVELS = 4, 16
+K1, B = 1.2, 0.75
+
+
+def term_weight(tf: Column, dl: Column, avgdl: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def level(tf: Column, dl: Column, avgdl: float) -> Column:
+    """0 for the heaviest postings, then one more for each step that they weigh less."""
+    return F.floor((K1 + 1 - term_weight(tf, dl, F.lit(avgdl))) * LEVELS).cast("int")
+
+
+def bound(weight: Column, of: Column, avgdl: float) -> Column:
+    """What a posting that weighs ``weight`` at most at the average length ``of`` weighs at most at another: with a longer one its own length counts less, by
+    the ratio of both at most."""
+    return F.least(weight * F.greatest(F.lit(avgdl) / of, F.lit(1.0)), F.lit(K1 + 1))
+
+
 class TextIndex:
-    """The tables of an index below ``path``."""
+    """The segments of an index below ``path``."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    # Writing
+
     def write(self, docs: DataFrame, id_col: str = "id", text_col: str = "content", partitions: int | None = None) -> None:
         """Build from ``docs``; an index that is there stays current until this one is complete."""
-        version = versions.new_name()
-        home = f"{self.path}/{version}"
-        # Texts are cut once: what range partitioning samples, and what is counted, is the written table.
-        exploded_postings(docs, id_col, text_col).write.parquet(f"{home}/_raw")
-        raw = self.spark.read.parquet(f"{home}/_raw")
-        raw.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{home}/terms")
-        by_term = raw.join(self.spark.read.parquet(f"{home}/terms"), "term").select("term", "id", "tf", "dl", "df", "positions")
-        by_term = by_term.repartitionByRange(partitions, "term") if partitions else by_term.repartitionByRange("term")
-        by_term.sortWithinPartitions("term", "id").write.option("parquet.block.size", 16 << 20).parquet(f"{home}/postings")
-        stored = docs.select(F.col(id_col).cast("string").alias("id"), *(c for c in ("doc_id", "doc_path", "category", "category_text") if c in docs.columns), F.col(text_col).alias("content"))
+        base = versions.load(self.spark, self.path)
+        versions.change(self.spark, self.path, [self._segment(docs, id_col, text_col, partitions)], base.parts if base else ())
+
+    def append(self, docs: DataFrame, id_col: str = "id", text_col: str = "content", replaces: bool = True) -> None:
+        """Add documents, or with ``replaces`` those that take the place of documents with their ids. Without, ids are known to be new."""
+        segment = self._segment(docs, id_col, text_col)
+
+        def attempt() -> None:
+            base = versions.load(self.spark, self.path)
+            gone = self._deletions(base, self._table([segment], "stored").select("id")) if base and replaces else []
+            # A segment that another writer adds meanwhile may hold the same ids.
+            versions.change(self.spark, self.path, [*gone, segment], (), None, base, (lambda p: True) if replaces else None)
+
+        versions.retried(attempt)
+
+    def delete(self, ids: DataFrame) -> None:
+        """Delete the documents of these ids (id)."""
+
+        def attempt() -> None:
+            base = versions.load(self.spark, self.path)
+            if base and (gone := self._deletions(base, ids.select(F.col("id").cast("string").alias("id")).distinct())):
+                versions.change(self.spark, self.path, gone, (), None, base, lambda p: True)
+
+        versions.retried(attempt)
+
+    def merge(self, fan: int = FAN, whole: bool = False) -> bool:
+        """Merge ``fan`` segments of about one size, the smallest first, or all of them; whether there were any."""
+        return versions.retried(lambda: self._merge(fan, whole))
+
+    def _merge(self, fan: int, whole: bool) -> bool:
+        state = self._state()
+        segments = [p for p in state.parts if p["kind"] == "segment"]
+        tiers: dict[int, list] = {}
+        for p in segments:
+            tiers.setdefault(int(math.log(max(p["n"], 1), fan)), []).append(p)
+        due = segments if whole else next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= fan), [])
+        names = {p["path"] for p in due}
+        taken = due + [p for p in state.parts if p["kind"] == "deletion" and p["of"] in names]
+        if len(taken) < 2:
+            return False
+        live = [p for p in state.parts if p in taken]
+        merged = self._finish(versions.new_name(), self._live(live, "stored"), self._live(live, "postings").drop("level"))
+        # Documents of these segments that are deleted meanwhile are a conflict.
+        versions.change(self.spark, self.path, [merged], taken, None, state, lambda p: p.get("of") in names)
+        return True
+
+    def _segment(self, docs: DataFrame, id_col: str, text_col: str, partitions: int | None = None) -> versions.Part:
+        name = versions.new_name()
+        # Texts are cut once: what range partitioning samples is the written table.
+        raw = f"{self.path}/{name}/_raw"
+        exploded_postings(docs, id_col, text_col).write.parquet(raw)
+        length = F.size(X.terms(text_col)).alias("dl")
+        stored = docs.select(F.col(id_col).cast("string").alias("id"), *(c for c in ("doc_id", "doc_path", "category", "category_text") if c in docs.columns and c != id_col), F.col(text_col).alias("content"), length)
+        part = self._finish(name, stored, self.spark.read.parquet(raw), partitions)
+        self._remove(raw)
+        return part
+
+    def _finish(self, name: str, stored: DataFrame, raw: DataFrame, partitions: int | None = None) -> versions.Part:
+        """Write the tables of a segment."""
+        home = f"{self.path}/{name}"
         stored.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{home}/stored")
-        corpus_stats(docs, text_col).write.parquet(f"{home}/stats")
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{home}/_raw")
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        versions.commit(self.spark, self.path, version)
-        self._numbers = None
-
-    def _open(self, name: str, needed: set[str]) -> DataFrame:
-        version = versions.current(self.spark, self.path)
-        if version is None:
+        # Documents without a text are stored, but not counted.
+        r = self.spark.read.parquet(f"{home}/stored").agg(F.count("dl").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
+        avgdl = max(r["total"] / max(r["n"], 1), 1e-9)
+        leveled = raw.select("term", level(F.col("tf"), F.col("dl"), avgdl).alias("level"), "id", "tf", "dl", "positions")
+        # By id as well: a frequent term fills many files.
+        order = ["term", "level", "id"]
+        ranged = leveled.repartitionByRange(partitions, *order) if partitions else leveled.repartitionByRange(*order)
+        ranged.sortWithinPartitions(*order).write.option("parquet.block.size", 16 << 20).parquet(f"{home}/postings")
+        written = self.spark.read.parquet(f"{home}/postings")
+        heaviest = F.max(term_weight(F.col("tf"), F.col("dl"), F.lit(avgdl))).alias("weight")
+        blocks = written.groupBy("term", "level").agg(F.count("*").alias("n"), heaviest, F.lit(avgdl).alias("avgdl"))
+        blocks.repartitionByRange("term").sortWithinPartitions("term", "level").write.parquet(f"{home}/blocks")
+        dictionary = self.spark.read.parquet(f"{home}/blocks").groupBy("term").agg(F.sum("n").alias("df"))
+        dictionary.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{home}/terms")
+        return {"kind": "segment", "path": name, "n": r["n"], "total": r["total"]}
+
+    def _deletions(self, state: versions.State, ids: DataFrame) -> list[versions.Part]:
+        """Deletions of the live documents with these ids: a part for each segment that has any, with the ids and the terms that go."""
+        name = versions.new_name()
+        home = f"{self.path}/{name}"
+        live = self._live(state.parts, "stored", of=True).join(ids, "id", "left_semi")
+        live.select("of", "id", "content", "dl").write.partitionBy("of").parquet(f"{home}/rows")
+        try:
+            rows = self.spark.read.parquet(f"{home}/rows")
+        except AnalysisException:  # there are none
+            self._remove(home)
+            return []
+        found = rows.groupBy("of").agg(F.count("dl").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).collect()  # a row for each segment
+        lost = exploded_postings(rows.select(F.concat_ws("/", "of", "id").alias("id"), "content"), "id", "content")
+        lost.groupBy(F.element_at(F.split("id", "/"), 1).alias("of"), "term").agg((-F.count("*")).alias("df")).write.partitionBy("of").parquet(f"{home}/terms")
+        return [{"kind": "deletion", "path": f"{name}", "of": r["of"], "n": r["n"], "total": r["total"]} for r in found]
+
+    def _remove(self, path: str) -> None:
+        fs, p = versions._fs(self.spark, path)
+        fs.delete(p, True)
+
+    # Reading
+
+    def _state(self) -> versions.State:
+        state = versions.load(self.spark, self.path)
+        if state is None:
             raise IndexError_(f"no index at {self.path}")
+        return state
+
+    def _table(self, parts: list[versions.Part], name: str) -> DataFrame:
         try:
-            df = self.spark.read.parquet(f"{self.path}/{version}/{name}")
+            return self.spark.read.parquet(*(f"{self.path}/{p['path']}/{name}" for p in parts))
         except AnalysisException as e:
             raise IndexError_(f"no index at {self.path}") from e
+
+    def _live(self, parts: list[versions.Part], name: str, of: bool = False) -> DataFrame:
+        """The rows of all segments of ``parts`` that none of its deletions lists; with ``of``, and the segment's name."""
+        segments = [p for p in parts if p["kind"] == "segment"]
+        gone: dict[str, list] = {}
+        for p in parts:
+            if p["kind"] == "deletion":
+                gone.setdefault(p["of"], []).append(f"{self.path}/{p['path']}/rows/of={p['of']}")
+        whole = [p for p in segments if p["path"] not in gone]
+        tables = [self._table([p], name).withColumn("of", F.lit(p["path"])) for p in whole] if of else [self._table(whole, name)] if whole else []
+        for p in segments:
+            if p["path"] in gone:
+                rows = self._table([p], name).join(self.spark.read.parquet(*gone[p["path"]]).select("id"), "id", "left_anti")
+                tables.append(rows.withColumn("of", F.lit(p["path"])) if of else rows)
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+    def _checked(self, df: DataFrame, needed: set[str], name: str) -> DataFrame:
         if missing := needed - set(df.columns):
             raise IndexError_(f"{name} lacks {', '.join(sorted(missing))}")
         return df
 
     @property
     def numbers(self) -> Stats:
-        """The statistics of the corpus, read once."""
-        if getattr(self, "_numbers", None) is None:
-            r = self.stats.first()
-            self._numbers = Stats(r["n"], r["avgdl"] or 0.0)
-        return self._numbers
+        """Documents and their average length, from what the state knows of its parts."""
+        n = total = 0
+        for p in self._state().parts:
+            sign = 1 if p["kind"] == "segment" else -1
+            n, total = n + sign * p["n"], total + sign * p["total"]
+        return Stats(n, total / n if n else 0.0)
 
     @property
     def terms(self) -> DataFrame:
-        return self._open("terms", {"term", "df"})
+        """term, df: the documents that have it, in all segments."""
+        parts = self._state().parts
+        segments, gone = [p for p in parts if p["kind"] == "segment"], [p for p in parts if p["kind"] == "deletion"]
+        found = self._checked(self._table(segments, "terms"), {"term", "df"}, "terms")
+        if len(parts) == 1:
+            return found
+        for p in gone:
+            if not p["total"]:
+                continue  # documents without terms
+            found = found.unionByName(self.spark.read.schema("term string, df long").parquet(f"{self.path}/{p['path']}/terms/of={p['of']}"))
+        return found.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+
+    @property
+    def entries(self) -> DataFrame:
+        """Postings without their terms' numbers of documents."""
+        return self._checked(self._live(self._state().parts, "postings"), {f.name for f in schemas.POSTINGS}, "postings")
 
     @property
     def postings(self) -> DataFrame:
-        return self._open("postings", {f.name for f in schemas.POSTINGS})
+        """Postings with ``df``. A filter on terms reaches the scans of both."""
+        return self.entries.join(self.terms, "term")
 
     @property
-    def stored(self) -> DataFrame:
-        return self._open("stored", {"id", "content"})
+    def blocks(self) -> DataFrame:
+        """What stands in the segments' levels, deleted or not: term, level, n, the highest weight, and the average length that it is for."""
+        return self._table([p for p in self._state().parts if p["kind"] == "segment"], "blocks")
 
     @property
-    def stats(self) -> DataFrame:
-        return self._open("stats", {"n", "avgdl"})
+    def stored(self) -> DataFrame:
+        return self._checked(self._live(self._state().parts, "stored"), {"id", "content"}, "stored")

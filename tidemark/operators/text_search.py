@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,10 +16,10 @@ from pyspark.sql import functions as F
 from tidemark.errors import QueryError
 from tidemark.functions import text as X
 from tidemark.functions.text import STOP_WORDS
-from tidemark.operators.text_index import Stats
+from tidemark.operators.text_index import Stats, term_weight
+from tidemark.operators.text_index import bound as level_bound
 from tidemark.plans.query_parser import Bool, Node, Phrase, Range, Term, parse
 
-K1, B = 1.2, 0.75
 _ASCII = re.compile(r"[a-z0-9]+")
 
 
@@ -30,6 +32,13 @@ def _cut(text: str) -> tuple[str, ...]:
     return tuple(SparkSession.active().sql("SELECT 1").select(X.tokens(F.lit(text))).first()[0])
 
 
+def _as_written(text: str) -> list[str]:
+    """The tokens of a text in order, in its own letters."""
+    if text.isascii():
+        return re.findall("[A-Za-z0-9]+", text)
+    return list(SparkSession.active().sql("SELECT 1").select(F.regexp_extract_all(F.lit(text), F.lit(X.TOKEN), F.lit(0))).first()[0])
+
+
 def query_tokens(query: str) -> list[tuple[int, str]]:
     """Positions and terms of a query; stop words leave gaps."""
     return [(i, t) for i, t in enumerate(_cut(query)) if t not in STOP_WORDS]
@@ -43,10 +52,6 @@ def idf(df: Column, n: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def term_weight(tf: Column, dl: Column, avgdl: Column) -> Column:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
-
-
 def _with_stats(postings: DataFrame, stats: DataFrame | Stats) -> DataFrame:
     if isinstance(stats, Stats):
         return postings.withColumns({"n": F.lit(stats.n), "avgdl": F.lit(stats.avgdl)})
@@ -186,6 +191,53 @@ def search(index, query: str, k: int = 10, highlight: bool = True, fuzzy: int =
     return shown.select("score", "id", opt("category").alias("category"), opt("doc_path").alias("path"), "snippet").orderBy(F.desc("score"), "id")
 
 
+class Pruned(NamedTuple):
+    """The postings that can decide a top-k, how many there are, and how many a query's terms have in all."""
+
+    postings: DataFrame
+    read: int
+    total: int
+
+
+def prune(index, query: str, k: int, digits: int = 6) -> Pruned:
+    """The postings of ``query`` without the levels that cannot reach its ``k``-th OR score.
+
+    The heaviest levels of each term are scored first: the k-th of these sums is a score that k documents reach. A document with a posting of a level
+    scores that level's bound and the other terms' highest bounds at most. If that is less, no document of the top k has a posting there, so leaving it out
+    changes none of their scores, and raises no other. ``digits``: scores that are equal when rounded so count as equal.
+    """
+    terms, (n, avgdl) = query_terms(query), index.numbers
+    df = {r["term"]: r["df"] for r in index.terms.where(F.col("term").isin(terms)).collect()}
+    # A row for each level of each term: levels are a few dozen.
+    rows = index.blocks.where(F.col("term").isin(terms)).groupBy("term", "level").agg(F.sum("n").alias("n"), F.max(level_bound(F.col("weight"), F.col("avgdl"), avgdl)).alias("most")).collect()
+    bound = {(r["term"], r["level"]): r["most"] * math.log(1 + (n - df[r["term"]] + 0.5) / (df[r["term"]] + 0.5)) for r in rows if r["term"] in df}
+    size = {(r["term"], r["level"]): r["n"] for r in rows if r["term"] in df}
+    highest = {t: max((b for (u, _), b in bound.items() if u == t), default=0.0) for t in df}
+    entries = index.postings.drop("positions")
+
+    def of(levels: list[tuple[str, int]]) -> DataFrame:
+        by: dict[str, list[int]] = {}
+        for t, level in levels:
+            by.setdefault(t, []).append(level)
+        some = reduce(lambda a, b: a | b, (((F.col("term") == t) & F.col("level").isin(found)) for t, found in sorted(by.items())), F.lit(False))
+        return entries.where(F.col("term").isin(sorted(by)) & some)
+
+    first, held = [], dict.fromkeys(df, 0)
+    for t, level in sorted(bound):
+        if held[t] < 4 * k:
+            first.append((t, level))
+            held[t] += size[t, level]
+    sums = or_scores(of(first), index.numbers, query).orderBy(F.desc("score")).limit(k).collect()
+    least = sums[-1]["score"] - 10.0**-digits if len(sums) == k else -math.inf
+    kept = [key for key, b in bound.items() if b + sum(h for t, h in highest.items() if t != key[0]) >= least]
+    return Pruned(of(kept), sum(size[key] for key in kept), sum(size.values()))
+
+
+def top_or(index, query: str, k: int = 10, digits: int | None = None) -> DataFrame:
+    """The best ``k`` by OR, from the postings that can decide them."""
+    return top(or_scores(prune(index, query, k, 6 if digits is None else digits).postings, index.numbers, query).select("id", "score"), k, digits)
+
+
 def search_hits(index, query: str, k: int = 10, fuzzy: int = 0) -> DataFrame:
     """id, score, source: the plain OR search."""
     query = correct(index.terms, query, fuzzy) if fuzzy else query
@@ -248,13 +300,19 @@ def fuzzy_terms(postings: DataFrame, term: str, max_distance: int = 2) -> DataFr
 
 def correct(terms: DataFrame, query: str, max_distance: int) -> str:
     """The query with each word that the dictionary (term, df) lacks as its nearest term, of equally near ones the most frequent. A word
-    of n characters may differ in a third of them at most."""
+    of n characters may differ in a third of them at most. Words are those that documents are cut into."""
     words = query_terms(query)
     known = {r["term"] for r in terms.where(F.col("term").isin(words)).collect()}
+    instead = {}
     for w in words:
         reach = min(max_distance, len(w) // 3)
         if w not in known and reach:
             near = fuzzy_terms(terms, w, reach).join(terms, "term").orderBy("distance", F.desc("df"), "term").first()
             if near is not None:
-                query = re.sub(rf"(?i)(?<![^\W_]){re.escape(w)}(?![^\W_])", near["term"], query)
-    return query
+                instead[w] = near["term"]
+    out, at = [], 0
+    for token in _as_written(query) if instead else ():
+        start = query.index(token, at)  # nothing but its parters stands before it
+        out += [query[at:start], instead.get(token.lower(), token)]
+        at = start + len(token)
+    return "".join(out) + query[at:]

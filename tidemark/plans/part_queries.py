@@ -11,8 +11,9 @@ from tidemark.functions import validators as Q
 from tidemark.functions import vectors as V
 from tidemark.operators import backfill, cleaning, text_search
 from tidemark.operators.embedding import HashingEmbedder
+from tidemark.operators.text_index import TextIndex
 from tidemark.plans import serving
-from tidemark.plans.queries import _PARAGRAPHS, PHRASE, POSTINGS, _boosted_sql, docs, query, read
+from tidemark.plans.queries import _PARAGRAPHS, PHRASE, POSTINGS, QUERY, _boosted_sql, _or_sql, docs, query, read
 from tidemark.sources import export, files
 from tidemark.sources.store import Store, document_rows, unmatched
 from tidemark.streaming import ingest
@@ -342,10 +343,55 @@ def search_stored_fields(spark, sf):
     return text_search.fetch(index.stored, hits).select("score", "id", "category")
 
 
+def _segmented(spark, sf) -> TextIndex:
+    """An index that grew in steps: English documents backwards, the others, documents that are deleted again, and the English ones as they are."""
+    index = TextIndex(spark, f"{serving.scratch(spark)}/segments")
+    d = docs(spark, sf).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), F.coalesce("lang", F.lit("-")).alias("l"))
+    english = d.where("l = 'en'")
+    index.append(english.withColumn("content", F.reverse("content")).drop("l"))
+    index.append(d.where("l <> 'en'").drop("l"))
+    more = english.withColumn("id", F.concat(F.lit("more-"), "id")).drop("l")
+    index.append(more)
+    index.delete(more.select("id"))
+    index.append(english.drop("l"))
+    return index
+
+
+@query(f"WITH {POSTINGS} {_or_sql(QUERY)} SELECT doc_id::VARCHAR AS id, round(score, 4) AS score FROM scored ORDER BY round(score, 4) DESC, id LIMIT 10")
+def index_segments_top10(spark, sf):
+    """Four segments with deletions answer as one index."""
+    index = _segmented(spark, sf)
+    return text_search.top(text_search.or_scores(index.postings, index.numbers, QUERY).select("id", "score"), 10, 4)
+
+
+@query(f"WITH {POSTINGS} {_or_sql(QUERY)}, x AS (SELECT term, df FROM dfs) SELECT term, df, n, round(avgdl, 4) AS avgdl FROM x CROSS JOIN stats")
+def index_segments_merged(spark, sf):
+    """The dictionary and the numbers of the same index after its segments were merged."""
+    index = _segmented(spark, sf)
+    index.merge(whole=True)
+    return index.terms.select("term", "df", F.lit(index.numbers.n).alias("n"), F.round(F.lit(index.numbers.avgdl), 4).alias("avgdl"))
+
+
+@query(f"WITH {POSTINGS} {_or_sql(QUERY)} SELECT doc_id::VARCHAR AS id, round(score, 4) AS score FROM scored ORDER BY round(score, 4) DESC, id LIMIT 10")
+def bm25_blockmax_top10(spark, sf):
+    """The same top 10 from the levels of postings that can decide it."""
+    return text_search.top_or(serving.text(spark, sf), QUERY, 10, 4)
+
+
+@query()
+def blockmax_skipped(spark, sf):
+    """How many postings that leaves out, for queries of rare and of frequent words."""
+    index, rows = serving.text(spark, sf), []
+    for q in (QUERY, "license", "the apache license of the software"):
+        found = text_search.prune(index, q, 10)
+        rows.append((q, found.total, found.total - found.read))
+    return spark.createDataFrame(rows, "query string, postings long, skipped long")
+
+
 @query(f"WITH {POSTINGS} hits AS (SELECT DISTINCT doc_id FROM post WHERE term = 'license') SELECT '/en/' || source AS facet, count(*) AS count FROM documents JOIN hits USING (doc_id) WHERE lang = 'en' GROUP BY source")
 def facet_counts_below(spark, sf):
     index = serving.text(spark, sf)
-    return text_search.facet_counts(index.stored, index.postings.where("term = 'license'"), "/en")
+    return text_search.facet_counts(index.stored, index.entries.where("term = 'license'"), "/en")
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT json_extract_string(props, '$.' || json_keys(props)[1])) AS n_values FROM events GROUP BY event_type")

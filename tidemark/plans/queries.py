@@ -142,7 +142,7 @@ def keyword_filter(spark, sf):
 @query(f"WITH {POSTINGS} hits AS (SELECT DISTINCT doc_id FROM post WHERE term = 'license') SELECT '/' || lang AS facet, count(*) AS count FROM documents JOIN hits USING (doc_id) GROUP BY lang")
 def facet_counts(spark, sf):
     index = serving.text(spark, sf)
-    return text_search.facet_counts(index.stored, index.postings.where("term = 'license'"))
+    return text_search.facet_counts(index.stored, index.entries.where("term = 'license'"))
 
 
 @query("SELECT lang, source, count(*) AS count FROM documents GROUP BY ROLLUP (lang, source)")

@@ -123,9 +123,12 @@ class Store:
 
         return versions.retried(attempt)
 
-    def append(self, name: str, df: DataFrame) -> None:
+    def append(self, name: str, df: DataFrame) -> DataFrame:
+        """Add rows, and give them back as they were written."""
         state = self.state(name)
-        versions.change(self.spark, f"{self.path}/{name}", self._write(name, df, state.props if state else {}))
+        parts = self._write(name, df, state.props if state else {})
+        versions.change(self.spark, f"{self.path}/{name}", parts)
+        return self._rows(name, parts)
 
     def compact(self, name: str, most: int = 64) -> None:
         """Rewrite a table that consists of more than ``most`` folders (in buckets: a bucket that does)."""
@@ -159,13 +162,13 @@ class Store:
             fs, p = versions._fs(self.spark, staged)
             fs.delete(p, True)
 
-    def write_documents(self, name: str, chunks: DataFrame, dim: int | None = None) -> None:
-        """Append chunks as documents; a vector of another length than ``dim`` fails."""
+    def write_documents(self, name: str, chunks: DataFrame, dim: int | None = None) -> DataFrame:
+        """Append chunks as documents, and give the rows back; a vector of another length than ``dim`` fails."""
         rows = document_rows(chunks)
         if dim is not None:
             bad = F.col("vector").isNotNull() & (F.size("vector") != dim)
             rows = rows.withColumn("vector", F.when(bad, F.raise_error(F.lit(f"a vector has not {dim} dimensions")).cast(schemas.VECTOR)).otherwise(F.col("vector")))
-        self.append(name, rows)
+        return self.append(name, rows)
 
     def status(self, name: str) -> dict[str, int]:
         r = self.read(name).agg(F.count("*").alias("rows"), F.count("vector").alias("ready")).first()

@@ -11,6 +11,7 @@ from tidemark.functions.text import content_hash
 from tidemark.operators.backfill import embed_rows
 from tidemark.operators.chunking import chunk
 from tidemark.operators.embedding import Embedder
+from tidemark.operators.text_index import TextIndex
 from tidemark.sources.store import Store, document_rows
 
 
@@ -19,10 +20,10 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path)
 
 
-def ingest(stream: DataFrame, store: Store, checkpoint: str, embedder: Embedder | None = None, table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> StreamingQuery:
+def ingest(stream: DataFrame, store: Store, checkpoint: str, embedder: Embedder | None = None, table: str = "documents", id_col: str = "doc_id", text_col: str = "text", index: TextIndex | None = None) -> StreamingQuery:
     """Chunk what arrives, append it as documents, and append the vectors of just that if there is an embedder: no batch rewrites a table. Ends
     when all that is there is done; a later call with the same checkpoint goes on from there. A batch that is replayed adds nothing,
-    and embeds what the last attempt left without a vector."""
+    and embeds what the last attempt left without a vector. With ``index``, a batch is a segment of it, so its words are found when the batch is done."""
 
     def each(batch: DataFrame, _: int) -> None:
         store.overwrite(f"{table}_batch", document_rows(chunk(batch, id_col, text_col).dropDuplicates(["id"])))
@@ -32,6 +33,9 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, embedder: Embedder
             store.ensure("embeddings")
             done = store.read("embeddings").where(F.col("embedder_id") == embedder.embedder_id).select("id")
             embed_rows(store, embedder, arrived.join(done, "id", "left_anti").select("id", "content", "content_hash"), table)
+        if index is not None:
+            index.append(arrived)  # a batch that is replayed takes its own place
+            index.merge()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
