@@ -286,13 +286,13 @@ def plain_anomaly(forest, row):
 
 
 def test_verdicts_equal_plain_walks(spark):
-    """Ratios, steps, walks through all trees and the threshold, one document at a time."""
+    """Ratios, their scale, walks through all trees and the threshold, one document at a time."""
     d = read(spark, "documents", "/root/testdata/sf0.001").select("doc_id", "text")
     judge = quality.fit(read(spark, "documents"), read(spark, "labels"))
     rows = {r["doc_id"]: r for r in quality.score(d, judge).collect()}
     for r in d.collect():
         n = counts(r["text"])
-        odd = plain_anomaly(judge.forest, quality.steps(np.array([plain_ratios(r["text"])]), judge.usual)[0])
+        odd = plain_anomaly(judge.forest, quality.scaled(np.array([plain_ratios(r["text"])]))[0])
         assert rows[r["doc_id"]]["anomaly"] == pytest.approx(odd)
         assert rows[r["doc_id"]]["kept"] == (not (n[0] < 50 or 100 * n[4] > 50 * n[0]) and odd <= judge.threshold)
 
@@ -314,29 +314,44 @@ def test_leaves_hold_path_lengths():
             assert depth[inside][0] == limit or len(np.unique(x[inside], axis=0)) == 1  # cut until alike, or as deep as trees go
 
 
-def test_forest_sees_every_rule(spark):
-    rng = np.random.default_rng(3)
-    words = ["".join(map(chr, rng.integers(97, 123, int(n)))) for n in rng.integers(3, 9, 3000)]
-
-    def text(n=200):
-        return "\n".join(" ".join(rng.choice(words, 10)) for _ in range(n // 10))
-
-    rows = [(i, text()) for i in range(400)]
-    rows += [(400 + i, " ".join(w if j % 3 else "#$%" for j, w in enumerate(text().split()))) for i in range(40)]
-    labels = spark.createDataFrame([(i, int(i < 400), 0) for i in range(440)], "doc_id long, quality int, toxic int")
-    odd = {
-        1000: text(120) + "\n" + "\n".join(["so it goes on"] * 25),  # repeated words, under half of all
-        1001: text() + "\n" + "\n".join(["menu", "next"] * 10),  # repeated lines
-        1002: " ".join(w * 4 for w in text().split()),  # long words
-        1003: " ".join(w[:2] for w in text().split()),  # short words
-        1004: " ".join(w + "#" * (j % 5 == 0) for j, w in enumerate(text().split())),  # under 5 % of symbols
-    }
-    d = spark.createDataFrame([*rows, *odd.items()], "doc_id long, text string")
-    judge = quality.fit(d.where("doc_id < 1000"), labels)
-    got = {r["doc_id"]: r for r in quality.score(d, judge).collect()}
-    assert not any(got[i]["base_failed"] for i in odd) and got[1004]["n_symbols"] < 0.05 * len(odd[1004])
-    assert not any(got[i]["kept"] for i in [*odd, *range(400, 440)])
-    assert sum(not got[i]["kept"] for i in range(400)) <= 0.004 * 400
+def test_forest_isolates_what_no_range_tells():
+    """A row that is high in all ratios at once, and in none outside of what others have."""
+    many = 0.1 * np.exp(0.5 * np.random.default_rng(3).normal(size=(4000, 8)))
+    odd = np.quantile(many, 0.985, axis=0, keepdims=True)
+    rows = quality.scaled(np.concatenate([many, odd]))
+    scores = quality.anomaly(quality.fit_forest(rows), rows)
+    assert ((odd > many.min(0)) & (odd < many.max(0))).all()
+    assert scores[-1] > np.quantile(scores[:-1], 0.998)
+
+
+def test_forest_held_out():
+    """On labelled rows that neither fitted the threshold nor the forest, and not by a range of each ratio."""
+    import pyarrow.parquet as pq
+
+    from tidemark.llm._words import slices
+
+    sf = SF.replace("0.01", "0.1")
+    d = pq.read_table(f"{sf}/documents.parquet").select(["doc_id", "text"])
+    quality_of = dict(zip(*(pq.read_table(f"{sf}/labels.parquet")[c].to_pylist() for c in ("doc_id", "quality")), strict=True))
+    parts = [quality.measure(t) for t in slices(d["text"].combine_chunks(), lower=False)]
+    counts, ratios = (np.concatenate(x) for x in zip(*parts, strict=True))
+    passed = ~quality.base_failed(counts)
+    label = np.array([-1 if quality_of.get(i) is None else quality_of[i] for i in d["doc_id"].to_pylist()])[passed]
+    ratios = ratios[passed]
+    missed, caught = [], []
+    for fold in (0, 1):
+        fitting = np.arange(len(ratios)) % 2 == fold
+        forest = quality.fit_forest(quality.scaled(ratios[fitting]))
+        scores = quality.anomaly(forest, quality.scaled(ratios))
+        known = fitting & (label >= 0)
+        rejected = scores > quality.calibrate(scores[known], label[known] == 1)
+        held = ~fitting
+        missed.append(rejected[held & (label == 1)].mean())
+        caught.append(rejected[held & (label == 0)].mean())
+        good = ratios[known & (label == 1)]
+        outside = ((ratios < good.min(0)) | (ratios > good.max(0))).any(1)
+        assert (rejected != outside).sum() > 20
+    assert np.mean(missed) <= 0.004 and np.mean(caught) >= 0.9, (missed, caught)
 
 
 def test_rule_edges(spark):

@@ -135,6 +135,14 @@ def test_a_hot_cell_is_dealt_by_block(spark):
     assert sum(got[i][0] for i in range(700)) >= 0.9 * sum(wanted[i][0] for i in range(700)) and all(got[i][1] == 0 for i in range(700))
 
 
+@pytest.mark.parametrize("block", [1, 2048])
+def test_repeated_ids_of_different_vectors(spark, block):
+    a, b, e, g = [1.0, 0.0, 0.0], [0.99, 0.1, 0.0], [0.0, 1.0, 0.0], [0.1, 0.99, 0.0]
+    t = spark.createDataFrame([(7, a, 0), (3, b, 0), (7, e, 1), (5, g, 1), (7, [0.0, 0.0, 1.0], 1)], "vec_id long, embedding array<float>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicates(t, block=block).collect())
+    assert got == [(3, 1, 3, True), (5, 1, 5, True), (7, 0, 7, True), (7, 1, 3, False), (7, 1, 5, False)]
+
+
 def test_vector_edges(spark):
     kind = "vec_id long, embedding array<float>, label int"
     assert vectors.near_duplicates(spark.createDataFrame([], kind)).count() == 0

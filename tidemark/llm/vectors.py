@@ -150,7 +150,9 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, recall: float = RE
     element = table.schema["embedding"].dataType.elementType.simpleString()
     # Scaled to length one, vectors of one component are copies of two: they need no index, however many they are.
     rows = rows.withColumn("embedding", F.when(F.col("sound") & (F.size(v) == 1), F.array(F.signum(F.get(v, F.lit(0))).cast(element))).otherwise(v))
-    reps = materialize(rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    reps = rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    # Vectors that differ may share an id: each has a number of its own, which is fixed by writing it.
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()))
     lengths = reps.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect()
     if not lengths:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
@@ -187,10 +189,10 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, recall: float = RE
     met = materialize(met)
     links = met.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     found = components(met.where("other is not null").select("rep", "other"))
-    classes = (
-        reps.join(links, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
+    classes = reps.join(links, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    classes = materialize(classes.select("label", "embedding", "component", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    ids = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = classes.join(ids, "component").select(F.col("label").alias("l"), F.col("embedding").alias("e"), "n_links", "component_id")
     joined = rows.join(classes, F.col("sound") & (rows.label == F.col("l")) & (rows.embedding == F.col("e")), "left")
     component = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
