@@ -165,3 +165,22 @@ def test_two_levels_give_all_centroids(spark):
     x = np.array([r["vector"] for r in e.collect()])
     spread = lambda c: (((x - c[ann._nearest(x, c)]) ** 2).sum(1)).mean()
     assert spread(index.centroids) < spread(ann._kmeans(x, 40, rounds=1)) * 1.2
+
+
+def test_many_queries_at_once(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 16)).astype(np.float32)
+    x[:130] = 2 * x[0] + 0.5 * x[:130]  # a large cell
+    t = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, vector array<float>")
+    ann.IvfPq.build(t, str(tmp_path / "ivf"), ann.IvfPqParams(8, 4))
+    index = ann.IvfPq.load(spark, str(tmp_path / "ivf"))
+    q = t.where("id % 20 = 0").selectExpr("id AS query_id", "vector AS query")
+    exact = {(r["query_id"], r["id"]) for r in vector_search.batch_search(t, q, 5).collect()}
+    for cell_rows in (50_000, 30):
+        got = index.batch_search(q, 5, nprobe=8, refine_factor=100, cell_rows=cell_rows).collect()
+        assert {(r["query_id"], r["id"]) for r in got} == exact and {r["rank"] for r in got} == {1, 2, 3, 4, 5}
+    one = {r["id"]: r["score"] for r in index.search([float(c) for c in x[40]], 5, nprobe=3, refine_factor=20).collect()}
+    many = {r["id"]: r["score"] for r in index.batch_search(q.where("query_id = 40"), 5, nprobe=3, refine_factor=20).collect()}
+    assert many == pytest.approx(one)
+    same = spark.range(300).selectExpr("id", "array(1.0f, 2.0f) AS vector")
+    assert ann.IvfPq.train(same, ann.IvfPqParams(4, 2), task_rows=50).centroids.shape[1] == 2

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import IndexError_
@@ -74,13 +74,12 @@ class IvfPq:
     vectors: DataFrame | None = field(default=None, repr=False)
 
     @classmethod
-    def train(cls, table: DataFrame, params: IvfPqParams, vector_col: str = "vector", task_rows: int = TASK_ROWS, seed: int = 1) -> IvfPq:
-        """On a sample of ``CELL_ROWS`` rows a centroid; codebooks on ``task_rows`` rows at most."""
-        rows = table.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).cast("array<double>").alias("v"))
+    def train(cls, table: DataFrame, params: IvfPqParams, vector_col: str = "vector", task_rows: int = TASK_ROWS, seed: int = 1, id_col: str = "id") -> IvfPq:
+        """On a sample of ``CELL_ROWS`` rows a centroid; codebooks on ``task_rows`` rows at most. Rows are drawn by their ids: equal vectors are drawn each for itself."""
+        rows = table.where(F.col(vector_col).isNotNull()).select(F.xxhash64(F.lit(seed), id_col).alias("k"), F.col(vector_col).cast("array<double>").alias("v"))
         total = rows.count()
-        drawn = F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(1 << 30))
-        some = lambda n: rows.where(drawn < int(min(1.0, n / max(total, 1)) * (1 << 30)))
-        local = _matrix(some(task_rows).toArrow().column(0).combine_chunks())
+        some = lambda n: rows.where(F.pmod("k", F.lit(1 << 30)) <= int(min(1.0, n / max(total, 1)) * (1 << 30)))
+        local = _matrix(some(task_rows).select("v").limit(2 * task_rows).toArrow().column(0).combine_chunks())
         local = local[np.lexsort(local.T)]
         if params.nlist * CELL_ROWS <= task_rows or total <= task_rows:
             centroids = _kmeans(local, params.nlist, seed=seed)
@@ -94,7 +93,7 @@ class IvfPq:
     def build(cls, table: DataFrame, home: str, params: IvfPqParams, vector_col: str = "vector", id_col: str = "id", seed: int = 1) -> str:
         """Train, encode and write; the new version of ``home`` is current, and its name is returned."""
         spark, name = table.sparkSession, versions.new_name()
-        index = cls.train(table, params, vector_col, seed=seed)
+        index = cls.train(table, params, vector_col, seed=seed, id_col=id_col)
         parts = [("centroid", i, 0, c) for i, c in enumerate(index.centroids)] + [("code", i, j, c) for j, book in enumerate(index.codebooks) for i, c in enumerate(book)]
         kind, number, sub, vector = zip(*parts, strict=True)
         model = pa.table({"kind": kind, "i": pa.array(number, pa.int32()), "j": pa.array(sub, pa.int32()), "v": pa.array([v.astype(np.float32) for v in vector], pa.list_(pa.float32())), "nbits": pa.array([params.nbits] * len(kind), pa.int32())})
@@ -161,6 +160,52 @@ class IvfPq:
         candidates = rows.mapInArrow(run, f"id {kind}, vector {vector}, approx double").orderBy("approx", "id").limit(k * refine_factor)
         return flat_search(candidates, query, k, metric)
 
+    def batch_search(self, queries: DataFrame, k: int, nprobe: int = 4, refine_factor: int = 10, encoded: DataFrame | None = None, cell_rows: int = TASK_ROWS) -> DataFrame:
+        """query_id, id, score, rank: the ``k`` nearest by cosine of every row of ``queries`` (query_id, query).
+
+        Queries are dealt to the cells that they probe, and a cell is read once for all of its queries, ``cell_rows`` vectors to a task: a large cell is dealt in
+        parts, which meet its queries each. A part ranks its codes by table look-ups, the best k x ``refine_factor`` of a query exactly, and hands on k.
+        """
+        encoded = self.vectors if encoded is None else encoded
+        model = encoded.sparkSession.sparkContext.broadcast((self.centroids, self.codebooks))  # its size is a parameter
+        key, kind = (d.dataType.simpleString() for d in (queries.schema["query_id"], encoded.schema["id"]))
+        probes = min(nprobe, len(self.centroids))
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                q = _matrix(batch.column(1).cast(pa.list_(pa.float64()))) if batch.num_rows else np.zeros((0, model.value[0].shape[1]))
+                near = np.argsort(((model.value[0][None] - q[:, None]) ** 2).sum(2), 1, kind="stable")[:, :probes].astype(np.int32)
+                ends = pa.array(np.arange(len(q) + 1, dtype=np.int32) * probes)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(near.ravel()))], ["query_id", "query", "cells"])
+
+        sizes = encoded.groupBy("ivf_cell").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("parts"))  # a row a cell
+        asked = queries.select("query_id", F.col("query").cast("array<double>").alias("query")).mapInArrow(probe, f"query_id {key}, query array<double>, cells array<int>")
+        asked = asked.select("query_id", "query", F.explode("cells").alias("ivf_cell")).join(sizes, "ivf_cell").select("query_id", "query", "ivf_cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        held = encoded.join(sizes, "ivf_cell").select("id", "ivf_cell", "codes", "vector", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+
+        def meet(asks: pa.Table, rows: pa.Table) -> pa.Table:
+            out: list[tuple] = []
+            if asks.num_rows and rows.num_rows:
+                centroids, books = model.value
+                x = _matrix(rows["vector"].combine_chunks().cast(pa.list_(pa.float64())))
+                norms = np.sqrt((x * x).sum(1))
+                codes = rows["codes"].combine_chunks().flatten().to_numpy().astype(int).reshape(len(x), -1)
+                ids, cell = np.array(rows["id"].to_pylist(), object), rows["ivf_cell"][0].as_py()
+                for who, q in zip(asks["query_id"].to_pylist(), _matrix(asks["query"].combine_chunks()), strict=True):
+                    sub = (q - centroids[cell]).reshape(len(books), 1, -1)
+                    far = ((books - sub) ** 2).sum(2)[np.arange(len(books))[None, :], codes].sum(1)
+                    best = np.argsort(far, kind="stable")[: k * refine_factor]
+                    scale = norms[best] * np.sqrt((q * q).sum())
+                    score = np.where(scale > 0, (x[best] @ q) / np.where(scale > 0, scale, 1), 0.0)
+                    out += [(who, ids[best[i]], float(score[i])) for i in np.lexsort((ids[best].astype(str), -score))[:k]]
+            who, ids, score = zip(*out, strict=True) if out else ((), (), ())
+            return pa.table({"query_id": pa.array(who, asks.schema.field("query_id").type), "id": pa.array(ids, rows.schema.field("id").type), "score": pa.array(score, pa.float64())})
+
+        found = asked.groupBy("ivf_cell", "part").cogroup(held.groupBy("ivf_cell", "part")).applyInArrow(meet, f"query_id {key}, id {kind}, score double")
+        # k rows for each part of each probed cell.
+        ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+
 
 def _two_levels(sample: DataFrame, local: np.ndarray, nlist: int, task_rows: int, seed: int) -> np.ndarray:
     """``nlist`` centroids: of each center as many as its share of ``sample`` asks for, fitted by a task of its own on ``task_rows`` rows at most."""
@@ -168,16 +213,16 @@ def _two_levels(sample: DataFrame, local: np.ndarray, nlist: int, task_rows: int
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_nearest(_matrix(batch.column(0)), centers).astype(np.int32)), batch.column(0)], ["c", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(_nearest(_matrix(batch.column(1)), centers).astype(np.int32)), *batch.columns], ["c", "k", "v"])
 
-    dealt = sample.mapInArrow(deal, "c int, v array<double>")
+    dealt = sample.mapInArrow(deal, "c int, k long, v array<double>")
     counts = {r["c"]: r["n"] for r in dealt.groupBy("c").agg(F.count("*").alias("n")).collect()}  # a row a center
     exact = {c: n * nlist / sum(counts.values()) for c, n in counts.items()}
     wanted = {c: max(1, int(x)) for c, x in exact.items()}
     for c in sorted(exact, key=lambda c: (int(exact[c]) - exact[c], c))[: max(0, nlist - sum(wanted.values()))]:
         wanted[c] += 1
     keep = F.create_map(*(F.lit(x) for c, n in counts.items() for x in (c, int(min(1.0, task_rows / n) * (1 << 30)))))
-    kept = dealt.where(F.pmod(F.xxhash64("v", F.lit(seed + 1)), F.lit(1 << 30)) < keep[F.col("c")])
+    kept = dealt.where(F.pmod(F.xxhash64("k", F.lit(seed + 1)), F.lit(1 << 30)) < keep[F.col("c")])
 
     def fit(table: pa.Table) -> pa.Table:
         x = _matrix(table.column("v").combine_chunks())
