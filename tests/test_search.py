@@ -1,10 +1,12 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.errors import IndexError_, QueryError
 from tidemark.functions import text as X
-from tidemark.operators import ann, hybrid, text_index, text_search, vector_search
+from tidemark.operators import ann, fuzzy, hybrid, text_index, text_search, vector_search
 from tidemark.operators.embedding import HashingEmbedder
 from tidemark.plans.query_parser import Bool, Phrase, Range, Term, parse
 
@@ -112,7 +114,7 @@ def test_postings_meet_their_terms_without_a_shuffle(spark, tmp_path):
     plan = text_search.or_scores(index.postings, index.numbers, "fire wood")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 2 and plan.count("BroadcastHashJoin") == 1 and plan.count("Exchange hashpartitioning") == 1 and plan.count("In(term") == 2
     assert text_search.correct(index.terms, "watre fire", 4) == "watre fire" and text_search.correct(index.terms, "waters", 4) == "water"
-    assert [h["id"] for h in text_search.search(index, "waters", 5, fuzzy=4).collect()] == [h["id"] for h in text_search.search(index, "water", 5).collect()]
+    assert [h["id"] for h in text_search.search(index, "waters", 5, edits=4).collect()] == [h["id"] for h in text_search.search(index, "water", 5).collect()]
 
 
 def test_fusion(spark):
@@ -184,3 +186,66 @@ def test_many_queries_at_once(spark, tmp_path):
     assert many == pytest.approx(one)
     same = spark.range(300).selectExpr("id", "array(1.0f, 2.0f) AS vector")
     assert ann.IvfPq.train(same, ann.IvfPqParams(4, 2), task_rows=50).centroids.shape[1] == 2
+
+
+def test_near_terms_by_key_are_those_of_a_scan(spark):
+    """Random words of few letters, some beyond ASCII, some longer than a prefix, with edits at all places."""
+    rng = random.Random(5)
+    words = {"".join(rng.choices("abcé漢🙂", k=rng.randrange(1, 14))) for _ in range(70)}
+    for w in list(words):
+        for _ in range(rng.randrange(3)):
+            i = rng.randrange(len(w) + 1)
+            words.add(rng.choice([w[:i] + "x" + w[i:], w[:i] + w[i + 1 :], w[:i] + "é" + w[i + 1 :]]) or "a")
+    words = sorted(words)
+    terms = spark.createDataFrame([(w,) for w in words], "term string")
+    near = fuzzy.neighbourhood(terms).cache()
+    assert near.groupBy("term").count().agg(F.max("count")).first()[0] <= 37
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    true = {(a, b, edits(a, b)) for a in words for b in words if abs(len(a) - len(b)) <= 2}
+    asked = spark.createDataFrame([(w,) for w in [*words, *words, None]], "word string")
+    for d in (0, 1, 2):
+        assert {tuple(r) for r in fuzzy.join(asked, near, d).collect()} == {t for t in true if t[2] <= d}
+    assert fuzzy.join(asked, near).count() == sum(t[2] <= 2 for t in true)
+    for w in (words[0], words[-1], "é" * 20, "ab"):
+        wanted = {(b, edits(w, b)) for b in words if edits(w, b) <= 2}
+        assert {tuple(r) for r in fuzzy.lookup(near, w, 2).collect()} == {tuple(r) for r in fuzzy.scan(terms, w, 2).collect()} == wanted
+    assert fuzzy.join(asked.limit(0), near).isEmpty() and fuzzy.join(asked, near.limit(0)).isEmpty()
+    with pytest.raises(ValueError):
+        fuzzy.join(asked, near, 3)
+
+
+def test_fuzzy_index_and_grammar(spark, tmp_path):
+    index = text_index.TextIndex(spark, str(tmp_path / "i"))
+    index.write(spark.createDataFrame([("1", "fire and wood"), ("2", "fires, water"), ("3", "well")], "id string, content string"))
+    index.append(spark.createDataFrame([("4", "firs stone"), ("5", "farm")], "id string, content string"))
+    near = lambda w, d=2: {r["term"]: r["distance"] for r in index.near(w, d).collect()}
+    assert near("fire") == {"fire": 0, "fires": 1, "firs": 1, "farm": 2} and near("fire", 1) == {"fire": 0, "fires": 1, "firs": 1} and near("stonework", 4) == {"stone": 4}
+    plan = index.near("fire")._jdf.queryExecution().executedPlan().toString()
+    assert "In(key" in plan
+    ids = lambda q: {r["id"]: r["score"] for r in text_search.search_query(q, index.postings, index.numbers, near=index.near).collect()}
+    assert ids("fire~1") == ids("Fire~1") == {"1": 1, "2": 1, "4": 1} and set(ids("fire~0")) == {"1"} and ids("farn~1^3") == {"5": 3.0}
+    assert ids("fire~ -stome~1") == {"1": 1, "2": 1, "5": 1} and ids("watre~1") == {} and set(ids("watre~")) == {"2"}
+    scanned = text_search.search_query("fire~1", index.postings, index.numbers).collect()
+    assert {r["id"] for r in scanned} == {"1", "2", "4"}
+    index.delete(spark.createDataFrame([("4",)], "id string"))
+    assert near("fire") == {"fire": 0, "fires": 1, "farm": 2} and set(ids("fire~1")) == {"1", "2"}
+    assert [r["term"] for r in index.near_words(spark.createDataFrame([("farmer",), ("wel",)], "word string")).orderBy("term").collect()] == ["farm", "well"]
+    index.merge(whole=True)
+    assert near("fire") == {"fire": 0, "fires": 1, "farm": 2}
+    for bad in ("category:a~1", "a.b~1"):
+        with pytest.raises(QueryError):
+            ids(bad)
+    assert text_search.correct(index.terms, "waterr", 4, index.near) == "water" == text_search.correct(index.terms, "waterr", 4)
+    few, text_search.FEW_TERMS = text_search.FEW_TERMS, 1
+    try:
+        assert set(ids("fire~1")) == {"1", "2"}
+    finally:
+        text_search.FEW_TERMS = few

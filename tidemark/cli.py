@@ -109,7 +109,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "build-index":
         print(engine.build_vectors(conf.get("vector.num_partitions"), conf.get("vector.num_sub_vectors")))
     elif a.command == "search-text":
-        _show(text_search.search(text, a.text, k, fuzzy=conf.get("search.fuzzy_max_distance") if a.fuzzy else 0))
+        _show(text_search.search(text, a.text, k, edits=conf.get("search.fuzzy_max_distance") if a.fuzzy else 0))
         if a.facets:
             _show(text_search.facet_counts(text.stored, text_search.or_scores(text.postings, text.numbers, a.text)))
     elif a.command == "search-vector":

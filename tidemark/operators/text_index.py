@@ -1,8 +1,8 @@
 """An inverted index as Parquet tables, in segments.
 
 A segment is written once. Its ``postings`` are range-partitioned and sorted by term, so that a query's terms prune files and row groups, and of a term by
-what a posting can weigh at most (:func:`level`), so that the best come first; ``blocks`` has the bounds of each such level. ``terms`` is its dictionary, ``stored``
-has the fields that results show, sorted by id.
+what a posting can weigh at most (:func:`level`), so that the best come first; ``blocks`` has the bounds of each such level. ``terms`` is its dictionary, ``near`` what finds
+the terms near a word (:mod:`tidemark.operators.fuzzy`), ``stored`` has the fields that results show, sorted by id.
 
 New documents are a new segment, and what they replace in older ones is listed as deleted, with the terms that it takes away. A state of
 the folder (:mod:`tidemark.sources.versions`) lists segments and deletions with their numbers of documents, so the numbers of the corpus cost no job. Searches read
@@ -23,6 +23,7 @@ from pyspark.sql.utils import AnalysisException
 from tidemark import schemas
 from tidemark.errors import IndexError_
 from tidemark.functions import text as X
+from tidemark.operators import fuzzy
 from tidemark.sources import versions
 
 
@@ -167,6 +168,8 @@ class TextIndex:
         blocks.repartitionByRange("term").sortWithinPartitions("term", "level").write.parquet(f"{home}/blocks")
         dictionary = self.spark.read.parquet(f"{home}/blocks").groupBy("term").agg(F.sum("n").alias("df"))
         dictionary.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{home}/terms")
+        near = fuzzy.neighbourhood(self.spark.read.parquet(f"{home}/terms"))
+        near.repartitionByRange("key").sortWithinPartitions("key").write.option("parquet.block.size", 16 << 20).parquet(f"{home}/near")
         return {"kind": "segment", "path": name, "n": r["n"], "total": r["total"]}
 
     def _deletions(self, state: versions.State, ids: DataFrame) -> list[versions.Part]:
@@ -246,6 +249,25 @@ class TextIndex:
             found = found.unionByName(self.spark.read.schema("term string, df long").parquet(f"{self.path}/{p['path']}/terms/of={p['of']}"))
         return found.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
+    def near(self, word: str, distance: int = fuzzy.DISTANCE) -> DataFrame:
+        """term, distance of the terms within that many edits of ``word``."""
+        if distance > fuzzy.DISTANCE:
+            return fuzzy.scan(self.terms, word, distance)
+        return self._known(fuzzy.lookup(self._table(self._segments(), "near"), word, distance))
+
+    def near_words(self, words: DataFrame, distance: int = fuzzy.DISTANCE) -> DataFrame:
+        """word, term, distance for many words (word)."""
+        return self._known(fuzzy.join(words, self._table(self._segments(), "near"), distance))
+
+    def _segments(self) -> list[versions.Part]:
+        return [p for p in self._state().parts if p["kind"] == "segment"]
+
+    def _known(self, found: DataFrame) -> DataFrame:
+        """Without terms whose documents are all deleted."""
+        if all(p["kind"] == "segment" for p in self._state().parts):
+            return found
+        return found.join(self.terms.select("term"), "term", "left_semi").select(*found.columns)
+
     @property
     def entries(self) -> DataFrame:
         """Postings without their terms' numbers of documents."""

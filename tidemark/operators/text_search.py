@@ -5,8 +5,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
-from functools import lru_cache, reduce
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial, reduce
 from typing import NamedTuple
 
 import pandas as pd
@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from tidemark.errors import QueryError
 from tidemark.functions import text as X
 from tidemark.functions.text import STOP_WORDS
+from tidemark.operators import fuzzy
 from tidemark.operators.text_index import Stats, term_weight
 from tidemark.operators.text_index import bound as level_bound
-from tidemark.plans.query_parser import Bool, Node, Phrase, Range, Term, parse
+from tidemark.plans.query_parser import Bool, Fuzzy, Node, Phrase, Range, Term, parse
 
 _ASCII = re.compile(r"[a-z0-9]+")
 
@@ -135,8 +136,27 @@ def ranked(scores: DataFrame) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
-def evaluate(node: Node, postings: DataFrame, stats: DataFrame | Stats, stored: DataFrame | None = None) -> DataFrame:
-    """id, score of the documents that match a query tree. Parts that only filter or match fields score their boost."""
+#: So many terms go into the filter of a scan; more are joined.
+FEW_TERMS = 1000
+
+
+def _with_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings of ``terms`` (term)."""
+    few = [r["term"] for r in terms.select("term").limit(FEW_TERMS + 1).collect()]
+    return postings.where(F.col("term").isin(few)) if len(few) <= FEW_TERMS else postings.join(terms.select("term"), "term", "left_semi")
+
+
+def evaluate(node: Node, postings: DataFrame, stats: DataFrame | Stats, stored: DataFrame | None = None, near: Callable[[str, int], DataFrame] | None = None) -> DataFrame:
+    """id, score of the documents that match a query tree. Parts that only filter, match fields or near terms score their boost. ``near``
+    finds terms near a word (:meth:`TextIndex.near`); without it those of ``postings`` are scanned."""
+    if isinstance(node, Fuzzy):
+        if node.field not in (None, "text"):
+            raise QueryError(f"~ can't search the field {node.field}")
+        word = "".join(_cut(node.text))
+        if _cut(node.text) != (word,):
+            raise QueryError(f"~ stands behind a single word, not {node.text!r}")
+        found = _with_terms(postings, (near or partial(fuzzy.scan, postings))(word, node.distance))
+        return found.select("id").distinct().select("id", F.lit(node.boost).alias("score"))
     if isinstance(node, (Term, Phrase)) and node.field not in (None, "text"):
         match = F.col(node.field) == node.text
         if node.field == "category":  # a facet matches itself and all below it
@@ -154,11 +174,11 @@ def evaluate(node: Node, postings: DataFrame, stats: DataFrame | Stats, stored:
     positive = [*node.must, *node.should]
     if not positive:
         raise QueryError("a query of exclusions alone matches nothing")
-    parts = [evaluate(p, postings, stats, stored).withColumn("must", F.lit(int(i < len(node.must)))) for i, p in enumerate(positive)]
+    parts = [evaluate(p, postings, stats, stored, near).withColumn("must", F.lit(int(i < len(node.must)))) for i, p in enumerate(positive)]
     found = reduce(DataFrame.unionByName, parts).groupBy("id").agg((F.sum("score") * node.boost).alias("score"), F.sum("must").alias("n"))
     found = found.where(F.col("n") == len(node.must)).select("id", "score")
     for p in node.must_not:
-        found = found.join(evaluate(p, postings, stats, stored).select("id"), "id", "left_anti")
+        found = found.join(evaluate(p, postings, stats, stored, near).select("id"), "id", "left_anti")
     return found
 
 
@@ -168,9 +188,9 @@ def _fields(stored: DataFrame | None) -> DataFrame:
     return stored
 
 
-def search_query(query: str, postings: DataFrame, stats: DataFrame | Stats, stored: DataFrame | None = None, conjunctive: bool = False) -> DataFrame:
+def search_query(query: str, postings: DataFrame, stats: DataFrame | Stats, stored: DataFrame | None = None, conjunctive: bool = False, near: Callable[[str, int], DataFrame] | None = None) -> DataFrame:
     """id, score for a query in the full grammar."""
-    return evaluate(parse(query, conjunctive), postings, stats, stored)
+    return evaluate(parse(query, conjunctive), postings, stats, stored, near)
 
 
 def fetch(stored: DataFrame, hits: DataFrame) -> DataFrame:
@@ -180,10 +200,10 @@ def fetch(stored: DataFrame, hits: DataFrame) -> DataFrame:
     return stored.where(F.col("id").isin([r["id"] for r in rows])).join(F.broadcast(few), "id")
 
 
-def search(index, query: str, k: int = 10, highlight: bool = True, fuzzy: int = 0) -> DataFrame:
-    """score, id, category, path, snippet: the boosted search with stored fields. Snippets are made for k rows. With ``fuzzy``, words
+def search(index, query: str, k: int = 10, highlight: bool = True, edits: int = 0) -> DataFrame:
+    """score, id, category, path, snippet: the boosted search with stored fields. Snippets are made for k rows. With ``edits``, words
     that the index lacks stand for its nearest term within that edit distance."""
-    query = correct(index.terms, query, fuzzy) if fuzzy else query
+    query = correct(index.terms, query, edits, index.near) if edits else query
     found = fetch(index.stored, top(boosted_scores(index.postings, index.numbers, query), k))
     df = {r["term"]: r["df"] for r in index.terms.where(F.col("term").isin(query_terms(query))).collect()} if highlight else {}
     shown = snippets(found, query, df) if highlight else found.withColumn("snippet", F.col("content"))
@@ -238,9 +258,9 @@ def top_or(index, query: str, k: int = 10, digits: int | None = None) -> DataFra
     return top(or_scores(prune(index, query, k, 6 if digits is None else digits).postings, index.numbers, query).select("id", "score"), k, digits)
 
 
-def search_hits(index, query: str, k: int = 10, fuzzy: int = 0) -> DataFrame:
+def search_hits(index, query: str, k: int = 10, edits: int = 0) -> DataFrame:
     """id, score, source: the plain OR search."""
-    query = correct(index.terms, query, fuzzy) if fuzzy else query
+    query = correct(index.terms, query, edits, index.near) if edits else query
     return top(or_scores(index.postings, index.numbers, query).select("id", "score"), k).withColumn("source", F.lit("text"))
 
 
@@ -293,23 +313,22 @@ def snippets(found: DataFrame, query: str, df: dict[str, int] | None = None, tex
 
 
 def fuzzy_terms(postings: DataFrame, term: str, max_distance: int = 2) -> DataFrame:
-    """Terms of the dictionary (or of postings) within an edit distance."""
-    near = postings.select("term").where(F.abs(F.length("term") - len(term)) <= max_distance).distinct()
-    return near.select("term", F.levenshtein("term", F.lit(term)).alias("distance")).where(F.col("distance") <= max_distance)
+    """Terms of the dictionary (or of postings) within an edit distance, by a scan; an index finds them by key (:meth:`TextIndex.near`)."""
+    return fuzzy.scan(postings, term, max_distance)
 
 
-def correct(terms: DataFrame, query: str, max_distance: int) -> str:
+def correct(terms: DataFrame, query: str, max_distance: int, near: Callable[[str, int], DataFrame] | None = None) -> str:
     """The query with each word that the dictionary (term, df) lacks as its nearest term, of equally near ones the most frequent. A word
-    of n characters may differ in a third of them at most. Words are those that documents are cut into."""
-    words = query_terms(query)
+    of n characters may differ in a third of them at most. Words are those that documents are cut into. ``near`` finds terms in place of a scan of the dictionary."""
+    words, near = query_terms(query), near or partial(fuzzy.scan, terms)
     known = {r["term"] for r in terms.where(F.col("term").isin(words)).collect()}
     instead = {}
     for w in words:
         reach = min(max_distance, len(w) // 3)
         if w not in known and reach:
-            near = fuzzy_terms(terms, w, reach).join(terms, "term").orderBy("distance", F.desc("df"), "term").first()
-            if near is not None:
-                instead[w] = near["term"]
+            nearest = near(w, reach).join(terms, "term").orderBy("distance", F.desc("df"), "term").first()
+            if nearest is not None:
+                instead[w] = nearest["term"]
     out, at = [], 0
     for token in _as_written(query) if instead else ():
         start = query.index(token, at)  # nothing but its parters stands before it

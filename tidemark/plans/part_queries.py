@@ -13,7 +13,7 @@ from tidemark.operators import backfill, cleaning, text_search
 from tidemark.operators.embedding import HashingEmbedder
 from tidemark.operators.text_index import TextIndex
 from tidemark.plans import serving
-from tidemark.plans.queries import _PARAGRAPHS, PHRASE, POSTINGS, QUERY, _boosted_sql, _or_sql, docs, query, read
+from tidemark.plans.queries import _PARAGRAPHS, PHRASE, POSTINGS, QUERY, STOPS, TOKENS, _boosted_sql, _or_sql, docs, query, read
 from tidemark.sources import export, files
 from tidemark.sources.store import Store, document_rows, unmatched
 from tidemark.streaming import ingest
@@ -388,6 +388,34 @@ def blockmax_skipped(spark, sf):
     return spark.createDataFrame(rows, "query string, postings long, skipped long")
 
 
+# SQL counts edits in bytes: beside a word of ASCII letters, a letter beyond ASCII is one byte that the word doesn't have.
+_EDITS = "levenshtein(@, regexp_replace(term, '[^\\x00-\\x7F]', '~', 'g'))"
+
+
+@query(
+    f"""WITH {POSTINGS} w AS (SELECT DISTINCT unnest({TOKENS}) AS word FROM benchmark WHERE text IS NOT NULL),
+unknown AS (SELECT word FROM w WHERE regexp_full_match(word, '[a-z0-9]+') AND NOT list_contains({STOPS}, word) AND word NOT IN (SELECT term FROM dfs))
+SELECT word, term, {_of(_EDITS, 'word')}::INT AS distance FROM unknown CROSS JOIN dfs WHERE {_of(_EDITS, 'word')} <= 2"""
+)
+def fuzzy_unknown_words(spark, sf):
+    """Words of the benchmark that no document has, and all terms within two edits of each, by the index's neighbourhood."""
+    index = serving.text(spark, sf)
+    words = read(spark, sf, "benchmark").select(F.explode(X.terms("text")).alias("word")).where(F.col("word").rlike("^[a-z0-9]+$")).distinct()
+    unknown = words.join(index.terms, F.col("word") == F.col("term"), "left_anti")
+    return index.near_words(unknown)
+
+
+@query(
+    f"""WITH {POSTINGS} {_or_sql('public')}, must AS (SELECT DISTINCT doc_id FROM post WHERE {_of(_EDITS, "'licens'")} <= 1), should AS (SELECT DISTINCT doc_id, 2 AS s FROM post WHERE {_of(_EDITS, "'sofware'")} <= 2)
+SELECT doc_id::VARCHAR AS id, round(1 + coalesce(s, 0) + coalesce(score, 0), 4) AS score FROM must LEFT JOIN should USING (doc_id) LEFT JOIN scored USING (doc_id)"""
+)
+def query_fuzzy(spark, sf):
+    """The grammar's ``word~edits``."""
+    index = serving.text(spark, sf)
+    found = text_search.search_query("+licens~1 sofware~^2 public", index.postings, index.numbers, near=index.near)
+    return found.select("id", F.round("score", 4).alias("score"))
+
+
 @query(f"WITH {POSTINGS} hits AS (SELECT DISTINCT doc_id FROM post WHERE term = 'license') SELECT '/en/' || source AS facet, count(*) AS count FROM documents JOIN hits USING (doc_id) WHERE lang = 'en' GROUP BY source")
 def facet_counts_below(spark, sf):
     index = serving.text(spark, sf)
