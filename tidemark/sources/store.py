@@ -123,13 +123,24 @@ class Store:
 
         return versions.retried(attempt)
 
-    def append(self, name: str, df: DataFrame) -> DataFrame:
-        """Add rows, and give them back as they were written."""
+    def append(self, name: str, df: DataFrame, stream: str | None = None, batch: int | None = None) -> DataFrame:
+        """Add rows, and give them back as they were written. With ``stream``, they are the rows of its batch number ``batch``, which the table notes."""
         state = self.state(name)
-        parts = self._write(name, df, state.props if state else {})
-        versions.change(self.spark, f"{self.path}/{name}", parts)
+        parts = [p | ({"stream": stream} if stream else {}) for p in self._write(name, df, state.props if state else {})]
+        versions.change(self.spark, f"{self.path}/{name}", parts, props={f"stream:{stream}": batch} if stream else None)
         return self._rows(name, parts)
 
+    def last_batch(self, name: str, stream: str) -> int:
+        """The last batch of a stream that the table has, or -1. The number outlives rewrites of the table."""
+        state = self.state(name)
+        return state.props.get(f"stream:{stream}", -1) if state else -1
+
+    def read_others(self, name: str, stream: str) -> DataFrame | None:
+        """The rows that others than the stream have written or rewritten, or None where there are none."""
+        state = self.state(name)
+        parts = [p for p in state.parts if p.get("stream") != stream] if state else []
+        return self._rows(name, parts) if parts else None
+
     def compact(self, name: str, most: int = 64) -> None:
         """Rewrite a table that consists of more than ``most`` folders (in buckets: a bucket that does)."""
         state = self.state(name)
