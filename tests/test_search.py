@@ -249,3 +249,17 @@ def test_fuzzy_index_and_grammar(spark, tmp_path):
         assert set(ids("fire~1")) == {"1", "2"}
     finally:
         text_search.FEW_TERMS = few
+
+
+def test_building_an_index_shuffles_no_token(spark, monkeypatch):
+    """A document's tokens are counted where it is read, some documents at a time; a dictionary has three keys a term."""
+    texts = [(i, " ".join(f"w{i * j % 7} the é{j}" for j in range(i))) for i in range(9)] + [(9, None), (10, "")]
+    d = spark.createDataFrame(texts, "id int, text string")
+    rows = lambda df: sorted((r["term"], r["id"], r["tf"], r["dl"], list(r["positions"])) for r in df.collect())
+    wanted = rows(text_index.postings(d))
+    for held in (1, 7, 10_000):
+        monkeypatch.setattr(text_index, "HELD_TOKENS", held)
+        assert rows(text_index.exploded_postings(d.coalesce(1))) == wanted
+    assert "Exchange" not in text_index.exploded_postings(d)._jdf.queryExecution().executedPlan().toString()
+    near = fuzzy.neighbourhood(spark.createDataFrame([("licenses",), ("a",), ("",)], "term string"))
+    assert near.groupBy("term").count().agg(F.max("count")).first()[0] == 3

@@ -1,8 +1,8 @@
 """Terms within an edit distance, found by key.
 
-Of two words that differ by ``d`` edits, the same word is left when up to ``d`` characters are deleted from each, and that holds for their first ``PREFIX`` characters
-too: what of one prefix is matched outside the other leaves as many characters unmatched there. So a dictionary is written with a row for each word that deletions leave of a
-term's prefix, 37 at most whatever its length, sorted by that word's hash. A search reads the row groups of its own keys and compares what it
+A term is cut into one piece more than there may be edits, so of two words within the distance one has a piece of the other unchanged, moved by
+no more places than there are edits. A dictionary is written with a row for each piece of a term, three whatever its length, sorted by the hash of the term's length, the
+piece's number and the piece. A search makes the keys of all terms that its word can be near to, reads the row groups of those and compares what it
 finds there; no term within the distance is missed. Distances beyond ``DISTANCE`` scan the dictionary.
 """
 
@@ -11,22 +11,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Edits that a written dictionary is made for; characters of a term that its keys are made from.
-DISTANCE, PREFIX = 2, 8
+#: Edits that a written dictionary is made for.
+DISTANCE = 2
+PIECES = DISTANCE + 1
 
 
-def _without_one(words: Column) -> Column:
-    """The words, and each without each of its characters."""
-    shorter = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
-    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.array_append(shorter(w), w))))
+def _bound(length: Column, i: Column) -> Column:
+    """Where piece ``i`` of a term of that length begins, from 0."""
+    return F.floor(i * length / PIECES).cast("int")
 
 
-def keys(word: Column, distance: int = DISTANCE) -> Column:
-    """Hashes of what up to ``distance`` deletions leave of a word's prefix. Null has none."""
-    left = F.array(F.substring(word, 1, PREFIX))
-    for _ in range(distance):
-        left = _without_one(left)
-    return F.when(word.isNotNull(), F.transform(left, lambda w: F.xxhash64(w)))
+def keys(term: Column) -> Column:
+    """Hashes of the pieces of a term. Null has none."""
+    n = F.length(term)
+    piece = lambda i: F.substr(term, _bound(n, i) + 1, _bound(n, i + 1) - _bound(n, i))
+    return F.when(term.isNotNull(), F.transform(F.array(*map(F.lit, range(PIECES))), lambda i: F.hash(n, i, piece(i))))
+
+
+def probes(word: Column, distance: int = DISTANCE) -> Column:
+    """The keys that a term within ``distance`` of a word can have: pieces of terms of about its length, at about their places."""
+    n, edits = F.length(word), F.lit(distance)
+
+    def moved(length: Column, i: Column) -> Column:
+        start, size = _bound(length, i), _bound(length, i + 1) - _bound(length, i)
+        places = F.filter(F.sequence(start - edits, start + edits), lambda p: (p >= 0) & (p + size <= n))
+        return F.transform(places, lambda p: F.hash(length, i, F.substr(word, p + 1, size)))
+
+    lengths = F.sequence(F.greatest(n - edits, F.lit(0)), n + edits)
+    found = F.transform(lengths, lambda length: F.flatten(F.transform(F.array(*map(F.lit, range(PIECES))), lambda i: moved(length, i))))
+    return F.when(word.isNotNull(), F.array_distinct(F.flatten(found)))
 
 
 def neighbourhood(terms: DataFrame) -> DataFrame:
@@ -48,7 +61,7 @@ def scan(terms: DataFrame, word: str, distance: int) -> DataFrame:
 
 def lookup(near: DataFrame, word: str, distance: int) -> DataFrame:
     """The same from a neighbourhood (key, term): the word's keys filter its scan."""
-    own = near.sparkSession.range(1).select(keys(F.lit(word), distance)).first()[0]
+    own = near.sparkSession.range(1).select(probes(F.lit(word), distance)).first()[0]
     found = near.where(F.col("key").isin(own)).select("term").distinct()
     return found.select("term", within(F.col("term"), F.lit(word), distance).alias("distance")).where("distance is not null")
 
@@ -57,7 +70,7 @@ def join(words: DataFrame, near: DataFrame, distance: int = DISTANCE) -> DataFra
     """word, term, distance for many words (word) and a neighbourhood (key, term), by equal keys. Words that stand there often count once, null is near nothing."""
     if distance > DISTANCE:
         raise ValueError(f"a neighbourhood is made for {DISTANCE} edits")
-    own = words.select("word").distinct().select("word", F.explode(keys(F.col("word"), distance)).alias("key"))
-    # Compared before duplicates go: most of what shares a key of a long word's prefix is not near.
+    own = words.select("word").distinct().select("word", F.explode(probes(F.col("word"), distance)).alias("key"))
+    # Compared before duplicates go: most of what shares a key is not near.
     near_by = own.join(near, "key").select("word", "term", within(F.col("word"), F.col("term"), distance).alias("distance"))
     return near_by.where("distance is not null").distinct()
