@@ -94,3 +94,16 @@ def test_vectors(spark):
 def test_masked_mean(spark):
     df = spark.createDataFrame([([[1.0, 3.0], [2.0, 4.0], [10.0, 10.0], [20.0, 20.0]], [1, 1, 0, 0])], "v array<array<double>>, m array<int>")
     assert df.select(V.masked_mean("v", "m").alias("y")).first()["y"] == pytest.approx([1.5 / 14.5**0.5, 3.5 / 14.5**0.5])
+
+
+def test_blank_lines_in_time_that_follows_their_number(spark):
+    """60,000 lines; looking at each must not cut the text again."""
+    import time
+
+    text = "\n\n\nx " * 20_000
+    d = spark.createDataFrame([(text,)], "t string").repartition(1)
+    began = time.perf_counter()
+    n = d.select(F.size(X.collapse_blank_lines(F.split(F.replace("t", F.lit("x"), F.lit("y")), "\n", -1))).alias("n")).first()["n"]
+    lines = text.replace("x", "y").split("\n")
+    assert n == sum(not (i and not x.strip() and not lines[i - 1].strip()) for i, x in enumerate(lines))
+    assert time.perf_counter() - began < 30

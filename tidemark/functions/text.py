@@ -193,4 +193,6 @@ def format_artifacts(x: Column | str, file_format: Column | str) -> Column:
 def collapse_blank_lines(lines: Column) -> Column:
     """An array of lines in which a blank line never follows another."""
     blank = lambda l: strip(l) == ""  # noqa: E731, E741
-    return F.filter(lines, lambda l, i: ~(blank(l) & (i > 0) & blank(F.get(lines, i - 1))))
+    # An outer expression in a lambda is computed for every element, so the lines are computed before.
+    held = F.transform(F.array(lines), lambda own: F.filter(own, lambda l, i: ~(blank(l) & (i > 0) & blank(F.get(own, i - 1)))))  # noqa: E741
+    return F.get(held, F.lit(0))
