@@ -194,7 +194,9 @@ class IvfPq:
                 for who, q in zip(asks["query_id"].to_pylist(), _matrix(asks["query"].combine_chunks()), strict=True):
                     sub = (q - centroids[cell]).reshape(len(books), 1, -1)
                     far = ((books - sub) ** 2).sum(2)[np.arange(len(books))[None, :], codes].sum(1)
-                    best = np.argsort(far, kind="stable")[: k * refine_factor]
+                    most = k * refine_factor
+                    near = np.flatnonzero(far <= np.partition(far, most - 1)[most - 1]) if len(far) > most else np.arange(len(far))
+                    best = near[np.argsort(far[near], kind="stable")][:most]
                     scale = norms[best] * np.sqrt((q * q).sum())
                     score = np.where(scale > 0, (x[best] @ q) / np.where(scale > 0, scale, 1), 0.0)
                     out += [(who, ids[best[i]], float(score[i])) for i in np.lexsort((ids[best].astype(str), -score))[:k]]
