@@ -107,3 +107,11 @@ def test_blank_lines_in_time_that_follows_their_number(spark):
     lines = text.replace("x", "y").split("\n")
     assert n == sum(not (i and not x.strip() and not lines[i - 1].strip()) for i, x in enumerate(lines))
     assert time.perf_counter() - began < 30
+
+
+def test_grouped_mean_is_that_of_each_group(spark):
+    d = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [2.0, 5.0]), ("b", [0.0, 3.0]), (None, [2.0, 0.0]), ("c", None)], "k string, v array<double>")
+    got = {(r["k"], r["cell"]): r["v"] for r in V.grouped_mean(d, "k", "v").collect()}
+    assert got == pytest.approx({("a", 0): 1.5 / 14.5**0.5, ("a", 1): 3.5 / 14.5**0.5, ("b", 0): 0.0, ("b", 1): 1.0, (None, 0): 1.0, (None, 1): 0.0})
+    plan = V.grouped_mean(d, "k", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "avg(" in plan

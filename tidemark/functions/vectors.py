@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -62,8 +62,15 @@ def masked_mean(vectors: Column | str, mask: Column | str, eps: float = 1e-12) -
     """The mean of the vectors whose mask is 1, scaled to length one."""
     vs, m = (F.col(c) if isinstance(c, str) else c for c in (vectors, mask))
     chosen = F.transform(F.filter(F.arrays_zip(vs.alias("v"), m.alias("m")), lambda x: x["m"] > 0), lambda x: x["v"].cast("array<double>"))
-    count = F.greatest(F.size(chosen), F.lit(1))
     dims = F.size(F.get(vs, F.lit(0)))
-    mean = F.transform(F.sequence(F.lit(0), dims - 1), lambda i: F.aggregate(chosen, F.lit(0.0), lambda a, x: a + F.get(x, i)) / count)
-    n = F.sqrt(total(F.transform(mean, lambda x: x * x))) + eps
-    return F.transform(mean, lambda x: x / n)
+    # What is chosen, the mean and its length are computed once each.
+    mean = let(chosen, lambda own: let(F.greatest(F.size(own), F.lit(1)), lambda n: F.transform(F.sequence(F.lit(0), dims - 1), lambda i: F.aggregate(own, F.lit(0.0), lambda a, x: a + F.get(x, i)) / n)))
+    return let(mean, lambda m: let(F.sqrt(total(F.transform(m, lambda x: x * x))) + eps, lambda n: F.transform(m, lambda x: x / n)))
+
+
+def grouped_mean(rows: DataFrame, by: str, vector: str, eps: float = 1e-12) -> DataFrame:
+    """``by``, cell, v: the mean of each group's vectors, scaled to length one. Cells are summed where the rows are, so no task holds a group."""
+    cells = rows.select(by, F.posexplode(_d(vector)).alias("cell", "x")).groupBy(by, "cell").agg(F.avg("x").alias("x"))
+    one = cells.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("cell", "x"))).alias("cells"))  # as many as a vector has
+    scaled = let(F.sqrt(total(F.transform("cells", lambda c: c["x"] * c["x"]))) + eps, lambda n: F.transform("cells", lambda c: F.struct(c["cell"].alias("cell"), (c["x"] / n).alias("v"))))
+    return one.select(by, F.explode(scaled).alias("c")).select(by, "c.cell", "c.v")
