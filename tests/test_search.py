@@ -263,3 +263,32 @@ def test_building_an_index_shuffles_no_token(spark, monkeypatch):
     assert "Exchange" not in text_index.exploded_postings(d)._jdf.queryExecution().executedPlan().toString()
     near = fuzzy.neighbourhood(spark.createDataFrame([("licenses",), ("a",), ("",)], "term string"))
     assert near.groupBy("term").count().agg(F.max("count")).first()[0] == 3
+
+
+def test_exact_batch_search_in_blocks(spark):
+    """Blocks of any size give what one gives: ties by id, vectors of another length and null ones apart."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 6)).round(1)
+    x[30:] = x[:30]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(60, None), (61, [1.0, 2.0]), (62, [0.0] * 6)]
+    t = spark.createDataFrame(rows, "id long, vector array<double>")
+    q = t.where("id % 7 = 0 or id > 59").selectExpr("id as query_id", "vector as query")
+    for metric in ("cosine", "l2", "dot"):
+        got = [{(r["query_id"], r["id"], round(r["score"], 6), r["rank"]) for r in vector_search.batch_search(t, q, 5, metric, block_queries=a, block_rows=b).collect()} for a, b in ((3, 7), (1000, 1000))]
+        assert got[0] == got[1]
+        for i, v in [r for r in rows if r[0] % 7 == 0 and r[1] is not None]:
+            one = vector_search.flat_search(t, v, 5, metric, digits=6).collect()
+            assert sorted((i, r["id"], round(r["score"], 6), n + 1) for n, r in enumerate(one)) == sorted(g for g in got[0] if g[0] == i)
+
+
+def test_many_word_queries_at_once(spark, monkeypatch):
+    d = spark.createDataFrame([(str(i), " ".join(f"w{i * j % 5}" for j in range(1 + i % 6))) for i in range(40)], "id string, text string")
+    p, s = text_index.postings(d), text_index.corpus_stats(d)
+    q = spark.createDataFrame([(1, "w0"), (1, "w3"), (1, "w3"), (2, "w2"), (3, "none"), (4, None)], "item long, term string")
+    rows = lambda: sorted((r["item"], r["id"], round(r["score"], 9)) for r in text_search.batch_or_scores(p, s, q, "item").collect())
+    wanted = sorted((i, r["id"], round(r["score"], 9)) for i, words in ((1, "w0 w3"), (2, "w2")) for r in text_search.or_scores(p, s, words).collect())
+    assert rows() == wanted
+    best = text_search.best_of_each(text_search.batch_or_scores(p, s, q, "item"), "item", "id", 2).collect()
+    assert sorted((r["item"], r["id"], r["rank"]) for r in best) == sorted((i, x, n + 1) for i in (1, 2) for n, (_, x) in enumerate(sorted((-s, x) for j, x, s in wanted if j == i)[:2]))
+    monkeypatch.setattr(text_search, "FEW_PAIRS", 1)
+    assert rows() == wanted

@@ -157,11 +157,8 @@ SELECT item_id, doc_id, score, rank::INT AS rank FROM r WHERE rank <= 3""")
 def batch_bm25_benchmark(spark, sf):
     p, s = _postings(spark, sf)
     q = read(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(X.terms("text"))).alias("term"))
-    hits = p.select("term", F.col("id").cast("long").alias("doc_id"), "tf", "dl", "df").join(q.select("term").distinct(), "term", "left_semi")
-    weighed = hits.select("term", "doc_id", (text_search.idf(F.col("df"), F.lit(s.n)) * text_search.term_weight(F.col("tf"), F.col("dl"), F.lit(s.avgdl))).alias("score"))
-    scored = weighed.join(q, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum("score"), 3).alias("score"))
-    best = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 3")
+    scored = text_search.batch_or_scores(p, s, q, "item_id").select("item_id", F.col("id").cast("long").alias("doc_id"), F.round("score", 3).alias("score"))
+    return text_search.best_of_each(scored, "item_id", "doc_id", 3)
 
 
 @query(f"""WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents),
