@@ -50,3 +50,15 @@ def test_clean_text(spark):
     got = [r["y"] for r in df.select(cleaning.clean_text("t", F.lit("txt")).alias("y")).collect()]
     assert "first line" in got[0] and got[1] == "" and got[2] == ""
     assert cleaning.long_texts(df.withColumnRenamed("t", "text")).count() == 1
+
+
+def test_chunks_and_vectors_of_more_texts_than_a_worker_holds(spark, monkeypatch):
+    from tidemark.operators import embedding
+
+    texts = [None if i % 50 == 7 else f"word{i} " * (i % 9) for i in range(300)]
+    d = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "file_name string, content string").coalesce(1)
+    monkeypatch.setattr(chunking, "AT_ONCE", 7)
+    got = sorted((r["chunk_id"], r["content"]) for r in chunking.recursive_chunks(d, 20, 4).collect())
+    assert got == sorted((f"{i}_{n}", c) for i, t in enumerate(texts) for n, c in enumerate(chunking.split_recursive(t or "", 20, 4)))
+    vectors = {r["file_name"]: list(r["e"]["vector"]) for r in d.select("file_name", embedding.embed_column(embedding.HashingEmbedder(8), "content", 16).alias("e")).collect()}
+    assert all(vectors[str(i)] == [float(v) for v in embedding.HashingEmbedder(8).embed_batch([t or ""])[0]] for i, t in enumerate(texts))

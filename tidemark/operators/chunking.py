@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import strip, whitespace_words
 
 MAX_TOKENS, OVERLAP = 500, 0.2
+#: Texts whose chunks a Python worker holds at once.
+AT_ONCE = 64
 
 
 def windows(words: Column, size: int = 300, overlap: float = OVERLAP) -> Column:
@@ -84,7 +86,8 @@ def recursive_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, name
     @F.pandas_udf("array<string>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda t: split_recursive(t or "", size, overlap))
+            for a in range(0, len(s), AT_ONCE):
+                yield s.iloc[a : a + AT_ONCE].map(lambda t: split_recursive(t or "", size, overlap))
 
     listed = docs.withColumn("chunks", cut(text_col))
     rows = listed.select(name_col, F.size("chunks").alias("total_chunks"), F.posexplode("chunks").alias("chunk_index", "content"))

@@ -145,17 +145,15 @@ def embed_column(embedder: Embedder, text: Column | str, batch: int = 128):
                 return (None, str(e)[:500])
 
         for s in batches:
-            texts = ["" if t is None else t for t in s]
-            rows: list[tuple] = []
-            for a in range(0, len(texts), batch):
-                part = texts[a : a + batch]
+            for a in range(0, len(s), batch):  # what is made of some texts goes before the next are looked at
+                texts = ["" if t is None else t for t in s.iloc[a : a + batch]]
                 try:
-                    rows += [(v, None) for v in embedder.embed_batch(part)]
+                    rows = [(v, None) for v in embedder.embed_batch(texts)]
                 except Exception:  # noqa: BLE001
-                    rows += [one(t) for t in part]
-            # An empty text may have an empty vector.
-            bad = [(None, f"a vector has length {len(v)}, not {embedder.dim}") if v is not None and len(v) not in (embedder.dim, 0 if not t.strip() else embedder.dim) else (v, e) for (v, e), t in zip(rows, texts, strict=True)]
-            yield pd.DataFrame({"vector": [v for v, _ in bad], "error": [e for _, e in bad]})
+                    rows = [one(t) for t in texts]
+                # An empty text may have an empty vector.
+                bad = [(None, f"a vector has length {len(v)}, not {embedder.dim}") if v is not None and len(v) not in (embedder.dim, 0 if not t.strip() else embedder.dim) else (v, e) for (v, e), t in zip(rows, texts, strict=True)]
+                yield pd.DataFrame({"vector": [v for v, _ in bad], "error": [e for _, e in bad]})
 
     return run(text)
 
