@@ -370,3 +370,19 @@ def test_calibration():
     scores = np.concatenate([np.linspace(0.3, 0.5, 100), [0.8, 0.9, 0.4]])
     t = quality.calibrate(scores, good, 0.0)
     assert 0.5 <= t < 0.8 and quality.calibrate(scores[:100], good[:100]) == 1.0
+
+
+def test_threshold_comes_from_all_labelled_rows(spark, monkeypatch):
+    """That of all good rows, however many, and not of those that a limit leaves."""
+    d, labels = read(spark, "documents"), read(spark, "labels")
+    judge = quality.fit(d, labels, fit_rows=100)
+    rows = quality.score(d, judge).where("not base_failed").join(labels, "doc_id").select("quality", "anomaly").where("quality is not null").toPandas()
+    assert judge.threshold == quality.calibrate(rows["anomaly"].to_numpy(), rows["quality"].to_numpy() == 1)
+    assert not hasattr(quality, "LABEL_ROWS")
+    rejects = quality.fit(d, labels, fit_rows=100, max_false_rejects=0.25).threshold
+    assert rejects == quality.calibrate(rows["anomaly"].to_numpy(), rows["quality"].to_numpy() == 1, 0.25) < judge.threshold
+    x = np.random.default_rng(1).normal(size=(5 * 8, 3))
+    drawn = []
+    monkeypatch.setattr(quality, "_path", lambda n: drawn.append(n) or 0.0)
+    quality.fit_forest(x, trees=5, tree_rows=8)
+    assert sum(drawn) == 40 + 8  # each row in one tree; the last is the norm

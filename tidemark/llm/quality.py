@@ -1,9 +1,9 @@
 """Quality rules judged by an isolation forest.
 
 Each document gets plain rule counts over its whole text. Ratios of all of them (independent of length), on a logarithmic scale, go through an isolation forest:
-random splits isolate odd documents early, so a short mean path means an anomaly. The forest is fitted on a bounded sample of all rows, labelled or not. Its trees see
-few rows each, so that bad documents that are alike don't hide each other, and there are many trees. The threshold comes from a bounded sample of labelled rows: it is the
-lowest score that at most ``max_false_rejects`` of the good ones exceed. Scoring is one pass without a shuffle.
+random splits isolate odd documents early, so a short mean path means an anomaly. By the method, a tree is made of few rows, so that bad documents that are alike don't
+hide each other, and there are many trees; each draws rows of its own from the whole table, labelled or not. The threshold comes from all labelled rows: it is the
+lowest score that at most ``max_false_rejects`` of the good ones exceed. Scoring is one pass without a shuffle; the threshold takes one more, which shuffles scores alone.
 
 Defined results: a null, empty or blank text has no words and fails the base rules; a text of any length is read whole; repeated
 rows are judged each; without rows or labels the threshold is 1 and only the base rules reject; an empty table gives an empty
@@ -12,6 +12,7 @@ table; :func:`keep` returns the columns it got, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._sample import sample
-from tidemark.llm._store import bounded_batches
+from tidemark.llm._store import bounded_batches, discard, materialize
 from tidemark.llm._words import _MULT, SPACE_WORDS, Texts, mix, slices, words
 
 MIN_WORDS = 50
-#: Rows that the forest and the threshold are fitted on, at most.
-FIT_ROWS, LABEL_ROWS = 8_000, 12_000
 TREES, TREE_ROWS = 800, 24
+#: Rows that are drawn for the trees: theirs, and some more for those that the base rules reject.
+FIT_ROWS = TREES * TREE_ROWS * 3 // 2
 MAX_FALSE_REJECTS = 0.003
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -132,8 +133,10 @@ def fit_forest(rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS,
     nodes = 2 ** (limit + 1)
     feature, value = np.zeros((trees, nodes), np.int32), np.full((trees, nodes), np.inf)
     left, depth = np.zeros((trees, nodes), np.int32), np.zeros((trees, nodes))
+    # With rows enough for all trees, none is in two of them.
+    dealt = rng.permutation(len(rows)) if len(rows) >= trees * size else None
     for t in range(trees):
-        todo, used = [(0, rng.choice(len(rows), size, replace=False), 0)], 1
+        todo, used = [(0, rng.choice(len(rows), size, replace=False) if dealt is None else dealt[t * size : (t + 1) * size], 0)], 1
         while todo:
             node, part, d = todo.pop()
             x = rows[part]
@@ -177,7 +180,7 @@ def calibrate(scores: np.ndarray, good: np.ndarray, max_false_rejects: float = M
     return float(ordered[min(len(ordered) - 1, int(np.ceil(len(ordered) * (1 - max_false_rejects))) - 1)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, label_rows: int = LABEL_ROWS) -> Judge:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_false_rejects: float = MAX_FALSE_REJECTS) -> Judge:
     bounded_batches(docs.sparkSession)
     drawn, _ = sample(docs, docs.select("doc_id", F.lit(0).alias("label")), fit_rows, "label", 1)
     drawn = _measured(drawn, "label").select("doc_id", *COUNTS, *RATIOS).toPandas()
@@ -185,16 +188,25 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, label_rows
     rows = drawn[~base_failed(drawn[COUNTS].to_numpy())][RATIOS].to_numpy()
     if len(rows) < 2:
         return Judge(None, 1.0)
+    judge = Judge(fit_forest(scaled(rows)), 1.0)
+    return judge._replace(threshold=_threshold(docs, labels, judge, max_false_rejects))
+
+
+def _threshold(docs: DataFrame, labels: DataFrame, judge: Judge, max_false_rejects: float) -> float:
+    """What :func:`calibrate` gives for all labelled rows. Scores meet labels; no text is shuffled."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    # Both kinds are drawn alike: with so many ids in all, each has its share.
-    n_known = max(known.count(), 1)
-    of_each = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    labelled, _ = sample(docs, known, {v: -(-n * min(label_rows, n_known) // n_known) for v, n in of_each.items()}, "label", 2)
-    seen = _measured(labelled, "label").select("label", *COUNTS, *RATIOS).toPandas()
-    seen = seen[~base_failed(seen[COUNTS].to_numpy())]
-    good = seen["label"].to_numpy() == 1
-    forest = fit_forest(scaled(rows))
-    return Judge(forest, calibrate(anomaly(forest, scaled(seen[RATIOS].to_numpy())), good) if len(seen) else 1.0)
+    if known.isEmpty():
+        return 1.0
+    seen = score(docs, judge).where(~F.col("base_failed")).select("doc_id", "anomaly").join(known, "doc_id").select("label", "anomaly")
+    seen = materialize(seen)
+    n_good, n_bad = seen.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") != 1)).first()
+    if not n_good or not n_bad:
+        found = 1.0
+    else:
+        above = n_good - min(n_good, math.ceil(n_good * (1 - max_false_rejects)))
+        found = float(seen.where("label = 1").orderBy(F.desc("anomaly")).offset(above).limit(1).first()["anomaly"])
+    discard(seen)
+    return found
 
 
 def _measured(docs: DataFrame, *extra: str) -> DataFrame:
