@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.errors import IndexError_, QueryError
+from tidemark.functions import cut
 from tidemark.functions import text as X
 from tidemark.operators import ann, fuzzy, hybrid, text_index, text_search, vector_search
 from tidemark.operators.embedding import HashingEmbedder
@@ -265,6 +267,39 @@ def test_building_an_index_shuffles_no_token(spark, monkeypatch):
     assert near.groupBy("term").count().agg(F.max("count")).first()[0] == 3
 
 
+def test_texts_are_cut_as_by_the_expression(spark):
+    """All code points, ends of texts, words beside nulls: what numpy cuts is what Spark's expression cuts."""
+    every = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x110000)]))
+    rows = [every[a : a + 700] + "a" for a in range(0, len(every), 700)] + [None, "", " ", "a", "é", "b é", "𝒜", "-", "x", "İΑΣ ΑΣ the\x00and", "日本 日本"]
+    d = spark.createDataFrame(list(enumerate(rows)), "i int, text string").coalesce(1)
+    letters = cut.members(X.TOKEN)
+
+    @F.arrow_udf("array<string>")
+    def tokens(x: pa.Array) -> pa.Array:
+        found, n = cut.runs(x, cut.table(letters))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), found.cast(pa.string()))
+
+    got = d.select(X.tokens("text").alias("a"), tokens(F.lower("text")).alias("b"), F.size(X.terms("text")).alias("n"), text_index.lengths(F.col("text")).alias("m"))
+    assert got.where("not (coalesce(a, array()) <=> b) or not (n <=> m)").count() == 0
+    assert np.flatnonzero(cut.table(cut.members(X.BLANKS))).tolist() == sorted(map(ord, X.WHITE_SPACE))
+
+
+def test_postings_are_shuffled_packed(spark, tmp_path, monkeypatch):
+    """A row of the shuffle has many postings of a term, whose numbers are bytes; what comes out is what went in."""
+    texts = [(str(i), " ".join(f"w{i * j % 5} the é{j}" for j in range(i % 50))) for i in range(300)] + [("none", None), ("", "w1 " * 40_000)]
+    d = spark.createDataFrame(texts, "id string, text string")
+    rows = lambda df: sorted((r["term"], r["id"], r["tf"], r["dl"], list(r["positions"])) for r in df.collect())
+    wanted = rows(text_index.postings(d))
+    for held, pack in ((1, 1), (40, 3), (2_000_000, 16)):
+        monkeypatch.setattr(text_index, "HELD_TOKENS", held), monkeypatch.setattr(text_index, "PACK", pack)
+        packed = text_index.exploded_postings(d.coalesce(1)).mapInArrow(text_index.packed, text_index.PACKED)
+        assert rows(packed.mapInArrow(text_index.unpacked, text_index.POSTING)) == wanted
+    assert packed.count() < len(wanted) / 8
+    index = text_index.TextIndex(spark, str(tmp_path / "i"))
+    index.write(d, "id", "text")
+    assert rows(index.entries) == wanted
+
+
 def test_exact_batch_search_in_blocks(spark):
     """Blocks of any size give what one gives: ties by id, vectors of another length and null ones apart."""
     rng = np.random.default_rng(4)

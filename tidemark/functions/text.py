@@ -21,6 +21,8 @@ QUOTES = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"'
 
 TOKEN = r"[\p{IsAlphabetic}\p{N}]+"
 BLANKS = r"(?U)\s+"
+#: Fixed value: what BLANKS matches.
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _c(x: Column | str) -> Column:
