@@ -241,3 +241,20 @@ def test_config_and_cli(spark, tmp_path, monkeypatch, capsys):
     assert "<b>water</b>" in capsys.readouterr().out
     main([*base, "status"], spark)
     assert "'rows': 2" in capsys.readouterr().out
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Hundreds of small files are read by a few tasks, whole; a listing reads no contents."""
+    for i in range(600):
+        (tmp_path / f"d{i % 7}").mkdir(exist_ok=True)
+        (tmp_path / f"d{i % 7}/{i}.txt").write_text(f"text {i}")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # a part for each file
+    try:
+        found = files.file_documents(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() <= max(4 * spark.sparkContext.defaultParallelism, 600 // 32)
+        assert {(r["id"], r["content"]) for r in found.collect()} == {(f"d{i % 7}/{i}.txt", f"text {i}") for i in range(600)}
+        listed = files.list_text_files(spark, str(tmp_path))
+        assert listed.count() == 600 and "content#" not in listed._jdf.queryExecution().executedPlan().toString().split("FileScan")[-1]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)

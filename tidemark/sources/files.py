@@ -36,9 +36,15 @@ def resolve(base: str, path: str) -> str:
     return path if os.path.isabs(path) or "://" in path else os.path.join(base, path)
 
 
+#: A reader counts a small file as 4 MB, so that a task has a few dozen of them at most; so many of its parts are one task here, where there are many.
+PARTS_A_TASK = 32
+
+
 def _binary(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
+    found = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
+    parts, least = found.select("path").rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism
+    return found.coalesce(max(least, parts // PARTS_A_TASK)) if parts > least else found
 
 
 def list_text_files(spark: SparkSession, root: str) -> DataFrame:
