@@ -1,4 +1,6 @@
+import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.errors import IndexError_, QueryError
 from tidemark.functions import cut
 from tidemark.functions import text as X
-from tidemark.operators import ann, fuzzy, hybrid, text_index, text_search, vector_search
+from tidemark.operators import ann, embedding, fuzzy, hybrid, text_index, text_search, vector_search
 from tidemark.operators.embedding import HashingEmbedder
 from tidemark.plans.query_parser import Bool, Phrase, Range, Term, parse
 
@@ -284,6 +286,25 @@ def test_texts_are_cut_as_by_the_expression(spark):
     assert np.flatnonzero(cut.table(cut.members(X.BLANKS))).tolist() == sorted(map(ord, X.WHITE_SPACE))
 
 
+def test_hashed_vectors(spark):
+    """A word is hashed once for a batch of texts; the sums are those of a loop, bit by bit."""
+    rows = [None, "", " \u2003", "a", "A a b\u00a0É\x1cx", "fire " * 5000, "Fire\tand wood"]
+    d = spark.createDataFrame(list(enumerate(rows)), "i int, text string")
+    for dim in (16, 5):
+        got = [r["v"] for r in d.select("i", embedding.md5_embedding("text", dim).alias("v")).orderBy("i").collect()]
+        for text, v in zip(rows, got, strict=True):
+            if text is None:
+                assert v == [None] * dim
+                continue
+            cells = [0.0] * dim
+            for w in re.split(f"[{X.WHITE_SPACE}]+", text.lower()):
+                if w:
+                    cells[int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % dim] += 1
+            n = max(sum(c * c for c in cells) ** 0.5, 1e-6)
+            assert v == [c / n for c in cells]
+    assert "ArrowEval" in d.select(embedding.md5_embedding("text"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_postings_are_shuffled_packed(spark, tmp_path, monkeypatch):
     """A row of the shuffle has many postings of a term, whose numbers are bytes; what comes out is what went in."""
     texts = [(str(i), " ".join(f"w{i * j % 5} the é{j}" for j in range(i % 50))) for i in range(300)] + [("none", None), ("", "w1 " * 40_000)]

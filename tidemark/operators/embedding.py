@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.errors import EmbeddingError
-from tidemark.functions import vectors as V
-from tidemark.functions.text import whitespace_words
+from tidemark.functions import cut
+from tidemark.functions.text import WHITE_SPACE
 
 
 class Embedder(ABC):
@@ -166,7 +168,23 @@ def with_vectors(chunks: DataFrame, embedder: Embedder, text_col: str = "content
 
 
 def md5_embedding(text: Column | str, dim: int = 16) -> Column:
-    """A hashing embedder of built-in functions alone: words counted by a slice of their MD5, then scaled to length one."""
-    cells = F.transform(whitespace_words(F.lower(F.col(text) if isinstance(text, str) else text)), lambda w: F.conv(F.substr(F.md5(w), F.lit(1), F.lit(6)), 16, 10).cast("long") % dim)
-    counts = V.let(cells, lambda c: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(c, lambda x: x == i)).cast("double")))
-    return V.normalize(counts)
+    """A hashing embedder: words counted by a slice of their MD5, then scaled to length one. A word is hashed once for all texts of a batch. A null text has a
+    vector of nulls."""
+    text = F.col(text) if isinstance(text, str) else text
+
+    @F.arrow_udf("array<double>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        inside = np.ones(0x110000, bool)
+        inside[[ord(c) for c in WHITE_SPACE]] = False
+        for texts in batches:
+            words, sizes = cut.runs(texts, inside)
+            coded = words.dictionary_encode()
+            digests = np.frombuffer(b"".join([hashlib.md5(w).digest()[:3] for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]), np.uint8)
+            cells = digests.reshape(-1, 3).astype(np.int64) @ [1 << 16, 1 << 8, 1] % dim
+            at = np.repeat(np.arange(len(sizes)) * dim, sizes) + cells[coded.indices.to_numpy(zero_copy_only=False)]
+            counts = np.bincount(at, minlength=len(sizes) * dim).reshape(len(sizes), dim).astype(np.float64)
+            found = counts / np.maximum(np.sqrt((counts * counts).sum(1, keepdims=True)), 1e-6)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * dim), pa.array(found.ravel()))
+
+    nulls = F.array_repeat(F.lit(None).cast("double"), dim)
+    return F.when(text.isNull(), nulls).otherwise(embed(F.lower(text)))
