@@ -258,3 +258,20 @@ def test_small_files_share_tasks(spark, tmp_path):
         assert listed.count() == 600 and "content#" not in listed._jdf.queryExecution().executedPlan().toString().split("FileScan")[-1]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+def test_files_that_are_empty_or_hidden(spark, tmp_path):
+    """A file without bytes is a file, and so is one whose name begins with a point or an underscore."""
+    (tmp_path / "in/.d/e/f").mkdir(parents=True)
+    wanted = {"a.txt": "one", "none.txt": "", ".h.txt": "two", ".d/_u.txt": "three", ".d/e/f/deep.txt": "four"}
+    for name, text in wanted.items():
+        (tmp_path / "in" / name).write_text(text)
+    (tmp_path / "in/.txt").write_text("no name")
+    (tmp_path / "in/x.txt.gz").write_text("no text")
+    root = str(tmp_path / "in")
+    assert {r["id"]: r["content"] for r in files.file_documents(spark, root).collect()} == wanted
+    assert [(r["path"], r["length"]) for r in files.list_text_files(spark, root).collect()] == [(f"file:{root}/{n}", len(wanted[n])) for n in sorted(wanted)]
+    assert files.find_supported(spark, root).count() == 5
+    assert [r["content"] for r in files.file_documents(spark, f"{root}/a.txt").collect()] == ["one"]
+    # A pattern is left to Spark's reader.
+    assert files.list_text_files(spark, f"{root}/a*").count() == 1

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterator
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,20 +51,24 @@ def output_path(path: Column, raw_root: str, out_root: str) -> Column:
     return F.concat(F.lit(out_root.rstrip("/") + "/"), F.regexp_replace(_below(path, raw_root), r"\.[^./]*$", ""), F.lit(".txt"))
 
 
+def _write_files(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.RecordBatch]:
+    from tidemark.sources.files import opened
+
+    made = set()
+    for batch in batches:
+        for path, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            system, path = opened(path if ":/" in path else default + path)
+            folder = path.rsplit("/", 1)[0]
+            if folder not in made:
+                system.create_dir(folder, recursive=True)
+                made.add(folder)
+            with system.open_output_stream(path, compression=None) as out:
+                out.write(text.as_buffer() or b"")
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+
 def write_text_tree(docs: DataFrame, path_col: str, text_col: str = "content") -> None:
     """One file per row at its path. A path without a scheme belongs to the cluster's default file system; executors open it by Arrow."""
     sc = docs.sparkSession.sparkContext
     default = sc._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(sc._jsc.hadoopConfiguration()).toString().rstrip("/")
-
-    def write(rows: Iterable[Row]) -> None:
-        import pyarrow.fs as fs
-
-        for r in rows:
-            uri = r[0] if ":/" in r[0] else default + r[0]
-            local = uri.startswith("file:")
-            system, path = (fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(uri)
-            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-            with system.open_output_stream(path) as out:
-                out.write((r[1] or "").encode())
-
-    docs.select(path_col, text_col).foreachPartition(write)
+    docs.select(path_col, text_col).mapInArrow(partial(_write_files, default=default), "n long").write.format("noop").mode("overwrite").save()

@@ -14,6 +14,8 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from tidemark import schemas
 from tidemark.errors import ExtractorUnavailable
 from tidemark.functions.text import extension, facet, parent_path, relative_path, stem
 from tidemark.operators.chunking import MAX_TOKENS, OVERLAP, chunk
+from tidemark.sources import versions
 
 DEFAULT_FORMATS = ("pdf", "docx", "html", "md", "txt", "jpg", "jpeg", "png", "tiff")
 PDF, GENERIC, IMAGE = ("pdf",), ("docx", "doc", "html", "htm", "md", "txt", "rtf", "epub", "msg", "eml"), ("jpg", "jpeg", "png", "tiff", "bmp", "gif")
@@ -36,25 +39,102 @@ def resolve(base: str, path: str) -> str:
     return path if os.path.isabs(path) or "://" in path else os.path.join(base, path)
 
 
-#: A reader counts a small file as 4 MB, so that a task has a few dozen of them at most; so many of its parts are one task here, where there are many.
-PARTS_A_TASK = 32
+#: Levels of folders that are dealt out anew, one at a time, before a task walks all that is below its own; rows and bytes that a task hands on at once.
+ROUNDS, ROWS, BYTES = 2, 10_000, 8 << 20
+LISTED, READ = "path string, length long", "path string, length long, content binary"
 
 
-def _binary(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    found = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-    parts, least = found.select("path").rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism
-    return found.coalesce(max(least, parts // PARTS_A_TASK)) if parts > least else found
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store of a URI for Arrow, as executors open it, and the path there."""
+    return (fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+
+
+def _place(spark: SparkSession, root: str) -> tuple[str, str] | None:
+    """The URI of ``root`` and its path there, or none where Arrow doesn't open it or nothing has that very name."""
+    hadoop, path = versions._fs(spark, root)
+    uri = hadoop.makeQualified(path).toString()
+    try:
+        system, inner = opened(uri)
+        there = system.get_file_info(inner).type != fs.FileType.NotFound
+    except (OSError, ValueError, NotImplementedError):
+        return None
+    return (uri, inner) if there and uri.endswith(inner) else None
+
+
+def _below_folders(batches: Iterator[pa.RecordBatch], uri: str, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Files (path, length) as they are, and in place of folders, which have no length, what lies in them: one level, or files of all levels."""
+    system, _ = opened(uri)
+    held: list[tuple[str, int | None]] = []
+    for batch in batches:
+        for path, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            folders = [path] if length is None else []
+            if length is not None:
+                held.append((path, length))
+            while folders:
+                for x in system.get_file_info(fs.FileSelector(folders.pop())):
+                    if x.type == fs.FileType.Directory and whole:
+                        folders.append(x.path)
+                    elif x.type in (fs.FileType.Directory, fs.FileType.File):
+                        held.append((x.path, x.size if x.type == fs.FileType.File else None))
+                    if len(held) >= ROWS:
+                        yield _rows(held)
+                        held = []
+    if held:
+        yield _rows(held)
+
+
+def _rows(held: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.string(), pa.int64(), pa.binary()))], ["path", "length", "content"][: len(held[0])])
+
+
+def _with_content(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
+    system, inner = opened(uri)
+    prefix, held, size = uri[: len(uri) - len(inner)], [], 0
+    for batch in batches:
+        for path, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            with system.open_input_stream(path.removeprefix(prefix), compression=None) as f:
+                held.append((path, length, f.read()))
+            size += length
+            if size >= BYTES or len(held) >= ROWS:
+                yield _rows(held)
+                held, size = [], 0
+    if held:
+        yield _rows(held)
+
+
+def _files(spark: SparkSession, root: str, kept: Column, content: bool = False) -> DataFrame:
+    """path, length and, if asked for, content of the files below ``root`` for which ``kept`` holds, empty ones and those with names like ``.x`` and ``_x`` among them.
+
+    Executors list the folders and read the files, so the driver holds no names. A store that Arrow doesn't open, or a pattern, is left to Spark's reader: its driver lists all files, without those.
+    """
+    place = _place(spark, root)
+    if place is None:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        return found.where(kept).select("path", "length", *(["content"] if content else []))
+    uri, inner = place
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    folder = opened(uri)[0].get_file_info(inner)
+    found = spark.createDataFrame([(inner, None if folder.type == fs.FileType.Directory else folder.size)], LISTED)
+    for i in range(ROUNDS + 1):
+        found = found.mapInArrow(partial(_below_folders, uri=uri, whole=i == ROUNDS), LISTED)
+        found = found.repartition(tasks) if i < ROUNDS else found
+    found = found.select(F.concat(F.lit(uri[: len(uri) - len(inner)]), "path").alias("path"), "length").where(kept)
+    # Dealt out anew: a folder may have most of the files.
+    return found.repartition(tasks).mapInArrow(partial(_with_content, uri=uri), READ) if content else found
+
+
+def _is_text(path: Column) -> Column:
+    return F.endswith(path, F.lit(".txt")) & ~F.endswith(path, F.lit("/.txt"))
 
 
 def list_text_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, length of the ``.txt`` files below ``root``, by path. Contents are not read: the column is pruned."""
-    return _binary(spark, root, "*.txt").select("path", "length").orderBy("path")
+    """path, length of the ``.txt`` files below ``root``, by path. Contents are not read."""
+    return _files(spark, root, _is_text(F.col("path"))).orderBy("path")
 
 
 def read_text_files(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
     """path, text. Bytes that aren't UTF-8 become U+FFFD; with ``strict``, such files are left out."""
-    files = _binary(spark, root, "*.txt").select("path", "content")
+    files = _files(spark, root, _is_text(F.col("path")), content=True)
     if strict:
         return files.where(F.is_valid_utf8("content")).select("path", F.decode("content", "UTF-8").alias("text"))
     return files.select("path", F.make_valid_utf8("content").cast("string").alias("text"))
@@ -91,7 +171,7 @@ def file_documents(spark: SparkSession, root: str, facet_mode: str = "parent") -
 
 def find_supported(spark: SparkSession, root: str, formats: tuple[str, ...] = DEFAULT_FORMATS) -> DataFrame:
     """path, length, ext of the files with one of ``formats``, by path."""
-    return _binary(spark, root).select("path", "length", extension("path").alias("ext")).where(F.col("ext").isin(*formats)).orderBy("path")
+    return _files(spark, root, extension("path").isin(*formats)).select("path", "length", extension("path").alias("ext")).orderBy("path")
 
 
 def extractor_class(ext: Column) -> Column:
@@ -309,8 +389,8 @@ def extract(files: DataFrame, extractors: dict[str, Callable[[bytes], list[Eleme
 
 
 def extract_directory(spark: SparkSession, root: str, formats: tuple[str, ...] = DEFAULT_FORMATS, extractors: dict | None = None) -> DataFrame:
-    files = _binary(spark, root).withColumn("ext", extension("path")).where(F.col("ext").isin(*formats))
-    return extract(files, extractors)
+    files = _files(spark, root, extension("path").isin(*formats), content=True)
+    return extract(files.withColumn("ext", extension("path")), extractors)
 
 
 def extraction_counts(extracted: DataFrame) -> DataFrame:
