@@ -275,3 +275,15 @@ def test_files_that_are_empty_or_hidden(spark, tmp_path):
     assert [r["content"] for r in files.file_documents(spark, f"{root}/a.txt").collect()] == ["one"]
     # A pattern is left to Spark's reader.
     assert files.list_text_files(spark, f"{root}/a*").count() == 1
+
+
+def test_executors_list_files(spark, tmp_path):
+    """No plan has names of files in it, and a text is cut into chunks once."""
+    for i in range(30):
+        (tmp_path / f"d{i % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"d{i % 3}/{i}.txt").write_text("a b\n\nc")
+    chunks = files.process_directory(spark, str(tmp_path))
+    for found in (chunks, files.list_text_files(spark, str(tmp_path)), files.find_supported(spark, str(tmp_path))):
+        assert not found.inputFiles()
+    assert chunks._jdf.queryExecution().optimizedPlan().toString().count("flatten(") == 1
+    assert chunks.count() == 60 and {r["total_chunks"] for r in chunks.collect()} == {2}

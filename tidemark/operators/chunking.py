@@ -27,7 +27,9 @@ def paragraph_chunks(text: Column | str, max_tokens: int = MAX_TOKENS, overlap:
     text = F.col(text) if isinstance(text, str) else text
     paragraphs = F.filter(F.transform(F.split(text, "\n\n"), strip), lambda p: p != "")
     size = int(max_tokens * 0.75 * 0.8)  # 300 words for 500 tokens
-    short = lambda p: F.floor(F.size(whitespace_words(p)) / F.lit(0.75)) <= max_tokens
+    # Words have a character and one between them, so a paragraph of few characters has few words.
+    few = lambda p: F.length(p) < 2 * int(max_tokens * 0.75)
+    short = lambda p: few(p) | (F.floor(F.size(whitespace_words(p)) / F.lit(0.75)) <= max_tokens)
     return F.flatten(F.transform(paragraphs, lambda p: F.when(short(p), F.array(p)).otherwise(windows(whitespace_words(p), size, overlap))))
 
 
@@ -36,7 +38,9 @@ def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     path = F.col(id_col).cast("string") if path is None else path
     category = F.lit("/misc") if category is None else category
     listed = docs.select(F.col(id_col).cast("string").alias("doc_id"), path.alias("doc_path"), category.alias("category"), paragraph_chunks(text_col, max_tokens, overlap).alias("chunks"))
-    rows = listed.select("doc_id", "doc_path", "category", F.size("chunks").alias("total_chunks"), F.posexplode("chunks").alias("chunk_index", "content"))
+    # Outer: else Spark filters by the number of chunks as well, and cuts each text twice.
+    rows = listed.select("doc_id", "doc_path", "category", F.size("chunks").alias("total_chunks"), F.posexplode_outer("chunks").alias("chunk_index", "content"))
+    rows = rows.where("chunk_index is not null")
     return rows.select(F.concat_ws(":", "doc_id", "chunk_index").alias("id"), "doc_id", "doc_path", "category", F.col("category").alias("category_text"), "content", "chunk_index", "total_chunks")
 
 
