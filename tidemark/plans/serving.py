@@ -15,7 +15,7 @@ from tidemark.sources import versions
 
 
 #: Changes when what is written changes, so that no query reads what an older version of this code kept.
-FORMAT = 6
+FORMAT = 7
 
 
 def base(spark: SparkSession) -> str:
